@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, packing, sharding
+from . import exact, lines, packing, sharding, simhash
 from .common import LOWER, UPPER
 
 
@@ -34,7 +34,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_line_dedup, op9_exact_dedup)}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_line_dedup, op9_exact_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
