@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, packing, sharding, simhash
+from . import exact, lines, packing, sharding, simhash, substrings
 from .common import LOWER, UPPER
 
 
@@ -30,6 +30,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "words.n_words", "words.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -39,7 +44,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_line_dedup, op9_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_sharding, op4_line_dedup, op7_substring_dedup, op9_exact_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
@@ -50,6 +55,17 @@ j AS (SELECT k.doc_id, i, line, coalesce(k.doc_id > r.first, false) AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op7_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM t),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM s),
+r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY win) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+l AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id),
+k AS (SELECT t.doc_id, len(w) AS n, coalesce(len(ps), 0) AS gone, w, ps FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+j AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS txt FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.p = c.p WHERE c.p IS NULL GROUP BY u.doc_id)
+SELECT k.doc_id, n AS n_words, gone AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM k LEFT JOIN j ON k.doc_id = j.doc_id""",
     "op9_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
