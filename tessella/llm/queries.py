@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, packing, quality, sharding, simhash, substrings
+from . import chat, exact, lines, packing, quality, sharding, simhash, substrings, warc
 from .common import LOWER, UPPER
 
 
@@ -41,11 +41,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "words.n_words", "words.n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,7 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op7_substring_dedup, op9_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op5_chat_formatting, op7_substring_dedup, op8_warc, op9_exact_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
@@ -66,6 +75,13 @@ j AS (SELECT k.doc_id, i, line, coalesce(k.doc_id > r.first, false) AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op5_chat_formatting": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, ts FROM a GROUP BY ts),
+k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u b WHERE len(b.ts) > len(u.ts) AND b.ts[1] = u.ts[1] AND b.ts[1:len(u.ts)] = u.ts))
+SELECT conv_id, len(ts) AS n_turns, array_to_string(list_transform(ts, lambda t: t.r), ',') AS roles,
+  array_to_string(list_transform(ts, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || chr(10) || '<|end|>'), chr(10)) AS chat FROM k""",
     "op7_substring_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM t),
@@ -77,6 +93,11 @@ k AS (SELECT t.doc_id, len(w) AS n, coalesce(len(ps), 0) AS gone, w, ps FROM t L
 u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
 j AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS txt FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.p = c.p WHERE c.p IS NULL GROUP BY u.doc_id)
 SELECT k.doc_id, n AS n_words, gone AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM k LEFT JOIN j ON k.doc_id = j.doc_id""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM g""",
     "op9_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
