@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, packing, quality, sharding, simhash, substrings, warc
+from . import chat, decontaminate, exact, lines, packing, quality, sharding, simhash, substrings, warc
 from .common import LOWER, UPPER
 
 
@@ -45,6 +45,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.edits", "x.first_word", "x.n_words")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "words.n_words", "words.n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,7 +69,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op5_chat_formatting, op7_substring_dedup, op8_warc, op9_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op5_chat_formatting, op6_decontamination, op7_substring_dedup, op8_warc, op9_exact_dedup, op10_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
