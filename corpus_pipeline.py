@@ -1,13 +1,54 @@
-"""A corpus cleaned and packed for training: five stages, each on what the one before kept."""
+"""A corpus cleaned and packed for training: five stages, each on what the one before kept.
+
+Every stage but the last returns the columns of documents. A stage judges only
+its own input, drops what its decision says, and changes nothing else:
+
+1. quality: documents that score below 0.3 go.
+2. line_dedup: repeated lines go from all documents but the first; n_chars is
+   counted anew where a text has changed.
+3. simhash: one document of each group of near-duplicates stays, the one with
+   the smallest id. Of rows that repeat that id one stays; rows
+   without an id stay.
+4. decontamination: documents that hold a passage of the benchmark go.
+5. packing: pieces of windows of 1024 tokens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tessella.llm import packing
+from tessella.llm import decontaminate, lines, packing, quality, queries, simhash
 
-#: No SQL expresses tokenisation; the tests compare the stages with brute force.
+#: No SQL expresses the stages; tests compare them with brute force.
 ORACLE_SQL = None
+LEAST_SCORE = 0.3
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = queries.table(spark, sf_dir, "labels").where(~queries.held_out())
+    return quality.scored(docs, quality.fit(docs, labels)).where(F.col("quality_score") >= LEAST_SCORE).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("lines.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(docs)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "stay_id")
+    kept = docs.join(stay, F.col("doc_id") == F.col("stay_id")).drop("stay_id")
+    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
+    kept = kept.withColumn("copy_number", F.row_number().over(one)).where("copy_number = 1").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +57,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
