@@ -128,17 +128,16 @@ def remover(window: int, gram: int):
                 raw = text.encode()
                 words = raw.split()
                 n = len(words)
-                if found:
-                    own = tag_of(raw)
+                own = tag_of(raw)
+                mine = [x for x in found or [] if x["slot"] & ((1 << TAG) - 1) == own]
+                if mine:
                     _, _, lo, hi = runs(Spans(words), window, gram)
                     edge = np.zeros(n + 1, np.int64)
-                    for x in found:
-                        s = x["slot"]
-                        if s & ((1 << TAG) - 1) == own:
-                            i = s >> TAG
-                            first, last = (lo[i], hi[i]) if x["off"] < 0 else (lo[i] + x["off"],) * 2
-                            edge[first] += 1
-                            edge[last + window] -= 1
+                    for x in mine:
+                        i = x["slot"] >> TAG
+                        first, last = (lo[i], hi[i]) if x["off"] < 0 else (lo[i] + x["off"],) * 2
+                        edge[first] += 1
+                        edge[last + window] -= 1
                     words = [w for w, covered in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not covered]
                 texts.append(b" ".join(words))
                 total.append(n)
