@@ -6,7 +6,6 @@ SQL names the views of `views.SQL`; those it uses are put in front of it as CTEs
 
 from __future__ import annotations
 
-import importlib
 import re
 from collections.abc import Callable
 
@@ -47,18 +46,3 @@ def query(sql: str | None = None):
         return f
 
     return put
-
-
-PLANS = ("scans", "projections", "joining", "aggregates", "series", "ranking", "scalars", "convergence", "drift", "market", "returns", "graphs", "evidence", "streams", "modes")
-
-
-def load() -> None:
-    for name in PLANS:
-        try:
-            importlib.import_module(f"tessella.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"tessella.plans.{name}":
-                raise
-
-
-load()
