@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY, RECALL, EDITS = 0.8, 0.99, 0.12
-SPAN, STEPS, SAMPLED, MOST_REPEATS = 12, 20, 4, 8
+SPAN, STEPS, SAMPLED, MOST_REPEATS = 12, 18, 6, 8
 BLOCK_WORDS = 500_000
 TABLE_BITS = 20
 WORD = re.compile(r"\w+")
@@ -67,7 +67,9 @@ def embedded(h: np.ndarray, span: int, repeat: int) -> np.ndarray:
     """For each word of h the hash of the sampled positions of the walk over the span words from it on."""
     rng = np.random.default_rng(1000 + repeat)
     steps = min(STEPS, 3 * span)
-    sampled = set(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist())
+    # one position in each equal stretch of the walk: neighbouring steps often write the same, common, word
+    edges = np.linspace(0, steps, min(SAMPLED, steps) + 1).astype(int)
+    sampled = {int(rng.integers(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)}
     last = max(sampled)
     n = len(h)
     coins = np.append(mixed(h, 0xA5A5A5A5 + 7919 * repeat), np.uint64(0))
