@@ -228,3 +228,31 @@ def cnv_locf_grid(spark, d):
     grid = s.select("signal").distinct().join(F.broadcast(weeks))  # 52 rows
     f = asof_join(grid, s, ["signal"], "t", "d", "value")
     return f.select("signal", F.col("t").cast("string").alias("t"), F.when(F.date_diff("t", F.col("found.ts")) <= 3, F.col("found.value")).alias("value"))
+
+
+TEMPLATES = [("stress", 1, "returns", "^flag", 1, 0), ("stress", 2, "logistics", "nation", 0, 60), ("boom", 1, "demand", "^orders", 1, 0), ("boom", 2, "urgency", "URGENT", 0, 90), ("boom", 3, "logistics", "nation", 0, 120)]
+
+
+@query("""WITH tp(template, step, category, pattern, sign_, within_) AS (VALUES ('stress', 1, 'returns', '^flag', 1, 0), ('stress', 2, 'logistics', 'nation', 0, 60), ('boom', 1, 'demand', '^orders', 1, 0), ('boom', 2, 'urgency', 'URGENT', 0, 90), ('boom', 3, 'logistics', 'nation', 0, 120)),
+z AS (SELECT signal, category, d, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS z FROM series WINDOW w AS (PARTITION BY signal)), e AS (SELECT signal, category, sign(z) AS dir, min(d) AS d FROM z WHERE abs(z) > 2.5 AND d >= DATE '1998-01-01' GROUP BY 1, 2, 3),
+m AS (SELECT template, step, within_, e.d, row_number() OVER (PARTITION BY template, step ORDER BY e.d, signal) AS k FROM tp JOIN e ON e.category = tp.category AND regexp_matches(signal, pattern) AND (sign_ = 0 OR dir = sign_)),
+f AS (SELECT template, step, within_, d FROM m WHERE k = 1), t AS (SELECT template, d AS trigger FROM f WHERE step = 1), n AS (SELECT template, count(*) AS steps FROM tp GROUP BY 1)
+SELECT n.template, round(count(f.step) FILTER (WHERE f.step = 1 OR abs(f.d - t.trigger) <= within_) / any_value(steps), 6) AS match FROM n LEFT JOIN t ON t.template = n.template LEFT JOIN f ON f.template = n.template GROUP BY 1""")
+def cnv_template_match(spark, d):
+    """Steps of a template matched by the first event of a fitting category, name and direction, within days of the trigger."""
+    rules = spark.createDataFrame(TEMPLATES, "template string, step int, cat string, pattern string, sign int, within int")
+    w = Window.partitionBy("signal")
+    z = series(spark, d).withColumn("z", F.round((F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w), 6))
+    e = z.where("abs(z) > 2.5 and d >= date '1998-01-01'").groupBy("signal", "category", F.signum("z").alias("dir")).agg(F.min("d").alias("d"))
+    fits = (F.col("category") == F.col("cat")) & F.expr("signal rlike pattern") & ((F.col("sign") == 0) | (F.col("dir") == F.col("sign")))
+    f = e.join(F.broadcast(rules), fits).groupBy("template", "step", "within").agg(F.min("d").alias("d"))
+    t = f.where("step = 1").select("template", F.col("d").alias("trigger"))
+    n = rules.groupBy("template").agg(F.count("*").alias("steps"))
+    j = n.join(t, "template", "left").join(f, "template", "left")
+    ok = (F.col("step") == 1) | (F.abs(F.date_diff("d", "trigger")) <= F.col("within"))
+    return j.groupBy("template").agg(F.round(F.count_if(F.coalesce(ok, F.lit(False))) / F.first("steps"), 6).alias("match"))
+
+
+@query()
+def cnv_best_template(spark, d):
+    return cnv_template_match(spark, d).where("match >= 0.5").orderBy(F.desc("match"), "template").limit(1)

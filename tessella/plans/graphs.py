@@ -163,3 +163,36 @@ def grf_entity_enrichment(spark, d):
 def grf_strongest_links(spark, d):
     k = links(spark, d)
     return k.withColumn("k", F.row_number().over(Window.partitionBy("entity_a").orderBy(F.desc("confidence"), "entity_b"))).where("k <= 2").select("entity_a", "entity_b")
+
+
+@query(f"WITH RECURSIVE {UND}, r AS (SELECT 'brand:Brand#12' AS node, 0 AS hops UNION SELECT un.y, r.hops + 1 FROM r JOIN un ON un.x = r.node WHERE r.hops < 5 AND r.node NOT LIKE 'customer:%' AND un.y NOT LIKE 'customer:%') SELECT min(hops) AS hops FROM r WHERE node = 'region:1'")
+def grf_shortest_path(spark, d):
+    k = links(spark, d).where("entity_a not like 'customer:%'").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
+    return bfs(k, spark.createDataFrame([("brand:Brand#12",)], "node string"), 5).where("node = 'region:1'").agg(F.min("hops").alias("hops"))
+
+
+PAGERANK_ROUNDS = 8
+
+
+def pagerank(spark, d, alpha: float = 0.5):
+    """Personalised to the brands, over undirected links without customers; a fixed number of rounds of one join each."""
+    from ..session import written
+
+    u = undirected(spark, d).where("x not like 'customer:%' and y not like 'customer:%'")
+    out = written(u.join(u.groupBy("x").agg(F.count("*").alias("deg")), "x"), "degrees")
+    seed = out.select(F.col("x").alias("node")).distinct().withColumn("s", F.when(F.col("node").startswith("brand:"), 1.0 / 25).otherwise(0.0))
+    now = seed.select("node", F.col("s").alias("p"))
+    for _ in range(PAGERANK_ROUNDS):
+        moved = out.join(now, F.col("x") == F.col("node")).groupBy(F.col("y").alias("to")).agg(F.sum(F.col("p") / F.col("deg")).alias("m"))
+        now = written(seed.join(moved, F.col("node") == F.col("to"), "left").select("node", (alpha * F.coalesce("m", F.lit(0.0)) + (1 - alpha) * F.col("s")).alias("p")), "ranks")
+    return now
+
+
+@query()
+def top_hybrid_rank(spark, d):
+    """0.7 of the similarity of an entity's name to the query and 0.3 of its rank scaled by the largest."""
+    p = pagerank(spark, d)
+    top = F.broadcast(p.agg(F.max("p").alias("top")))  # one row
+    named = p.join(entities(spark, d), F.col("node") == F.col("entity_id")).join(top)
+    sim = jaro_winkler(F.lower("name"), F.lit("brand#12"))
+    return named.select("entity_id", F.round(0.7 * sim + 0.3 * F.col("p") / F.col("top"), 6).alias("score")).orderBy(F.desc("score"), "entity_id").limit(25)

@@ -266,3 +266,36 @@ def btx_decay_check(spark, d):
 def btx_historical_evidence(spark, d):
     b = bars(spark, d).where("d between date_sub(date '1998-01-10', 365) and date '1998-01-10'").withColumn("n", F.count("*").over(Window.partitionBy("brand"))).where("n >= 2")
     return b.select("brand", F.col("d").cast("string").alias("dd"), F.when(F.col("ret") > 0.1, 1).when(F.col("ret") < -0.1, -1).otherwise(0).alias("direction"), "ret")
+
+
+STRATEGIES = ("buy_and_hold", "equal_weight", "risk_off", "directional")
+
+
+@query("""WITH m AS (SELECT d, avg(coalesce(ret, 0)) AS r FROM bars GROUP BY 1), v AS (SELECT m.d, r, avg(r) OVER (ORDER BY m.d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS a, stddev_pop(r) OVER (ORDER BY m.d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS s FROM m)
+SELECT strategy, round(sum(w * r), 5) AS total, count(*) AS days FROM (SELECT r, unnest(['buy_and_hold', 'equal_weight', 'risk_off', 'directional']) AS strategy, unnest([1.0, 0.04, CASE WHEN s > 0.05 THEN 0.0 ELSE 1.0 END, coalesce(sign(a), 0)]) AS w FROM v) GROUP BY 1""")
+def btx_builtin_strategies(spark, d):
+    """Weights of each strategy on the market's daily return, all in one pass; one row per day comes in."""
+    m = bars(spark, d).groupBy("d").agg(F.avg(F.coalesce("ret", F.lit(0.0))).alias("r"))
+    w = Window.orderBy("d").rowsBetween(-20, -1)
+    v = m.withColumn("a", F.avg("r").over(w)).withColumn("s", F.stddev_pop("r").over(w))
+    weights_of = [F.lit(1.0), F.lit(0.04), F.when(F.col("s") > 0.05, 0.0).otherwise(1.0), F.coalesce(F.signum("a"), F.lit(0.0))]
+    each = v.select("r", F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in STRATEGIES]).alias("strategy"), F.array(*weights_of).alias("w"))).alias("x"))
+    return each.groupBy("x.strategy").agg(F.round(F.sum(F.col("x.w") * F.col("r")), 5).alias("total"), F.count("*").alias("days"))
+
+
+@query("""WITH s AS (SELECT brand, bars.d, ret AS y, round(lag(ret) OVER w, 9) AS f1, round(lag(volume) OVER w, 9) AS f2, round(lag(high / low) OVER w, 9) AS f3 FROM bars WINDOW w AS (PARTITION BY brand ORDER BY bars.d)), k AS (SELECT * FROM s WHERE y IS NOT NULL AND f1 IS NOT NULL),
+a AS (SELECT round(corr(f1, y), 5) AS c1, round(corr(f2, y), 5) AS c2, round(corr(f3, y), 5) AS c3 FROM k) SELECT masked, score FROM (SELECT unnest(['none', 'ret', 'volume', 'range']) AS masked, unnest([round(abs(c1) + abs(c2) + abs(c3), 4), round(abs(c2) + abs(c3), 4), round(abs(c1) + abs(c3), 4), round(abs(c1) + abs(c2), 4)]) AS score FROM a)""")
+def btx_source_ablation(spark, d):
+    """The sum of absolute correlations with one source masked, beside the full one."""
+    w = w_brand()
+    s = bars(spark, d).select("brand", F.col("ret").alias("y"), F.round(F.lag("ret").over(w), 9).alias("f1"), F.round(F.lag("volume").over(w), 9).alias("f2"), F.round(F.lag(F.col("high") / F.col("low")).over(w), 9).alias("f3")).where("y is not null and f1 is not null")
+    a = s.agg(*[F.abs(F.round(F.corr(f, "y"), 5)).alias(f) for f in ("f1", "f2", "f3")])
+    score = lambda *fs: F.round(sum((F.col(f) for f in fs[1:]), F.col(fs[0])), 4)
+    rows = [("none", score("f1", "f2", "f3")), ("ret", score("f2", "f3")), ("volume", score("f1", "f3")), ("range", score("f1", "f2"))]
+    return a.select(F.explode(F.array(*[F.struct(F.lit(m).alias("masked"), v.alias("score")) for m, v in rows])).alias("x")).select("x.masked", "x.score")
+
+
+@query(f"WITH {WALK} SELECT CAST(d AS VARCHAR) AS dd, round(r, 6) AS r FROM pf")
+def btx_multi_asset_walk_forward(spark, d):
+    pf = walk_forward(spark, d).groupBy("d").agg(F.round(F.sum(F.col("w") * F.col("ret")), 6).alias("r"))
+    return pf.select(F.col("d").cast("string").alias("dd"), "r")

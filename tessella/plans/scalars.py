@@ -171,3 +171,54 @@ def fn_priority_score(spark, d):
     rank = F.col("longs") / F.col("oi")
     points = F.when((rank >= 0.8) | (rank <= 0.2), 3).when((rank >= 0.65) | (rank <= 0.35), 1).otherwise(0) + F.when(F.col("oi") > 200, 2).otherwise(0)
     return positioning(spark, d).select("brand", F.col("week").cast("string").alias("wk"), points.alias("priority"))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'debenture' WHEN lower(p_type) LIKE '%brass%' THEN 'floating' ELSE 'other' END AS charge FROM part")
+def fn_charge_class(spark, d):
+    text = F.when(F.contains(F.lower("p_type"), F.lit("steel")), "A fixed Debenture").when(F.contains(F.lower("p_type"), F.lit("brass")), "FLOATING and fixed").otherwise("none")
+    return table(spark, d, "part").select("p_partkey", S.matched(text, S.CHARGES, "other").alias("charge"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%.example.com/%' THEN 'com' WHEN url LIKE '%.example.net/%' THEN 'net' WHEN url LIKE '%.example.org/%' THEN 'org' ELSE 'other' END AS provider FROM pages")
+def fn_mail_cloud_provider(spark, d):
+    host = F.concat(F.regexp_extract("url", r"^https?://([^/]+)/", 1), F.lit("/"))
+    ends = lambda s: F.endswith(host, F.lit(f".example.{s}/"))
+    return table(spark, d, "pages").select("page_id", F.when(ends("com"), "com").when(ends("net"), "net").when(ends("org"), "org").otherwise("other").alias("provider"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'metals' WHEN p_type LIKE '%SMALL%' THEN 'size' ELSE '' END AS category FROM part")
+def fn_topic_category(spark, d):
+    """The category of the first tag found in the map: its words are the tags, the map's order decides."""
+    tags = F.split("p_type", " ")
+    return table(spark, d, "part").select("p_partkey", F.when(F.array_contains(tags, "STEEL"), "metals").when(F.array_contains(tags, "SMALL"), "size").otherwise("").alias("category"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.6 THEN 'dense' WHEN value / 100 >= 0.3 THEN 'moderate' WHEN value / 100 >= 0.1 THEN 'sparse' ELSE 'bare' END AS band FROM events")
+def fn_ndvi_health(spark, d):
+    return table(spark, d, "events").select("event_id", S.ladder(F.col("value") / 100, [(0.6, "dense"), (0.3, "moderate"), (0.1, "sparse")], "bare").alias("band"))
+
+
+@query("SELECT vec_id, round(list_avg(list_transform(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x * 10000 BETWEEN -2000 AND 10000), lambda x: x)), 5) AS ndvi FROM embeddings")
+def fn_ndvi_scale(spark, d):
+    kept = F.filter(F.col("embedding").cast("array<double>"), lambda x: (x * 10000).between(-2000, 10000))
+    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(kept), F.lit(0))
+    return table(spark, d, "embeddings").select("vec_id", F.round(mean, 5).alias("ndvi"))
+
+
+@query("""WITH p AS (SELECT brand, week, round(longs / oi * 100, 4) AS r, sign(longs - lag(longs) OVER (PARTITION BY brand ORDER BY positioning.week)) AS dir FROM positioning)
+SELECT brand, CAST(week AS VARCHAR) AS wk, CASE WHEN r >= 80 THEN 'CROWDED_LONG' WHEN r <= 20 THEN 'CROWDED_SHORT' WHEN r > 65 AND dir > 0 THEN 'MOMENTUM_UP' WHEN r > 20 AND r < 21 THEN 'NEUTRAL' WHEN r < 35 AND dir < 0 THEN 'MOMENTUM_DOWN' ELSE 'NEUTRAL' END AS signal FROM p""")
+def fn_cot_signal(spark, d):
+    from pyspark.sql import Window
+
+    r = F.round(F.col("longs") / F.col("oi") * 100, 4)
+    p = positioning(spark, d).withColumn("r", r).withColumn("dir", F.signum(F.col("longs") - F.lag("longs").over(Window.partitionBy("brand").orderBy("week"))))
+    s = F.when(F.col("r") >= 80, "CROWDED_LONG").when(F.col("r") <= 20, "CROWDED_SHORT").when((F.col("r") > 65) & (F.col("dir") > 0), "MOMENTUM_UP").when((F.col("r") > 20) & (F.col("r") < 21), "NEUTRAL").when((F.col("r") < 35) & (F.col("dir") < 0), "MOMENTUM_DOWN").otherwise("NEUTRAL")
+    return p.select("brand", F.col("week").cast("string").alias("wk"), s.alias("signal"))
+
+
+@query("SELECT s_suppkey, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def fn_resolve_port(spark, d):
+    """A code's leading letters or a name, looked up in a port table."""
+    ports = table(spark, d, "nation").select(F.concat(F.upper(F.substring("n_name", 1, 2)), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("code"), F.col("n_name").alias("country"), "n_nationkey")
+    calls = table(spark, d, "supplier").join(ports.select("n_nationkey", F.col("code").alias("called")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "called")
+    return calls.join(ports, F.col("called") == F.col("code")).select("s_suppkey", "country")
