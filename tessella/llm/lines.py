@@ -167,7 +167,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_filter_bytes: i
     twice, segments = twice_filter(texts, min_chars, max_filter_bytes)
     shared = spark.sparkContext.broadcast(twice)
     found = written(texts.mapInArrow(suspects(shared, segments, min_chars), "k1 long, k2 long, doc_id long"), "suspects")
-    repeated = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first")
+    # written, so that the join shuffles both sides anew and Spark can split a key that a third of all documents hold
+    repeated = written(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first"), "repeated")
     lost = found.join(repeated, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost")).withColumnRenamed("doc_id", "lost_id")
     rest = [c for c in docs.columns if c != text_col]
     each = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
