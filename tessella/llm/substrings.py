@@ -176,7 +176,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     doc = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc")
     each = docs.select(doc, text.alias("own_text"))
     found = written(each.mapInArrow(seeds(window, gram), "a long, c long, doc long, slot long"), "anchors")
-    shared = found.groupBy("a").agg(F.count("*").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1").select("a", F.expr("c0 <> c1").alias("differ"))
+    # groups are written before they are joined back: both sides are then shuffled anew, and Spark can split a hot anchor
+    shared = written(found.groupBy("a").agg(F.count("*").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1").select("a", F.expr("c0 <> c1").alias("differ")), "shared")
     seeded = written(found.join(shared, "a"), "seeds")
     whole = seeded.where("not differ").select("doc", "slot")
     kinds = written(seeded.where("differ").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "slot")).alias("one")), "kinds")
@@ -185,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     place, keep = key_filter(kinds.select("one.doc"), "doc", FILTER_BITS)
     some = each.select(place.alias("p"), "doc", "own_text").mapInArrow(keep, "p long, doc long, own_text string").drop("p")
     windows = written(some.join(listed, "doc").mapInArrow(extended(window, gram), "w long, doc long, slot long, off long"), "windows")
-    met = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    met = written(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "met")
     part = windows.join(met, "w", "left_semi").select("doc", "slot", "off")
     verdict = whole.select("doc", "slot", F.lit(-1).cast("long").alias("off")).union(part).groupBy("doc").agg(F.collect_set(F.struct("slot", "off")).alias("found")).withColumnRenamed("doc", "found_doc")
     rest = [c for c in docs.columns if c != text_col]
