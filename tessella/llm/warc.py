@@ -212,8 +212,9 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T0
     folder = folder if "://" in folder or not folder.startswith("file:") else "file://" + folder.removeprefix("file:")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2("html", 256))
-    # only digests that repeat are joined, so they are few and light; other payloads don't move
+    # digests that repeat, few and light; written, so that the join shuffles both sides anew and Spark can split a hot digest
     first = own.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(first, "digests")
     marked = own.join(first, "digest", "left")
     kind = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), "revisit").otherwise("response")
     rows = marked.select("page_id", "url", "html", "digest", kind.alias("kind"), "first")
