@@ -95,7 +95,27 @@ SPECS: list[Spec] = [
     Spec("earthquake_proximity", "struct<features:array<struct<id:string,properties:struct<mag:double,place:string,time:double>,geometry:struct<coordinates:array<double>>>>>", "p.features", "earthquake", "r.id", "earthquake", {"magnitude": "r.properties.mag", "place": "r.properties.place", "lon": "try_element_at(r.geometry.coordinates, 1)", "lat": "try_element_at(r.geometry.coordinates, 2)", "depth": "try_element_at(r.geometry.coordinates, 3)"}, "r.properties.place", "coalesce(r.properties.time / 1000, fetched_at)"),
     Spec("bankruptcy_court", "struct<entries:array<struct<debtor_name:string,chapter:string,court:string,case_number:string,pub_date:string>>>", "p.entries", "company", "nullif(trim(r.debtor_name), '')", "bankruptcy_status", {"source": "'pacer'", **same("chapter", "court", "case_number", "pub_date")}),
     Spec("energy_supply", "struct<series:array<struct<name:string,values:array<struct<period:string,value:double>>>>>", "p.series", "energy_series", "r.name", "petroleum_inventory", {"latest": "try_element_at(r.values, -1).value", "period": "try_element_at(r.values, -1).period", "periods": "size(r.values)"}),
-    Spec("defi_flows", "struct<protocols:array<struct<slug:string,name:string,chain:string,category:string,tvl:double,change_1d:double,change_7d:double>>>", "p.protocols", "protocol", "r.slug", "tvl_change", same("chain", "category", "tvl", "change_1d", "change_7d"), "r.name"),
+    Spec("defi_flows", "struct<protocols:array<struct<name:string,chain:string,chains:array<string>,category:string,tvl_usd:double,change_1d_pct:double,change_7d_pct:double>>>", "p.protocols", "protocol", "lower(trim(r.name))", "tvl_change", same("tvl_usd", "chain", "chains", "category", "change_1d_pct", "change_7d_pct"), "r.name", alias="protocol_name"),
+    Spec("academic_preprints", "struct<trials:array<struct<sponsor:string,nct_id:string,title:string,status:string,conditions:array<string>>>>", "p.trials", "company", "nullif(trim(r.sponsor), '')", "research_velocity", {"source": "'clinicaltrials'", **same("nct_id", "title", "status", "conditions")}),
+    Spec("academic_preprints", "struct<papers:array<struct<id:string,title:string,categories:array<string>,published:string>>>", "p.papers", "research_field", "try_element_at(r.categories, 1)", "research_velocity", {"source": "'arxiv'", "paper_id": "r.id", "title": "r.title"}, time=at(DAY, "r.published")),
+    Spec("consumer_sentiment", "struct<countries:array<struct<geo:string,value:double,period:string,mom_change:double,trend:string,consecutive_decline:bigint>>>", "p.countries", "country", "if(length(r.geo) = 2, r.geo, null)", "consumer_confidence", {"mode": "'eu_confidence'", "source": "'eurostat'", "latest": "r.value", **same("period", "mom_change", "trend", "consecutive_decline")}),
+    Spec("consumer_sentiment", "struct<sentiment:struct<sentiment_latest:double,sentiment_date:string,sentiment_mom:double,sentiment_alert:string,inflation_exp_1yr:double,inflation_anchor:string>>", "array_compact(array(p.sentiment))", "country", "'US'", "consumer_confidence", {"mode": "'us_sentiment'", "source": "'fred'", "latest": "r.sentiment_latest", "period": "r.sentiment_date", "mom_change": "r.sentiment_mom", "trend": "r.sentiment_alert", **same("inflation_exp_1yr", "inflation_anchor")}),
+    Spec("creditor_filings", "struct<filings:array<struct<company:string,cik:string,form:string,file_date:string,items:array<string>>>>", "p.filings", "company", "coalesce(r.cik, trim(r.company))", "creditor_filing", {"cik": "r.cik", "form": "coalesce(r.form, '8-K')", "file_date": "r.file_date", "items": "r.items"}, "r.company", at(DAY, "r.file_date")),
+    Spec("creditor_filings", "struct<company_name:string,charges:array<struct<charge_code:string,status:string,created_on:string,holders:array<string>>>>", "p.charges", "company", "nullif(trim(p.company_name), '')", "creditor_filing", {"form": "'charge'", **same("charge_code", "status", "created_on")}, time=at(DAY, "r.created_on"), links=(Link("debtor_of", "company", "explode_from:r.holders"),)),
+    Spec("disease_surveillance", "struct<wastewater:struct<pathogen:string,total_samples:bigint,states_count:bigint,hot_states:array<string>,surge_count:bigint>>", "array_compact(array(p.wastewater))", "country", "'US'", "pathogen_level", {"mode": "'wastewater'", **same("pathogen", "total_samples", "states_count", "hot_states", "surge_count")}),
+    Spec("disease_surveillance", "struct<outbreaks:array<struct<country:string,disease:string,title:string,date:string>>>", "p.outbreaks", "country", "nullif(trim(r.country), '')", "pathogen_level", {"mode": "'outbreaks'", **same("disease", "title")}, time=at(DAY, "r.date")),
+    Spec("dividend_data", "struct<ticker:string,dividends:array<struct<date:string,amount:double>>>", "p.dividends", "instrument", "upper(p.ticker)", "dividend", {"amount": "r.amount", "ex_date": "r.date"}, time=at(DAY, "r.date")),
+    Spec("dns_monitor", "struct<domain:string,analysis:struct<cloud_providers:array<string>,mx_provider:string,ns_provider:string,min_ttl:bigint,low_ttl_warning:boolean,record_count:bigint>>", "array_compact(array(p.analysis))", "domain", "p.domain", "dns_change", same("cloud_providers", "mx_provider", "ns_provider", "min_ttl", "low_ttl_warning", "record_count"), alias="domain_name"),
+    Spec("drug_regulatory", "struct<records:array<struct<sponsor_name:string,application_number:string,brands:array<string>,latest_submission_type:string,latest_submission_date:string,review_priority:string>>>", "p.records", "company", "nullif(trim(r.sponsor_name), '')", "drug_approval", {"application_number": "r.application_number", "brand_names": "r.brands", "submission_type": "r.latest_submission_type", "submission_date": "r.latest_submission_date", "review_priority": "r.review_priority"}, time="coalesce(unix_timestamp(try_to_timestamp(r.latest_submission_date, 'yyyyMMdd')), fetched_at)", links=(Link("market_authorized_in", "country", "'US'"),)),
+    Spec("electricity_monitor", "struct<region:string,region_name:string,mode:string>", "array(named_struct('x', 1))", "organization", "p.region", "grid_demand", {"mode": "p.mode", "region": "p.region", "region_name": "coalesce(p.region_name, p.region)"}),
+    Spec("finra_short_volume", "struct<records:array<struct<symbol:string,settlement_date:string,short_volume:double,total_volume:double,short_ratio:double,days_to_cover:double>>>", "p.records", "instrument", "upper(r.symbol)", "short_interest", same("short_volume", "total_volume", "short_ratio", "days_to_cover"), time=at(DAY, "r.settlement_date")),
+    Spec("food_security", "struct<country:string,mode:string,indicator:string,latest_value:double,latest_year:int,signals:struct<yoy_change_pct:double,trend_direction:string,consecutive_years:bigint,stress_alert:boolean,vulnerability:string>>", "array_compact(array(p.signals))", "country", "p.country", "food_security", {"mode": "p.mode", "indicator": "p.indicator", "latest_value": "p.latest_value", "latest_year": "p.latest_year", **same("yoy_change_pct", "trend_direction", "consecutive_years", "stress_alert", "vulnerability")}),
+    Spec("gov_contracts", "struct<awards:array<struct<recipient:string,award_id:string,amount_usd:double,agency:string,award_type:string,country:string,date:string>>>", "p.awards", "company", "nullif(trim(r.recipient), '')", "contract_award", same("award_id", "amount_usd", "agency", "award_type", "country"), time=at(DAY, "r.date"), links=(Link("operates_in", "country", "r.country"), Link("awarded_by", "organization", "r.agency"))),
+    Spec("instrument_universe", "struct<bars:array<struct<ticker:string,date:string,close:double,log_return:double,volume:double>>>", "p.bars", "instrument", "upper(r.ticker)", "instrument_daily", same("close", "log_return", "volume"), time=at(DAY, "r.date")),
+    Spec("interconnection_queue", "struct<projects:array<struct<entity_name:string,plant_name:string,nameplate_capacity_mw:double,energy_source_code:string,state:string,status:string,technology:string>>>", "p.projects", "company", "nullif(trim(r.entity_name), '')", "project_status", same("plant_name", "nameplate_capacity_mw", "energy_source_code", "state", "status", "technology"), links=(Link("located_in", "country", "'US'"),)),
+    Spec("options_chain", "struct<ticker:string,summary:struct<spot:double,atm_iv:double,put_call_oi:double,total_oi:double>,observed_at:double>", "array_compact(array(p.summary))", "instrument", "upper(p.ticker)", "options_chain_eod", same("spot", "atm_iv", "put_call_oi", "total_oi"), time="coalesce(p.observed_at, fetched_at)"),
+    Spec("regulatory_gazette", "struct<mode:string,agencies:array<struct<key:string,name:string,doc_count:bigint,significant_count:bigint,types:array<string>>>>", "p.agencies", "organization", "r.key", "regulatory_velocity", {"mode": "p.mode", "name": "r.name", "doc_count": "r.doc_count", "significant_count": "r.significant_count", "types": "array_sort(r.types)"}, "r.name"),
+    Spec("nightlight_activity", "struct<zones:array<struct<zone:string,total_frp:double,hotspots:bigint,mean_brightness:double,high_share:double>>>", "p.zones", "zone", "r.zone", "zone_activity", same("total_frp", "hotspots", "mean_brightness", "high_share")),
 ]
 
 
