@@ -54,28 +54,29 @@ def event_scores(spark, d, window: float, least: float, sources, weight=None):
 
 
 def scored_sql(window: int, least: float, where: str, weight: str = "1") -> str:
-    return f"""WITH {EVENTS_2024} SELECT o.obs_id, e.event_key, e.event_line, e.event_part, round(epoch(o.ts) - epoch(e.ts), 3) AS delta,
+    """A CTE list that ends in sc, the scored pairs."""
+    return f"""WITH {EVENTS_2024}, sc AS (SELECT o.obs_id, e.event_key, e.event_line, e.event_part, round(epoch(o.ts) - epoch(e.ts), 3) AS delta,
   round(abs(e.score) / 10 * greatest(0, 1 - abs(epoch(o.ts) - epoch(e.ts)) / {window}.0) * {weight}, 6) AS score
 FROM obs o JOIN links k ON k.entity_a = o.entity_id AND k.link_type = 'headquartered_in' JOIN e ON e.entity_id = k.entity_b
-WHERE e.score <= {least} AND abs(epoch(o.ts) - epoch(e.ts)) <= {window} AND {where}"""
+WHERE e.score <= {least} AND abs(epoch(o.ts) - epoch(e.ts)) <= {window} AND {where})"""
 
 
-@query(scored_sql(43200, -8, "o.obs_id % 5 = 0"))
+@query(scored_sql(43200, -8, "o.obs_id % 5 = 0") + " SELECT * FROM sc")
 def join_insider_x_event(spark, d):
     return event_scores(spark, d, 12 * HOURS, -8, lambda o: F.col("obs_id") % 5 == 0)
 
 
-@query(scored_sql(172800, -9.5, "o.source = 'error'"))
+@query(scored_sql(172800, -9.5, "o.source = 'error'") + " SELECT * FROM sc")
 def join_vessel_x_sanctions(spark, d):
     return event_scores(spark, d, 48 * HOURS, -9.5, lambda o: F.col("source") == "error")
 
 
-@query(scored_sql(86400, -9, "o.obs_id % 7 = 0", "least(o.value / 100.0, 1)"))
+@query(scored_sql(86400, -9, "o.obs_id % 7 = 0", "least(o.value / 100.0, 1)") + " SELECT * FROM sc")
 def join_transfer_x_event(spark, d):
     return event_scores(spark, d, 24 * HOURS, -9, lambda o: F.col("obs_id") % 7 == 0, F.least(F.col("l.value") / 100, F.lit(1.0)))
 
 
-@query(f"""WITH s AS ({scored_sql(43200, -8, "o.obs_id % 5 = 0").replace("WITH " + EVENTS_2024, "")}), {EVENTS_2024} SELECT obs_id, count(*) AS patterns, max(score) AS best, 3 AS depth FROM s WHERE score >= 0.5 GROUP BY 1""".replace("WITH s AS", "WITH " + EVENTS_2024 + ", s AS").replace(f"), {EVENTS_2024} SELECT", ") SELECT"))
+@query(scored_sql(43200, -8, "o.obs_id % 5 = 0") + " SELECT obs_id, count(*) AS patterns, max(score) AS best, 3 AS depth FROM sc WHERE score >= 0.5 GROUP BY 1")
 def join_store_l3(spark, d):
     return join_insider_x_event(spark, d).where("score >= 0.5").groupBy("obs_id").agg(F.count("*").alias("patterns"), F.max("score").alias("best"), F.lit(3).alias("depth"))
 

@@ -169,3 +169,63 @@ def mod_pricing_spread(spark, d):
 @query("SELECT entity_type, count(*) AS n FROM entities WHERE contains(lower(name), 'a') GROUP BY 1")
 def mod_entity_search(spark, d):
     return ranked(search(entities(spark, d), ["name"], "A"), ["entity_type"], {"n": F.count("*")}, ["entity_type"])
+
+
+@query("SELECT n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS tvl, round(100.0 * sum(s_acctbal) / sum(sum(s_acctbal)) OVER (), 4) AS share FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def mod_chain_tvl(spark, d):
+    """Value locked per chain: sums, counts and shares."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    g = s.join(n, s.s_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("suppliers"), F.sum("s_acctbal").alias("v"))
+    total = F.broadcast(g.agg(F.sum("v").alias("t")))  # one row
+    return g.join(total).select("n_name", "suppliers", F.round("v", 2).alias("tvl"), F.round(100.0 * F.col("v") / F.col("t"), 4).alias("share"))
+
+
+@query("""WITH k AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) SELECT o_custkey, CAST(d AS VARCHAR) AS dd, o_totalprice FROM k WHERE k <= 3""")
+def mod_tvl_history(spark, d):
+    """The newest three points of each series."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    return table(spark, d, "orders").withColumn("k", k).where("k <= 3").select("o_custkey", F.to_date("o_orderdate").cast("string").alias("dd"), "o_totalprice")
+
+
+@query("""WITH i AS (SELECT source, date_trunc('hour', ts) AS h, sum(value) AS v FROM obs GROUP BY 1, 2) SELECT a.source AS src, b.source AS dst, count(*) AS hours, round(sum(a.v - b.v), 4) AS net FROM i a JOIN i b ON a.h = b.h AND a.source < b.source GROUP BY 1, 2""")
+def mod_interchange(spark, d):
+    """Net flow between regions over the hours both report; the sources are few, so a pivot-free join by hour stays small."""
+    i = obs(spark, d).groupBy("source", F.date_trunc("hour", "ts").alias("h")).agg(F.sum("value").alias("v"))
+    j = i.toDF("src", "h", "a").join(i.toDF("dst", "h", "b"), "h").where("src < dst")
+    return j.groupBy("src", "dst").agg(F.count("*").alias("hours"), F.round(F.sum(F.col("a") - F.col("b")), 4).alias("net"))
+
+
+@query("SELECT p_brand, count(*) FILTER (WHERE p_size >= 40) AS significant, count(*) AS docs, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY 1")
+def mod_agency_activity(spark, d):
+    p = table(spark, d, "part")
+    return p.groupBy("p_brand").agg(F.count_if(F.col("p_size") >= 40).alias("significant"), F.count("*").alias("docs"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS dd FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' AND o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 80")
+def mod_upcoming(spark, d):
+    o = search(table(spark, d, "orders"), [], where=(F.col("o_orderdate") >= F.lit("1998-06-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "O"), order=["o_orderdate", "o_orderkey"], limit=80)
+    return o.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("dd"))
+
+
+@query("SELECT wallet, count(*) AS trades, count(DISTINCT market) AS markets, round(sum(usdc), 2) AS volume, round(sum(CASE WHEN side = 'buy' THEN usdc ELSE -usdc END), 2) AS net FROM trades WHERE wallet IN (SELECT wallet FROM trades GROUP BY 1 ORDER BY round(sum(usdc), 2) DESC, wallet LIMIT 50) GROUP BY 1")
+def mod_wallet_detail(spark, d):
+    """Detail of the 50 largest wallets."""
+    t = trades(spark, d)
+    top = F.broadcast(t.groupBy("wallet").agg(F.round(F.sum("usdc"), 2).alias("v")).orderBy(F.desc("v"), "wallet").limit(50).select("wallet"))  # 50 rows
+    net = F.sum(F.when(F.col("side") == "buy", F.col("usdc")).otherwise(-F.col("usdc")))
+    return t.join(top, "wallet", "left_semi").groupBy("wallet").agg(F.count("*").alias("trades"), F.countDistinct("market").alias("markets"), F.round(F.sum("usdc"), 2).alias("volume"), F.round(net, 2).alias("net"))
+
+
+@query("""WITH g AS (SELECT c_nationkey AS country, c_mktsegment AS kind, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1, 2) SELECT country, kind, v, rank() OVER (PARTITION BY kind ORDER BY v DESC) AS place FROM g""")
+def mod_holdings_ranking(spark, d):
+    g = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("kind")).agg(F.round(F.sum("c_acctbal"), 2).alias("v"))
+    return g.withColumn("place", F.rank().over(Window.partitionBy("kind").orderBy(F.desc("v"))).cast("long"))
+
+
+@query("""WITH y AS (SELECT s_nationkey AS c, year(l_shipdate) AS y, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), x AS (SELECT *, lag(v) OVER (PARTITION BY c ORDER BY y.y) AS p FROM y) SELECT c, x.y AS yr, v, round((v / p - 1) * 100, 4) AS yoy, coalesce((v / p - 1) * 100 <= -5, false) AS stress FROM x""")
+def mod_yearly_stress(spark, d):
+    """Yearly series of the statistics sources: change on the year and the stress flag."""
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    y = li.join(s, li.l_suppkey == s.s_suppkey).groupBy(F.col("s_nationkey").alias("c"), F.year("l_shipdate").alias("yr")).agg(F.sum("l_quantity").alias("v"))
+    pct = (F.col("v") / F.lag("v").over(Window.partitionBy("c").orderBy("yr")) - 1) * 100
+    return y.withColumn("x", pct).select("c", "yr", "v", F.round("x", 4).alias("yoy"), F.coalesce(F.col("x") <= -5, F.lit(False)).alias("stress"))

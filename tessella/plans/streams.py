@@ -118,3 +118,25 @@ def str_failure_streaks(spark, d):
 
     o = obs(spark, d).withColumn("at", F.struct("ts", "obs_id"))
     return trailing_run(o, ["entity_id"], "at", lambda w: F.col("value") < 40, "failures").withColumn("dropped", F.col("failures") >= 3)
+
+
+@query("SELECT entity_id, obs_id, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n FROM obs WINDOW w AS (PARTITION BY entity_id ORDER BY ts, obs_id ROWS BETWEEN 34 PRECEDING AND 5 PRECEDING)")
+def str_rolling_baseline_state(spark, d):
+    """Batch form of the bounded history per entity: 30 values that end 5 before the current one."""
+    w = Window.partitionBy("entity_id").orderBy("ts", "obs_id").rowsBetween(-34, -5)
+    return obs(spark, d).select("entity_id", "obs_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.count("value").over(w).alias("n"))
+
+
+@query("SELECT source, count(*) AS known, epoch_us(max(ts)) AS last_us FROM obs WHERE ts + INTERVAL 3 DAY <= TIMESTAMP '2024-01-20' GROUP BY 1")
+def str_late_data_rule(spark, d):
+    """Point-in-time read: a row counts three days after its own time."""
+    o = obs(spark, d).where(F.expr("ts + interval 3 days <= timestamp '2024-01-20'"))
+    return o.groupBy("source").agg(F.count("*").alias("known"), F.unix_micros(F.max("ts")).alias("last_us"))
+
+
+@query("SELECT epoch_us(to_timestamp(epoch_us(ts) // 900000000 * 900)) AS batch_us, count(*) AS n FROM obs WHERE epoch_us(ts) // 900000000 < (SELECT max(epoch_us(ts)) // 900000000 FROM obs) GROUP BY 1")
+def str_windowed_ingest(spark, d):
+    """Fifteen-minute batches, one behind the newest, which may be incomplete."""
+    o = obs(spark, d).withColumn("b", F.floor(F.unix_micros("ts") / 900_000_000))
+    last = F.broadcast(o.agg(F.max("b").alias("last")))  # one row
+    return o.join(last, F.col("b") < F.col("last")).groupBy((F.col("b") * 900_000_000).alias("batch_us")).agg(F.count("*").alias("n"))
