@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
+from ..operators.vectors import nearest
 from ..registry import query
 from .series import WZ, event_scores, zsql
 from .views import bars, entities, links, obs, positioning, series, table
@@ -90,10 +90,8 @@ def top_pairs(spark, d):
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS k FROM s) SELECT q, vec_id, sim FROM k WHERE k <= 5""")
 def top_embedding_k(spark, d):
     """The stated query set (every id divisible by 20) against all vectors, in blocks of queries."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
-    s = e.join(queries, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(cosine(F.col("qe"), F.col("e")), 6).alias("sim"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id"))).where("k <= 5").select("q", "vec_id", "sim")
+    e = table(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 20 = 0"), 5).withColumnRenamed("id", "vec_id")
 
 
 @query("SELECT entity_a AS x, entity_b AS y FROM links WHERE link_type = 'part_of' UNION SELECT entity_b, entity_a FROM links WHERE link_type = 'part_of'")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import drift, folds, graphs, joins, stats
+from tessella.operators import drift, folds, graphs, joins, stats, vectors
 from tessella.plans.ranking import diversified
 from tessella.plans.series import dedupe_latest, trailing_run, z_against, before
 from tessella.sources import store
@@ -178,3 +178,18 @@ def test_scalars(spark):
 def test_binomial_tail(spark, k, n, p):
     got = spark.createDataFrame([(float(k), float(n), p)], "k double, n double, p double").select(S.binomial_upper("k", "n", "p").alias("x")).first().x
     assert math.isclose(got, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_vector_search(spark, block):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 4))
+    m[3] = m[4] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.nearest(df, df.where("vec_id % 20 = 0"), 5, block=block).collect()
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    for q in (0, 20, 40):
+        sims = np.round(unit @ unit[q], 6)
+        want = sorted((i for i in range(60) if i != q), key=lambda i: (-sims[i], i))[:5]
+        assert [r.id for r in sorted((r for r in got if r.q == q), key=lambda r: (-r.sim, r.id))] == want
