@@ -156,7 +156,8 @@ def link_forest(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUN
         return total
 
     dealt = distinct.select("fp", F.posexplode(F.array(*[key(b) for b in keys])).alias("t", "k"))
-    large = dealt.groupBy("t", "k").agg(F.count("*").alias("c")).where(f"c > {chunk}")
+    # few groups are large; written, so that the join shuffles both sides anew or broadcasts these by their known size
+    large = written(dealt.groupBy("t", "k").agg(F.count("*").alias("c")).where(f"c > {chunk}"), "large-groups")
     salted = dealt.join(large, ["t", "k"], "left").withColumn("m", F.expr(f"cast(coalesce(ceil(c / {chunk}), 1) as int)"))
     own = F.expr("cast(pmod(xxhash64(fp), m) as int)")
     paired = salted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
