@@ -7,7 +7,8 @@ its own input, drops what its decision says, and changes nothing else:
 2. line_dedup: repeated lines go from all documents but the first; n_chars is
    counted anew where a text has changed.
 3. simhash: one document of each group of near-duplicates stays, the one with
-   the smallest id. Of rows that repeat that id one stays; rows
+   the smallest id; texts link at a Jaccard similarity of their 5-word shingles
+   of 0.8 or more. Of rows that repeat that id one stays; rows
    without an id stay.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. packing: pieces of windows of 1024 tokens.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, lines, packing, quality, queries, simhash
+from tessella.llm import decontaminate, lines, nearcopies, packing, quality, queries
 
 #: No SQL expresses the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -39,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(docs)
+    groups = nearcopies.near_groups(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "stay_id")
     kept = docs.join(stay, F.col("doc_id") == F.col("stay_id")).drop("stay_id")
     one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])

@@ -1,0 +1,139 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates from MinHash bands, each verified exactly.
+
+Two texts link when their sets of SHINGLE-word shingles have a Jaccard
+similarity of SIMILARITY at least; a component is all that links connect.
+
+Equal sets collapse first, so copies cost nothing further. The sets' MinHash
+values are cut into BANDS bands of ROWS; two sets meet in a band's group with
+probability similarity ** ROWS, so a pair at 0.8 is missed with probability
+(1 - 0.8 ** 3) ** 12, about 0.0002, and closer ones less often. Only sets that
+meet another fetch their text. A group is verified on the whole sets (64-bit
+hashes of the shingles), so no link depends on an estimate, and returns a
+spanning forest of its links. A group of over CHUNK sets is dealt as pairs of
+chunks, each a task's work of its own.
+
+Defined cases: words are split at ASCII white space after lower-casing A-Z;
+fewer words than a shingle, none included, are one shingle of the whole
+sequence; rows with a null id get a component through the others' ids, null if
+there is none; an empty table gives no rows; other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import written
+from .common import narrow
+from .components import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 12, 3
+CHUNK = 4096
+MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()  # bytes: only A-Z and ASCII white space
+    joined = b" ".join(words)
+    n = len(words) - shingle + 1
+    if n <= 1:
+        return np.array([xxh64_intdigest(joined, 7)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    return np.unique(np.array([xxh64_intdigest(joined[s:e], 7) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def band_keys(own: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    rng = np.random.default_rng(11)
+    salts = rng.integers(1 << 62, size=(2, bands * rows, 1), dtype=np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 1024):
+        x = (own[i : i + 1024] ^ salts[0]) * (salts[1] | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * MIX).min(axis=1))
+    key = np.zeros(bands, np.uint64)
+    for m in least.reshape(bands, rows).T:
+        key = (key ^ m) * MIX
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def sketcher(shingle: int, bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            classes = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = [band_keys(x, bands, rows).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "class", "keys"])
+
+    return run
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of the sets. side: 0 for all alike; 1 and 2 for chunks of which only links across count."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    size, side = np.array([len(x) for x in sets], np.int64)[order], side[order]
+    label, links = np.arange(len(sets)), []
+    for at in range(len(sets) - 1):
+        own = sets[order[at]]
+        # partners of a sufficient size stand in one run
+        end = int(np.searchsorted(size, len(own) / similarity + 1e-9, side="right"))
+        run = np.arange(at + 1, end)
+        run = run[(label[run] != label[at]) & ((side[run] != side[at]) | (side[at] == 0))]
+        if not len(run):
+            continue
+        flat = np.concatenate([sets[order[r]] for r in run])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[run])[:-1]]), dtype=np.int64)
+        for r in run[both >= similarity * (len(own) + size[run] - both) - 1e-9].tolist():
+            if label[r] != label[at]:
+                label[label == label[r]] = label[at]
+                links.append((int(order[at]), int(order[r])))
+    return links
+
+
+def linker(shingle: int, similarity: float):
+    def run(key, group):
+        names = group["class"].to_numpy()
+        e = forest([shingles(t, shingle) for t in group["text"].to_pylist()], group["side"].to_numpy(), similarity)
+        i = np.array(e, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(names[i[:, 0]]), "b": pa.array(names[i[:, 1]])})
+
+    return run
+
+
+def link_forest(each: DataFrame, texts: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """a, b: verified links among the classes of each (class, h, keys). texts: h, text."""
+    one = each.groupBy("class").agg(F.min(F.struct("h", "keys")).alias("x")).select("class", "x.h", "x.keys")
+    dealt = written(one.select("class", "h", F.posexplode("keys").alias("t", "k")), "bands")
+    # written, so that the join shuffles both sides anew or broadcasts these by their known size
+    met = written(dealt.groupBy("t", "k").agg(F.count("*").alias("c")).where("c > 1"), "met-groups")
+    salted = dealt.join(met, ["t", "k"]).withColumn("m", F.expr(f"cast(ceil(c / {chunk}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(class), m) as int)"))
+    paired = written(salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(
+        "t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "h",
+        F.expr("case when own = other then 0 when own < other then 1 else 2 end").alias("side"),
+    ), "candidates")
+    needed = written(texts.join(paired.select("h").distinct(), "h").dropDuplicates(["h"]), "candidate-texts")
+    return paired.join(needed, "h").drop("h").groupBy("t", "k", "i", "j").applyInArrow(linker(shingle, similarity), "a long, b long")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: the smallest id reachable over links."""
+    own = narrow(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    each = written(own.mapInArrow(sketcher(shingle, bands, rows), "doc_id long, h long, class long, keys array<long>"), "sketches")
+    found = components(link_forest(each, own.select("h", "text"), shingle, similarity, chunk))
+    classes = each.groupBy("class").agg(F.min("doc_id").alias("least"))
+    rooted = classes.join(found, F.col("class") == found.u, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = rooted.join(named, "root").select("class", "component_id")
+    return each.select("doc_id", "class").join(by_class, "class").select("doc_id", "component_id")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessella.llm import exact, lines, simhash, substrings
+from tessella.llm import exact, lines, nearcopies, simhash, substrings
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = str.maketrans(UP, LOW)
@@ -157,3 +157,60 @@ def test_empty_tables(no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
     assert substrings.remove_repeats(no_docs).count() == 0
     assert simhash.near_groups(no_docs).count() == 0
+
+
+def brute_shingles(t, k=5):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_near_copies(rows):
+    """The smallest id of each component of pairs at 0.8 or more, by row."""
+    sets = [brute_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    ids = defaultdict(list)
+    for (d, _), r in zip(rows, root):
+        ids[r] += [] if d is None else [d]
+    return Counter((d, min(ids[r], default=None)) for (d, _), r in zip(rows, root))
+
+
+@pytest.fixture(scope="module")
+def edited_copies():
+    """Texts with copies in which some words differ, around and over the limit of 0.8."""
+    rng = np.random.default_rng(6)
+    out = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        for changes in (0, 1, 2, 3, 4, 6):
+            w = list(base)
+            for at in rng.choice(len(w), changes, replace=False):
+                w[at] = f"z{rng.integers(1 << 30)}"
+            out.append((6 * i + changes, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 2])
+def test_near_copies_by_jaccard(spark, docs, rows, edited_copies, chunk):
+    every = [(d, t) for d, t, *_ in rows] + [(1000 + d, t) for d, t in edited_copies]
+    got = nearcopies.near_groups(spark.createDataFrame(every, "doc_id long, text string").repartition(3), chunk=chunk).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == brute_near_copies(every)
+
+
+def test_the_pipeline_drops_near_copies(spark, edited_copies):
+    import corpus_pipeline
+
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(edited_copies, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == {least for _, least in brute_near_copies(edited_copies)}
+
+
+def test_near_copies_of_no_documents(no_docs):
+    assert nearcopies.near_groups(no_docs).count() == 0
