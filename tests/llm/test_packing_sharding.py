@@ -1,5 +1,6 @@
 """Packing and sharding: whole, gapless, within capacity, and the same at any cut."""
 
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -40,6 +41,18 @@ def test_ranks_give_the_ids_of_the_tokenizer_file(rows):
             assert fast(t or "") == own.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("ranks", [True, False])
+def test_added_tokens_have_the_ids_of_the_tokenizer_file(tmp_path, ranks):
+    own, path = Tokenizer.from_file(PATH), PATH
+    if not ranks:  # no rank file beside the copy
+        path = str(tmp_path / "alone.json")
+        shutil.copy(PATH, path)
+    encode, end = packing.encoder(path), "<|endoftext|>"
+    assert encode(f"a{end}b") == [64, 50256, 65]
+    for t in (end, f"{end}at the start", f"in the {end} middle", f"at the end{end}", f"{end}{end} \n{end}x", "<|endoftext", "<|endoftext|", f"é{end}\n\n"):
+        assert encode(t) == own.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_pack(docs, rows, capacity):
     encode = packing.encoder(PATH)
