@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,11 @@ def components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     raise RuntimeError(f"the labels did not settle in {most} rounds")
 
 
-def cliques(edges: DataFrame, least: int = 3, most: int = 12, cap: int = 10_000) -> DataFrame:
+def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     """Maximal cliques of a small graph (edges a < b) with at least `least` members, as sorted arrays.
 
     A clique of size k grows by every larger common neighbour of its members; cliques without any
-    neighbour common to all members are maximal.
+    neighbour common to all members are maximal. Each round is written; the rounds end when nothing grows.
     """
     e = edges.select("a", "b").distinct()
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,8 +40,8 @@ def cliques(edges: DataFrame, least: int = 3, most: int = 12, cap: int = 10_000)
     now = e.join(adjacent.withColumnRenamed("ns", "n1"), F.col("a") == F.col("node")).drop("node").join(adjacent.withColumnRenamed("ns", "n2"), F.col("b") == F.col("node"))
     now = now.select(F.array("a", "b").alias("members"), F.array_intersect("n1", "n2").alias("common"))
     found = None
-    for size in range(2, most + 1):
-        now = written(now.limit(cap), f"cliques-{size}")
+    for size in count(2):
+        now = written(now, f"cliques-{size}")
         if size >= least:
             done = now.where(F.size("common") == 0).select("members")
             found = done if found is None else found.union(done)
@@ -47,7 +49,6 @@ def cliques(edges: DataFrame, least: int = 3, most: int = 12, cap: int = 10_000)
         if not grown.limit(1).count():
             return found if found is not None else now.select("members").limit(0)
         now = grown.join(adjacent, F.col("next") == F.col("node")).select(F.concat("members", F.array("next")).alias("members"), F.array_intersect("common", "ns").alias("common"))
-    return found
 
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

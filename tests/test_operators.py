@@ -114,6 +114,14 @@ def test_append_writes_partitions(spark, tmp_path):
     assert back.count() == 4 and back.where("source = 's2'").count() == 2
 
 
+def test_cliques_of_any_size_and_number(spark):
+    large = [f"m{i:02}" for i in range(13)]
+    e = [(a, b) for i, a in enumerate(large) for b in large[i + 1 :]]
+    assert [tuple(r.members) for r in graphs.cliques(spark.createDataFrame(e, "a string, b string")).collect()] == [tuple(large)]
+    many = spark.range(10_001).selectExpr("concat('a', id) as a", "concat('b', id) as b")
+    assert graphs.cliques(many, least=2).count() == 10_001
+
+
 def test_components_and_cliques(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (100, 102)]
     roots = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
