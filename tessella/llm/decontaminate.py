@@ -4,24 +4,29 @@ A document leaks an item when some passage of it is within (1 - SIMILARITY) of
 the item's length in character edits, after lower-casing and reducing both to
 words joined by one space.
 
-The CGK walk reads a word sequence with a pointer: step j writes the word under
-the pointer and then moves on or stays, by a random bit of (j, word). It maps
-few edits to few differing positions, because two walks fall back into step
-soon after an edit. A hash of some sampled positions is a bit-sampling LSH.
-Windows as long as the item start at every word of a document; as a window is
-reached from any of its words, item and document are embedded from each word on
-over a span of SPAN words (shorter items over all their words), and a hit at
-word p for word o of the item proposes the window at p - o. The walks of all
-words of a batch are taken at once in numpy.
-
-Repeats use other random bits and positions. Their number is the least that
-finds the target recall of edited copies of the items themselves, in a fixed
-trial. Proposed windows are verified by the exact edit distance (bit-parallel,
-free ends in the document), so precision doesn't depend on the hashes.
-
-The benchmark is the query set: it is read in blocks of bounded size, and each
-block's index is broadcast. Documents pass through one task each, without a
-shuffle or a join.
+The CGK walk reads characters with a pointer: step j writes the character under
+the pointer and then moves on or stays, by a random bit of (j, character). It
+maps few edits to few differing positions, because two walks fall back into
+step soon after an edit. A hash of some sampled positions is a bit-sampling
+LSH. Windows as long as the item start at every word of a document. As a tenth
+or more of the characters may differ, no long walk stays in step; so item and
+document are embedded from each of their words on, and a hit of the item's
+character o at the document's character p proposes the window at p - o. A
+window is a candidate when enough such hits agree on it, up to a drift of a
+tenth of the item. The walks of all words of many documents are taken at once
+in numpy.
+
+Repeats use other random bits and positions. Their number is the least at which
+a fixed trial proposes RECALL of edited copies of the items; the copies have as
+many edits as a leak may have, and each class of item lengths is held to it. A
+block that misses it after MOST_REPEATS raises an error. Candidates are verified
+by the exact edit distance (bit-parallel, free ends in the document), so
+precision doesn't depend on the hashes.
+
+The benchmark is the query set: it is read in blocks of bounded size, and one
+block's index, plain arrays, is broadcast at a time. With one block documents
+pass through one task each, without a shuffle or a join; with more, each block
+writes its leaks by the text's digest, and documents join the leaks at the end.
 
 Defined cases: null and empty texts leak nothing, and null or wordless items
 match nothing; null ids are kept as they are; repeated documents are judged
@@ -40,53 +45,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY, RECALL, EDITS = 0.8, 0.99, 0.12
-SPAN, STEPS, SAMPLED, MOST_REPEATS = 12, 18, 6, 8
-BLOCK_WORDS = 500_000
+from ..session import written
+
+SIMILARITY, RECALL, MOST_REPEATS, TRIALS = 0.8, 0.95, 24, 300
+#: Of each class of items: the least characters, how many hits have to agree, and its walk; of each walk: its steps, its
+#: sampled positions, and whether it starts at every character (short items have few words).
+CLASSES = ((140, 3, 0), (80, 2, 0), (48, 1, 1), (32, 1, 2), (1, 1, 3))
+WALKS = ((28, 10, False), (18, 6, False), (8, 4, False), (5, 3, True))
+BLOCK_CHARS = 2_000_000
 TABLE_BITS = 20
+CHUNK_CHARS, SLICE = 1 << 20, 1 << 16
 WORD = re.compile(r"\w+")
-PAD = np.uint64(0x2545F4914F6CDD1D)
+LEAK = "array<struct<item_id:bigint,edits:bigint,first_word:bigint,n_words:bigint>>"
+
 
+def reduced(text: str) -> str:
+    return " ".join(WORD.findall(text.lower()))
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
 
+def most_edits(n: int, similarity: float) -> int:
+    return int(n * (1 - similarity) + 1e-9)
 
-def hashed(words: list[str]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
 
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+def class_of(n: int) -> int:
+    return next(i for i, (least, _, _) in enumerate(CLASSES) if n >= least)
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def symbols(text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """One byte for each character, and where words and where characters start."""
+    x = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    x = (x ^ (x >> np.uint32(8))).astype(np.uint8)
+    starts = np.append(np.int64(0), np.flatnonzero(x == 32) + 1).astype(np.int32), np.arange(len(x), dtype=np.int32)
+    return np.append(x, np.zeros(64, np.uint8)), starts
 
 
-def embedded(h: np.ndarray, span: int, repeat: int) -> np.ndarray:
-    """For each word of h the hash of the sampled positions of the walk over the span words from it on."""
-    rng = np.random.default_rng(1000 + repeat)
-    steps = min(STEPS, 3 * span)
-    # one position in each equal stretch of the walk: neighbouring steps often write the same, common, word
-    edges = np.linspace(0, steps, min(SAMPLED, steps) + 1).astype(int)
+def embedded(x: np.ndarray, starts: np.ndarray, walk: int, repeat: int) -> np.ndarray:
+    """The hash of the sampled positions of the walk from each start on."""
+    steps, samples, _ = WALKS[walk]
+    rng = np.random.default_rng([walk, repeat])
+    coins = rng.integers(0, 2, (steps, 256), dtype=np.int32)
+    # one position in each equal stretch of the walk: neighbouring steps often write the same character
+    edges = np.linspace(0, steps, samples + 1).astype(int)
     sampled = {int(rng.integers(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)}
-    last = max(sampled)
-    n = len(h)
-    coins = np.append(mixed(h, 0xA5A5A5A5 + 7919 * repeat), np.uint64(0))
-    coins ^= coins >> np.uint64(32)
-    symbols = np.append(h, PAD)
-    start = np.arange(n, dtype=np.int64)
-    at, end = start.copy(), np.minimum(start + span, n)
-    key = np.full(n, repeat * 64 + span, np.uint64)
-    for j in range(last + 1):
-        if j >= span:  # only then a walk can have passed its span
-            at = np.where(at >= end, n, at)
-        if j in sampled:
-            key = (key ^ symbols[at]) * np.uint64(0xD6E8FEB86659FD93)
-            key ^= key >> np.uint64(32)
-        at += (coins[at] >> np.uint64(j) & np.uint64(1)).astype(np.int64)
-        np.minimum(at, n, out=at)
-    return key
+    out = np.empty(len(starts), np.uint32)
+    for i in range(0, len(starts), SLICE):
+        at = starts[i : i + SLICE].copy()
+        key = np.full(len(at), repeat, np.uint32)
+        for j in range(max(sampled) + 1):
+            s = x[at]
+            if j in sampled:
+                key = (key ^ s) * np.uint32(0x9E3779B1)
+                key ^= key >> np.uint32(15)
+            at += coins[j][s]
+        out[i : i + SLICE] = key
+    return out
 
 
 def distance(pattern: str, text: str) -> tuple[int, int]:
@@ -112,145 +124,201 @@ def distance(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-class Index:
-    """The LSH tables of one block of items: for each span and repeat the sorted keys with item and word."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], repeats: int):
-        self.items = [(i, " ".join(w), len(w)) for i, w in items]
-        spans: dict[int, list[int]] = defaultdict(list)
-        for k, (_, w) in enumerate(items):
-            if w:
-                spans[min(SPAN, len(w))].append(k)
-        self.tables = []
-        for span, members in sorted(spans.items()):
-            for r in range(repeats):
-                keys, item, word = [], [], []
-                for k in members:
-                    h = hashed(items[k][1])
-                    e = embedded(h, span, r)[: len(h) - span + 1]
-                    keys.append(e), item.append(np.full(len(e), k)), word.append(np.arange(len(e)))
-                keys, item, word = map(np.concatenate, (keys, item, word))
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                seen = np.zeros(1 << TABLE_BITS, bool)
-                seen[keys >> np.uint64(64 - TABLE_BITS)] = True
-                self.tables.append((span, r, keys, item[order], word[order], seen))
-
-    def proposed(self, h: np.ndarray) -> np.ndarray:
-        """Rows of (item, position of its first word), distinct."""
-        found = []
-        for span, r, keys, item, word, seen in self.tables:
-            e = embedded(h, span, r)
-            p = np.flatnonzero(seen[e >> np.uint64(64 - TABLE_BITS)])
-            lo, hi = np.searchsorted(keys, e[p], "left"), np.searchsorted(keys, e[p], "right")
-            p, lo, hi = p[hi > lo], lo[hi > lo], hi[hi > lo]
-            count = hi - lo
-            row = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(p) else np.zeros(0, np.int64)
-            found.append(np.stack([item[row], np.repeat(p, count) - word[row]], 1) if len(p) else np.zeros((0, 2), np.int64))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def leaks_of(words: list[str], proposals: list[tuple[int, int]], index: Index, similarity: float) -> list[dict]:
-    """The verified items of one document; proposals: item and first word, in order."""
-    out: dict[int, dict] = {}
-    checked: dict[int, int] = {}
-    for k, at in proposals:
-        item_id, text, n = index.items[k]
-        most = int(len(text) * (1 - similarity) + 1e-9)
-        slack = max(2, n // 4)
-        if k in checked and at <= checked[k] + slack // 2:
-            continue
-        checked[k] = at
-        if k in out and out[k]["edits"] == 0:
-            continue
-        first = max(0, at - slack)
-        part = words[first : max(0, at + n + slack)]
-        region = " ".join(part)
-        where = f" {region} ".find(f" {text} ")
-        d, end = (0, where + len(text)) if where >= 0 else distance(text, region)
-        if d <= most and (k not in out or d < out[k]["edits"]):
-            done = region[:end].count(" ") + 1
-            out[k] = {"item_id": item_id, "edits": d, "first_word": max(first, first + done - n), "n_words": n}
-    return list(out.values())
-
-
-def edited(words: list[str], rate: float, rng: np.random.Generator) -> list[str]:
-    out = []
-    for w in words:
-        x = rng.random()
-        if x >= rate:
-            out.append(w)
-        elif x < rate / 2:
-            out.append(f"{w}\x00{int(rng.integers(1 << 30))}")
-        elif x < rate * 3 / 4:
-            out += [w, f"\x00{int(rng.integers(1 << 30))}"]
+def table(texts: list[str], members: list[int], walk: int, repeat: int) -> tuple:
+    """One LSH table: sorted keys with item and character, and which leading bits of a key occur."""
+    keys, item, at = [], [], []
+    for k in members:
+        x, both = symbols(texts[k])
+        starts = both[WALKS[walk][2]]
+        # the walk's last words are too short for it, unless the item has no longer ones
+        starts = starts[starts <= max(0, len(texts[k]) - WALKS[walk][0] // 2)]
+        keys.append(embedded(x, starts, walk, repeat)), item.append(np.full(len(starts), k, np.int64)), at.append(starts.astype(np.int64))
+    keys, item, at = map(np.concatenate, (keys, item, at))
+    order = np.argsort(keys, kind="stable")
+    seen = np.zeros(1 << TABLE_BITS, bool)
+    seen[keys >> np.uint32(32 - TABLE_BITS)] = True
+    return walk, repeat, keys[order], item[order], at[order], seen
+
+
+def hits(x: np.ndarray, both: tuple, tab: tuple) -> np.ndarray:
+    """Rows of (item, start of its window, hit word's start)."""
+    walk, repeat, keys, item, at, seen = tab
+    starts = both[WALKS[walk][2]]
+    e = embedded(x, starts, walk, repeat)
+    p = np.flatnonzero(seen[e >> np.uint32(32 - TABLE_BITS)])
+    lo, hi = np.searchsorted(keys, e[p], "left"), np.searchsorted(keys, e[p], "right")
+    count = hi - lo
+    first = np.repeat(lo - np.cumsum(count) + count, count)
+    row = first + np.arange(len(first))
+    word = np.repeat(starts[p].astype(np.int64), count)
+    return np.stack([item[row], word - at[row], word], 1)
+
+
+def agreeing(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The distinct hits whose window enough others start near, in order of item and window."""
+    if not len(found):
+        return found
+    key = (found[:, 0] << 40) + found[:, 1] + (1 << 32)
+    order = np.lexsort((found[:, 2], key))
+    found, key = found[order], key[order]
+    fresh = np.append(True, (np.diff(key) != 0) | (np.diff(found[:, 2]) != 0))
+    found, key = found[fresh], key[fresh]
+    n = sizes[found[:, 0]]
+    need = np.array([CLASSES[class_of(int(s))][1] if s else 1 for s in sizes])[found[:, 0]]
+    return found[np.searchsorted(key, key + n // 10, "right") - np.searchsorted(key, key - n // 10, "left") >= need]
+
+
+def edited(text: str, edits: int, rng: np.random.Generator) -> str:
+    """text with so many characters replaced, inserted or deleted at random places."""
+    s, letters = list(text), sorted(set(text))
+    for p in sorted(rng.choice(len(s), min(edits, len(s)), replace=False).tolist(), reverse=True):
+        kind, c = rng.integers(3), letters[int(rng.integers(len(letters)))]
+        s[p : p + 1] = [[c], [c, s[p]], []][kind]
+    return reduced("".join(s))
+
+
+def repeats_for(texts: list[str], members: list[int], similarity: float, recall: float) -> int:
+    """The least number of repeats at which items edited up to the limit are proposed with the target recall, in each class."""
+    rng = np.random.default_rng(5)
+    walk = CLASSES[class_of(len(texts[members[0]]))][2]
+    cases, places, own, at = [], [], [], 0
+    by_class = defaultdict(list)
+    for k in members:
+        by_class[class_of(len(texts[k]))].append(k)
+    for kind, some in by_class.items():
+        for _ in range(TRIALS):
+            k = some[int(rng.integers(len(some)))]
+            before, after = (texts[members[int(rng.integers(len(members)))]][:80] for _ in range(2))
+            copy = edited(texts[k], most_edits(len(texts[k]), similarity), rng)
+            cases.append(f"{before} {copy} {after}")
+            own.append((kind, k))
+            places.append((at + len(before) + 1, at, at + len(cases[-1])))
+            at += len(cases[-1]) + 1
+    x, starts = symbols(" ".join(cases))
+    sizes = np.array([len(t) for t in texts])
+    ends = np.array([e for _, _, e in places])
+    found = np.zeros((0, 3), np.int64)
+    for repeat in range(MOST_REPEATS):
+        found = np.unique(np.concatenate([found, hits(x, starts, table(texts, members, walk, repeat))]), axis=0)
+        good = agreeing(found, sizes)
+        case = np.searchsorted(ends, good[:, 2])
+        met = [False] * len(cases)
+        for c, (k, window, _) in zip(case.tolist(), good.tolist(), strict=True):
+            met[c] = met[c] or (own[c][1] == k and abs(window - places[c][0]) <= max(2, most_edits(int(sizes[k]), similarity)))
+        share = {kind: np.mean([m for m, (q, _) in zip(met, own, strict=True) if q == kind]) for kind in by_class}
+        if min(share.values()) >= recall:
+            return repeat + 1
+    raise ValueError(f"{MOST_REPEATS} repeats propose a share of {min(share.values()):.3f} of copies at the limit of similarity {similarity}, less than {recall}")
+
+
+def index_of(items: list[tuple[int, str]], similarity: float, recall: float) -> dict:
+    """Plain data only, as a broadcast reaches executors that have no copy of this package."""
+    items = [(i, t, t.count(" ") + 1) for i, t in items if t]
+    texts, tables = [t for _, t, _ in items], []
+    for walk in range(len(WALKS)):
+        members = [k for k, t in enumerate(texts) if CLASSES[class_of(len(t))][2] == walk]
+        if members:
+            tables += [table(texts, members, walk, r) for r in range(repeats_for(texts, members, similarity, recall))]
+    return {"items": items, "sizes": np.array([len(t) for t in texts], np.int64), "tables": tables}
+
+
+def verified(text: str, item: tuple, windows: list[int], similarity: float) -> dict | None:
+    """The best passage for one item in the regions around its windows, if it is within the limit."""
+    item_id, pattern, n_words = item
+    most, n, best = most_edits(len(pattern), similarity), len(pattern), None
+    regions: list[list[int]] = []
+    for w in sorted(windows):
+        a, b = max(0, w - most - n // 10), min(len(text), w + n + most + n // 10)
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = max(regions[-1][1], b)
+        else:
+            regions.append([a, b])
+    for a, b in regions:
+        region = text[a:b]
+        where = region.find(pattern)
+        edits, end = (0, where + n) if where >= 0 else distance(pattern, region)
+        if edits <= most and (best is None or edits < best[0]):
+            best = edits, a + end
+    if best is None:
+        return None
+    return {"item_id": item_id, "edits": best[0], "first_word": max(0, text.count(" ", 0, best[1]) + 1 - n_words), "n_words": n_words}
+
+
+def leaks_in(texts: list[str], index: dict, similarity: float) -> list[list[dict]]:
+    """The leaks of each of some reduced texts."""
+    out: list[list[dict]] = [[] for _ in texts]
+    x, starts = symbols(" ".join(texts))
+    found = agreeing(np.concatenate([hits(x, starts, t) for t in index["tables"]]), index["sizes"]) if index["tables"] else np.zeros((0, 3), np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    windows = defaultdict(list)
+    for d, (k, window, _) in zip(np.searchsorted(ends, found[:, 2], "right").tolist(), found.tolist(), strict=True):
+        windows[d, k].append(window - int(ends[d]) + len(texts[d]) + 1)
+    for (d, k), w in windows.items():
+        leak = verified(texts[d], index["items"][k], w, similarity)
+        if leak:
+            out[d].append(leak)
     return out
 
 
-def repeats_for(items: list[tuple[int, list[str]]], recall: float, rate: float = EDITS, trials: int = 400) -> int:
-    """The least number of repeats at which edited copies of the items are proposed with the target recall."""
-    rng = np.random.default_rng(5)
-    usable = [w for _, w in items if w]
-    if not usable:
-        return 1
-    cases = [(w, edited(w, rate, rng)) for w in (usable[int(rng.integers(len(usable)))] for _ in range(trials))]
-    missed = list(range(len(cases)))
-    for r in range(MOST_REPEATS):
-        left = []
-        for c in missed:
-            w, e = cases[c]
-            span = min(SPAN, len(w))
-            own = embedded(hashed(w), span, r)[: len(w) - span + 1]
-            if not len(e) or not np.isin(embedded(hashed(e), span, r), own).any():
-                left.append(c)
-        missed = left
-        if len(missed) <= (1 - recall) * len(cases):
-            return r + 1
-    return MOST_REPEATS
-
-
-def blocks(benchmark: DataFrame, recall: float, item_col: str, text_col: str) -> Iterator[Index]:
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(reduced(t))
+        size += len(held[-1])
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    held, size, repeats = [], 0, None
+    held, size = [], 0
     for x in rows.toLocalIterator():
-        held.append((x.i, words_of(x.t)))
+        held.append((x.i, reduced(x.t)))
         size += len(held[-1][1])
-        if size >= BLOCK_WORDS:
-            repeats = repeats or repeats_for(held, recall)
-            yield Index(held, repeats)
+        if size >= block_chars:
+            yield held
             held, size = [], 0
     if held:
-        yield Index(held, repeats or repeats_for(held, recall))
+        yield held
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The columns of docs and `leaks`, an array of (item_id, edits, first_word, n_words), empty for clean documents."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, recall, item_col, item_text_col)]
-    kind = "array<struct<item_id:bigint,edits:bigint,first_word:bigint,n_words:bigint>>"
+def with_leaks(texts: DataFrame, index: dict, similarity: float) -> DataFrame:
+    """texts: text and row. Returns leaks and row, and the broadcast that they read."""
+    shared = texts.sparkSession.sparkContext.broadcast(index)
     arrow = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "edits", "first_word", "n_words")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, leaks = batch.column(0).to_pylist(), []
-            for i in range(0, len(texts), 256):
-                words = [words_of(t) for t in texts[i : i + 256]]
-                flat = hashed([w for x in words for w in x])
-                ends = np.cumsum([len(x) for x in words])
-                own: list[list] = [[] for _ in words]
-                for index in (x.value for x in shared):
-                    found = index.proposed(flat)
-                    # a proposal belongs to the document in which its middle lies
-                    sizes = np.array([n for _, _, n in index.items], np.int64)[found[:, 0]]
-                    of = np.searchsorted(ends, np.clip(found[:, 1] + sizes // 2, 0, max(0, len(flat) - 1)), side="right")
-                    mine: dict[int, list] = defaultdict(list)
-                    for d, (k, at) in zip(of.tolist(), found.tolist(), strict=True):
-                        mine[d].append((k, at - int(ends[d] - len(words[d]))))
-                    for d, p in mine.items():
-                        own[d] += leaks_of(words[d], p, index, similarity)
-                leaks += own
+            leaks = [x for some in chunks(batch.column(0).to_pylist()) for x in leaks_in(some, shared.value, similarity)]
             yield pa.RecordBatch.from_arrays([pa.array(leaks, arrow), batch.column(1)], ["leaks", "row"])
 
-    whole = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = whole.mapInArrow(run, f"leaks {kind}, row {whole.schema['row'].dataType.simpleString()}")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "leaks")
+    return texts.mapInArrow(run, f"leaks {LEAK}, row {texts.schema['row'].dataType.simpleString()}"), shared
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The columns of docs and `leaks`, an array of (item_id, edits, first_word, n_words), empty for clean documents."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    back = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    whole = docs.select(text.alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    some = blocks(benchmark, item_col, item_text_col, block_chars)
+    now, following = next(some, []), next(some, None)
+    if following is None:
+        return with_leaks(whole, index_of(now, similarity, recall), similarity)[0].select(*back, "leaks")
+    parts = []
+    digest = F.sha2("own_text", 256)
+    light = docs.select(text.alias("own_text")).select("own_text", F.struct(digest.alias("digest")).alias("row"))
+    while now is not None:
+        out, shared = with_leaks(light, index_of(now, similarity, recall), similarity)
+        found = out.where(F.size("leaks") > 0).groupBy("row.digest").agg(F.first("leaks").alias("leaks"))  # equal texts have equal leaks
+        parts.append(written(found, "leaks"))
+        shared.unpersist()
+        now, following = following, next(some, None)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = written(every.groupBy("digest").agg(F.flatten(F.collect_list("leaks")).alias("leaks")), "leaks")  # at most a row for each block
+    out = whole.withColumn("digest", digest).join(every, "digest", "left")
+    return out.select(*back, F.coalesce("leaks", F.expr(f"cast(array() as {LEAK})")).alias("leaks"))

@@ -112,19 +112,64 @@ def test_planted_items_are_found(planted):
     assert len(out) == docs.count()
 
 
-def test_recall_of_edited_items():
-    rng = random.Random(9)
-    items = [(i, words(rng, rng.randint(15, 60))) for i in range(60)]
-    n = D.repeats_for(items, 0.99)
-    index = D.Index(items, n)
-    gen = np.random.default_rng(8)
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 0.15, 0.18])
+@pytest.mark.parametrize("words_each", [3, 8, 14, 40])
+def test_leaks_up_to_the_limit_are_found(share, words_each):
+    """Edits scattered over characters; only copies that are within the limit count."""
+    rng, gen = random.Random(9), np.random.default_rng(8)
+    items = [(i, " ".join(words(rng, words_each))) for i in range(80)]
+    index = D.index_of(items, D.SIMILARITY, D.RECALL)
     found = total = 0
-    for k, (_, w) in enumerate(items):
-        for _ in range(5):
-            doc = [*words(rng, 50), *D.edited(w, 0.1, gen), *words(rng, 50)]
-            total += 1
-            found += any(i == k for i, _ in index.proposed(D.hashed(doc)).tolist())
-    assert 1 <= n <= D.MOST_REPEATS and found / total >= 0.97
+    for i, text in items:
+        for _ in range(3):
+            doc = f"{' '.join(words(rng, 50))} {D.edited(text, int(len(text) * share), gen)} {' '.join(words(rng, 50))}"
+            if D.distance(text, doc)[0] <= D.most_edits(len(text), D.SIMILARITY):
+                total += 1
+                found += any(x["item_id"] == i for x in D.leaks_in([doc], index, D.SIMILARITY)[0])
+    assert total > 150 and found / total >= 0.9
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(D, "MOST_REPEATS", 1)
+    with pytest.raises(ValueError, match="repeats propose"):
+        D.index_of([(i, " ".join(words(rng, 40))) for i in range(50)], D.SIMILARITY, 1.0)
+
+
+def test_blocks_of_the_benchmark_give_the_same_leaks(planted):
+    docs, bench, _ = planted
+    rows = lambda df: sorted((repr(r.doc_id), r.row, sorted(map(tuple, r.leaks))) for r in df.collect())
+    assert rows(D.find_leaks(docs.drop("leaks"), bench, block_chars=150)) == rows(D.find_leaks(docs.drop("leaks"), bench))
+
+
+def test_whole_table_against_edit_distances(spark, small):
+    """Every document against every item: no leak is reported that isn't one, and nine in ten of all are found."""
+    items = [(r.item_id, D.reduced(r.text)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {(r.doc_id, i): d for r in docs.collect() for i, t in items if (d := D.distance(t, D.reduced(r.text))[0]) <= D.most_edits(len(t), D.SIMILARITY)}
+    got = {(r.doc_id, x.item_id): x.edits for r in D.find_leaks(docs, spark.read.parquet(f"{small}/benchmark.parquet")).collect() for x in r.leaks}
+    assert want and got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+import corpus_pipeline
+from tessella.llm import queries
+from tessella.session import local_session
+spark = local_session("4", partitions=4)
+for f in (queries.op6_decontamination, corpus_pipeline.run):
+    assert f(spark, "/root/testdata/sf0.001").count() > 0
+"""
+    paths = [x for x in os.environ.get("PYTHONPATH", "").split(":") if x and os.path.abspath(x) != root]
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ":".join(paths)}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_empty_sides(spark, no_docs, planted):
