@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from .common import narrow
 
 CAPACITY, PIECE, WINDOWS, SLACK = 1024, 128, 64, 4
+LONG_BLANK = 1000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -84,12 +85,19 @@ def windows_for(sizes: list[int], capacity: int) -> list[int]:
 
 def encoder(path: str):
     """Token ids of a text, by the tokenizer file at path, its added tokens included. A rank file of the same vocabulary
-    beside it is used where there is one, as it gives the same ids several times faster (tested); else the file itself."""
+    beside it is used where there is one, as it gives the same ids several times faster (tested, for every code point);
+    else the file itself. Texts with long runs of white space, on which the rank encoder's stack grows with the run, are
+    always left to the file."""
     import base64
     import importlib
     import json
     import os
+    import re
 
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(path)
+    own = lambda text: file.encode(text, add_special_tokens=False).ids
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if os.path.exists(ranks):
         with open(path, encoding="utf-8") as f:
@@ -102,11 +110,9 @@ def encoder(path: str):
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={x["content"]: x["id"] for x in added})
-            return lambda text: fast.encode(text, allowed_special="all")
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+            long_blank = re.compile(rf"\s{{{LONG_BLANK}}}").search
+            return lambda text: own(text) if long_blank(text) else fast.encode(text, allowed_special="all")
+    return own
 
 
 def packer(path: str, capacity: int, piece: int, with_ids: bool, end_id: int):

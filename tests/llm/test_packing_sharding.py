@@ -53,6 +53,20 @@ def test_added_tokens_have_the_ids_of_the_tokenizer_file(tmp_path, ranks):
         assert encode(t) == own.encode(t, add_special_tokens=False).ids
 
 
+def test_every_code_point_has_the_ids_of_the_tokenizer_file():
+    own, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    for start in range(0, 0x110000, 1 << 14):
+        texts = [f"a{c}b 1{c}2 {c} .{c}, {c}{c}" for c in map(chr, range(start, start + (1 << 14), 7)) if not "\ud800" <= c <= "\udfff"]
+        assert [fast(t) for t in texts] == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000"])
+def test_long_runs_of_blanks(blank):
+    own, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    for n in (packing.LONG_BLANK - 1, packing.LONG_BLANK, 1_000_000):
+        assert fast(blank * n + "a") == own.encode(blank * n + "a", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_pack(docs, rows, capacity):
     encode = packing.encoder(PATH)
