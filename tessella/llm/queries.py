@@ -90,8 +90,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
     "op5_chat_formatting": """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-a AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT CAST(conv_id AS VARCHAR) AS key, * FROM r WHERE conv_id IS NOT NULL UNION ALL SELECT DISTINCT 'alone:' || md5(role) || md5(text), NULL, 0, role, text FROM r WHERE conv_id IS NULL),
+a AS (SELECT key, max(conv_id) AS conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role, md5(text)) AS ts FROM t GROUP BY key),
 u AS (SELECT min(conv_id) AS conv_id, ts FROM a GROUP BY ts),
 k AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u b WHERE len(b.ts) > len(u.ts) AND b.ts[1] = u.ts[1] AND b.ts[1:len(u.ts)] = u.ts))
 SELECT conv_id, len(ts) AS n_turns, array_to_string(list_transform(ts, lambda t: t.r), ',') AS roles,

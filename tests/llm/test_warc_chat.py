@@ -76,16 +76,17 @@ TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "assistant", "other"), (4, 0, "user", "hi"),
     (5, 5, "user", "hi"), (5, 9, "assistant", "hello"), (5, 9, "user", "more"), (6, None, None, None), (7, 0, "user", "same"), (8, 0, "user", "same"), (9, 1, "assistant", "hello"), (9, 0, "user", "hi"),
     (10, 0, "user", "dup"), (10, 0, "user", "dup"), (11, 0, "user", "dup"), (None, 0, "user", "lost"), (12, 0, "us", "erhi"),
+    (None, 3, "user", "lost"), (None, 0, "user", "hi"), (None, None, None, None), (None, 1, "user", "lost too"),
 ]
 
 
 def brute_chats(turns):
     convs = defaultdict(list)
-    for c, n, role, text in turns:
-        convs[c].append((n is not None, n or 0, role or "unknown", text or ""))
+    for i, (c, n, role, text) in enumerate(turns):
+        convs[(c,) if c is not None else (None, i)].append((n is not None, n or 0, role or "unknown", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
     seqs = {}
-    for c, x in convs.items():
-        s = tuple((r, t) for _, _, r, t in sorted(x))
+    for (c, *_), x in convs.items():
+        s = tuple((r, t) for _, _, r, _, t in sorted(x))
         seqs[s] = min((y for y in (c, seqs.get(s, c)) if y is not None), default=None)
     keep = {s: c for s, c in seqs.items() if not any(len(o) > len(s) and o[: len(s)] == s for o in seqs)}
     return Counter((c, len(s), ",".join(r for r, _ in s), "\n".join(f"<|{r}|>\n{t}\n<|end|>" for r, t in s)) for s, c in keep.items())
@@ -98,6 +99,25 @@ def test_chats(spark):
     assert (1, 2) not in {(k[0], k[1]) for k in got}
 
 
+def test_tied_turns_against_brute_force_and_sql(spark):
+    """Turns of equal number and role, so that one snapshot's turn may be any of another's first ones."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from tessella.llm import queries
+
+    rng = random.Random(5)
+    rows = [(c if c % 7 else None, rng.choice([0, 0, 1]), "user", rng.choice("pqrs")) for c in range(120) for _ in range(rng.randint(1, 4))]
+    rows += [(500, 0, "user", "A"), (501, 0, "user", "A"), (501, 0, "user", "B"), (502, 0, "user", "C"), (503, 0, "user", "C"), (503, 0, "user", "D")]
+    got = Counter((r.conv_id, r.n_turns, r.roles, r.chat) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert got == brute_chats(rows)
+    c = duckdb.connect()
+    c.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"}))
+    assert Counter(c.execute(queries.ORACLES["op5_chat_formatting"]).fetchall()) == got
+
+
 def test_chats_of_a_table(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = Counter((r.conv_id, r.n_turns, r.roles, r.chat) for r in chat.format_chats(spark.read.parquet(f"{small}/conversations.parquet")).collect())
