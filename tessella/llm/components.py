@@ -6,8 +6,9 @@ lost executor costs one round at most. Nothing but the count of changed edges
 comes to the driver.
 
 A vertex with very many neighbours is handled without gathering them: the
-smallest neighbour is an aggregate with map-side combine, joined back to the
-edges.
+smallest neighbour is an aggregate with map-side combine, written and then
+joined back to the edges, so that the join shuffles both sides anew and Spark
+can split the vertex.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..session import written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: u > v. Large-star links the larger neighbours of a vertex to its smallest; small-star the smaller ones."""
     sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     if large:
         out = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

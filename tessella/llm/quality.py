@@ -8,7 +8,8 @@ tables of all trees, walked level by level for all rows of a batch at once.
 
 Defined cases: a null or empty text has the statistics of the empty text and is
 scored; several labels of one id count as their mean, rounded; labels of absent
-documents and null labels or ids are left out; without two classes of labels
+documents and null labels or ids are left out; of rows that repeat a labelled
+id one is learnt from; without two classes of labels
 the score is the share of label 1, or 1 without any label; repeated rows are
 scored each; an empty table gives no rows; columns other than id and text are
 not read.
@@ -179,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         .groupBy("label_id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     )
     some = narrow(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))  # at most `sample` rows of two numbers
-    got = sorted(measured(some, "doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "x").collect())
+    one = measured(some, "doc_id", "text").groupBy("doc_id").agg(F.min("x").alias("x"))  # an id may be repeated without bound
+    got = sorted(one.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "x").collect())
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, len(FEATURES))
     return grow(x, np.array([r.y for r in got], float))
 

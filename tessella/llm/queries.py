@@ -75,11 +75,12 @@ ORACLES: dict[str, str] = {
     # DuckDB has no CRC-32: it is folded over the bytes with a table made from the reversed polynomial
     "op3_sharding": """
 WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
-h AS (SELECT doc_id, coalesce(source, '') AS source, md5('deal:' || doc_id) AS m, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, source, m, len(h) // 2 + 8 AS size, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bs FROM h),
-c AS (SELECT doc_id, source, m, size, xor(4294967295, list_reduce(bs, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) AS crc FROM b, tab),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m, doc_id, crc, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM c),
-g AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2 * n), source, r) - 1 AS g FROM r)
+h AS (SELECT doc_id, coalesce(source, '') AS source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, len(h) // 2 + 8 AS size, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bs FROM h),
+c AS (SELECT doc_id, source, size, xor(4294967295, list_reduce(bs, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) AS crc FROM b, tab),
+m AS (SELECT *, md5('deal:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || crc || ':' || size) AS m FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY m, doc_id, crc, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM m),
+g AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2 * n), md5(source), source, r) - 1 AS g FROM r)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(g * 24 // total AS INTEGER) AS shard, g - ((g * 24 // total) * total + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM g""",
     "op4_line_dedup": f"""
 WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),

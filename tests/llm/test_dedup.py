@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessella.llm import exact, lines, nearcopies, simhash, substrings
+from tessella.llm import exact, lines, simhash, substrings
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = str.maketrans(UP, LOW)
@@ -117,20 +117,19 @@ def test_near_groups(docs, rows):
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got) == want
 
 
-@pytest.mark.parametrize(("chunk", "group"), [(8192, 256), (16, 256), (8192, 1)])
-def test_links_of_random_and_crowded_fingerprints(spark, chunk, group):
+@pytest.mark.parametrize(("chunk", "group", "bits"), [(8192, 256, 4), (16, 256, 4), (8192, 1, 4), (8192, 256, 2)])
+def test_links_of_random_and_crowded_fingerprints(spark, chunk, group, bits):
     """Chains, a crowd around one fingerprint, and groups cut into chunks give the components of brute force."""
     rng = np.random.default_rng(1)
     x = list({int(v) for v in rng.integers(0, 2**63, 150)})
     crowd = [x[0] ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (120, 2))]
     chain = [x[1]]
     for _ in range(12):
-        chain.append(chain[-1] ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)))
+        chain.append(chain[-1] ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))
     fps = list(dict.fromkeys([*x, *crowd, *chain]))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    edges = simhash.link_forest(spark.createDataFrame([(s,) for s in signed], "fp long"), chunk=chunk, group=group).collect()
-    for e in edges:
-        assert bin((e.a ^ e.b) & (2**64 - 1)).count("1") <= 4
+    nodes = spark.createDataFrame([(s, s) for s in signed], "id long, f0 long")
+    edges = simhash.link_forest(nodes, simhash.blocks(len(fps), bits, group), bits, chunk=chunk).collect()
     root = {s: s for s in signed}
 
     def find(s):
@@ -140,16 +139,36 @@ def test_links_of_random_and_crowded_fingerprints(spark, chunk, group):
 
     for e in edges:
         root[max(find(e.a), find(e.b))] = min(find(e.a), find(e.b))
-    want = brute_components(fps, 4)
+    want = brute_components(fps, bits)
     got = [find(s) for s in signed]
     assert len({*zip(want, got)}) == len(set(want)) == len(set(got))
 
 
+def test_pivots_discard_no_link_and_most_pairs():
+    """In one group: the components are those of brute force, and of unrelated pairs few are left to compare."""
+    rng = np.random.default_rng(2)
+    x = np.unique(np.concatenate([rng.integers(0, 2**63, 400).astype(np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64))]))[:, None]
+    pivots, compared = simhash.references(rng.permutation(x)), []
+    own = simhash.bits_between
+    simhash.bits_between = lambda a, b: compared.append(len(a)) or own(a, b)
+    try:
+        links = simhash.forest(x, np.zeros(len(x), np.int64), 4, pivots)
+    finally:
+        simhash.bits_between = own
+    root = list(range(len(x)))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    want = brute_components(x[:, 0].tolist(), 4)
+    assert len({*zip(want, root)}) == len(set(want)) == len(set(root))
+    assert sum(compared[len(pivots) :]) < 0.01 * len(x) ** 2 / 2
+
+
 def test_tables_grow_with_the_input():
     for n in (10, 10**5, 10**7, 10**10):
-        for t in simhash.tables(n, 4):
-            assert sum(w for _, w in t) >= min(max(1, n // 256).bit_length(), 40)
-    assert len(simhash.tables(10**9, 4)) > len(simhash.tables(10**3, 4))
+        for t in simhash.blocks(n, 4):
+            assert len(t) >= min(max(1, n // 256).bit_length(), 40)
+    assert len(simhash.blocks(10**9, 4)) > len(simhash.blocks(10**3, 4))
+    assert len(simhash.samples(10**9, 4, 0.8, 0.99)) > len(simhash.samples(10**3, 4, 0.8, 0.99))
 
 
 def test_empty_tables(no_docs):
@@ -198,10 +217,29 @@ def edited_copies():
     return out
 
 
+def test_recall_of_pairs_at_the_limit(spark):
+    """Pairs alone, at a similarity from 0.8 to 0.84: at least nine in ten are found, and nothing below the limit is."""
+    rng = np.random.default_rng(7)
+    texts, pairs = [], []
+    while len(pairs) < 200:
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        copy = list(base)
+        for at in rng.choice(len(copy), max(1, len(copy) // 45), replace=False):
+            copy[at] = f"z{rng.integers(1 << 30)}"
+        s = jaccard(brute_shingles(" ".join(base)), brute_shingles(" ".join(copy)))
+        if 0.77 <= s < 0.84:
+            pairs.append((len(texts), len(texts) + 1, s))
+            texts += [" ".join(base), " ".join(copy)]
+    root = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = [root[a] == root[b] for a, b, s in pairs if s >= 0.8]
+    assert len(near) > 60 and np.mean(near) >= 0.9
+    assert not any(root[a] == root[b] for a, b, s in pairs if s < 0.8)
+
+
 @pytest.mark.parametrize("chunk", [4096, 2])
 def test_near_copies_by_jaccard(spark, docs, rows, edited_copies, chunk):
     every = [(d, t) for d, t, *_ in rows] + [(1000 + d, t) for d, t in edited_copies]
-    got = nearcopies.near_groups(spark.createDataFrame(every, "doc_id long, text string").repartition(3), chunk=chunk).collect()
+    got = simhash.near_copies(spark.createDataFrame(every, "doc_id long, text string").repartition(3), chunk=chunk).collect()
     assert Counter((r.doc_id, r.component_id) for r in got) == brute_near_copies(every)
 
 
@@ -213,4 +251,4 @@ def test_the_pipeline_drops_near_copies(spark, edited_copies):
 
 
 def test_near_copies_of_no_documents(no_docs):
-    assert nearcopies.near_groups(no_docs).count() == 0
+    assert simhash.near_copies(no_docs).count() == 0

@@ -123,16 +123,31 @@ def test_shards_follow_the_global_order(spark, small):
     import hashlib
 
     d = spark.read.parquet(f"{small}/documents.parquet")
-    p = d.select("doc_id", "source").toPandas()
-    p["h"] = [hashlib.md5(f"deal:{i}".encode()).hexdigest() for i in p.doc_id]
+    p = d.select("doc_id", "source", "text").toPandas()
+    p["h"] = [hashlib.md5(f"deal:{i}:{zlib.crc32(t.encode())}:{len(t.encode()) + 8}".encode()).hexdigest() for i, t in zip(p.doc_id, p.text)]
+    p["tie"] = [hashlib.md5(s.encode()).hexdigest() for s in p.source]
     p = p.sort_values(["source", "h"])
     p["r"] = p.groupby("source").cumcount()
     p["f"] = (2 * p.r + 1) / (2 * p.groupby("source").doc_id.transform("size"))
-    p = p.sort_values(["f", "source"]).reset_index(drop=True)
+    p = p.sort_values(["f", "tie"]).reset_index(drop=True)
     want = {i: k * 24 // len(p) for k, i in enumerate(p.doc_id)}
     assert {r.doc_id: r.shard for r in sharding.interleave(d).collect()} == want
 
 
+@pytest.mark.parametrize("bucket_rows", [100, 1 << 15])
+def test_sources_of_one_row_are_dealt_over_many_buckets(spark, bucket_rows):
+    """One source for each row: all fractional ranks are one half; the order is the same at any size of the buckets."""
+    import hashlib
+
+    df = spark.createDataFrame([(i, f"text {i}", f"site{i}.example") for i in range(2000)] + [(None, f"t{i}", "big") for i in range(501)], "doc_id long, text string, source string")
+    got = sharding.interleave(df, shards=7, bucket_rows=bucket_rows).collect()
+    order = sorted((r.shard, r.slot, r.source) for r in got)
+    half = [s for _, _, s in order if s != "big"]
+    assert half == sorted(half, key=lambda s: hashlib.md5(s.encode()).hexdigest())
+    ranked = spark.createDataFrame([(0.5, 128, hashlib.md5(s.encode()).hexdigest()) for s in half] + [(0.50001, 128, "0" * 32)], "f double, j long, tie string")
+    assert sharding.place_buckets(ranked, bucket_rows).select("bucket").distinct().count() >= (20 if bucket_rows == 100 else 1)
+
+
 def test_empty(no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
     assert sharding.interleave(no_docs).count() == 0

@@ -12,7 +12,7 @@ from tessella.llm import quality as Q
 from tessella.llm import queries
 from tessella.session import written
 
-from .test_dedup import brute_components, brute_fingerprint, lower
+from .test_dedup import brute_near_copies, lower
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,11 +59,17 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after, _ = stages["simhash"]
-    root = brute_components([brute_fingerprint(r.text) for r in before], 4)
-    least = {}
-    for r, k in zip(before, root, strict=True):
-        least[k] = min(r.doc_id, least.get(k, r.doc_id))
-    assert sorted(r.doc_id for r in after) == sorted(least.values())
+    least = {c for _, c in brute_near_copies([(r.doc_id, r.text) for r in before])}
+    assert sorted(r.doc_id for r in after) == sorted(least)
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Rows are judged, not ids: a text never goes because another one shares its id."""
+    words = lambda seed: " ".join(np.random.default_rng(seed).choice(list("abcdefghijklmnop"), 40))
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, words(2)), (None, words(3)), (None, words(3)), (None, words(1)), (3, words(3)), (None, words(4)), (None, words(4))]
+    docs = spark.createDataFrame([(*r, None, None, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, words(1)), (1, words(2)), (3, words(3)), (None, words(4))])
 
 
 def test_leaks(spark, small, stages):
