@@ -6,12 +6,19 @@ its own input, drops what its decision says, and changes nothing else:
 1. quality: documents that score below 0.3 go.
 2. line_dedup: repeated lines go from all documents but the first; n_chars is
    counted anew where a text has changed.
-3. simhash: one document of each group of near-duplicates stays, the one with
-   the smallest id; texts link at a Jaccard similarity of their 5-word shingles
-   of 0.8 or more. Of rows that repeat that id one stays; rows
-   without an id stay.
+3. simhash: one row of each group of near-duplicates stays, the one with the
+   smallest id (a row without one only where no other has any); texts link at a
+   Jaccard similarity of their 5-word shingles of 0.8 or more.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. packing: pieces of windows of 1024 tokens.
+
+Each stage's rows are written to the shared folder, so that a later stage, which
+reads its input several times, never runs an earlier one again.
+
+Defined cases: a null or empty text is scored, is one empty line, is a near copy
+of other empty texts, leaks nothing and packs as its end id; null ids are kept
+as they are; rows that repeat an id are judged each by its text; empty tables
+give no rows; other columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -19,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, lines, nearcopies, packing, quality, queries
+from tessella.llm import decontaminate, lines, packing, quality, queries, simhash
+from tessella.session import written
 
 #: No SQL expresses the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -40,12 +48,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = nearcopies.near_groups(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "stay_id")
-    kept = docs.join(stay, F.col("doc_id") == F.col("stay_id")).drop("stay_id")
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-    kept = kept.withColumn("copy_number", F.row_number().over(one)).where("copy_number = 1").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = simhash.near_copies(docs).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("stay_row"))
+    kept = docs.join(stay, simhash.row_key() == F.col("stay_row"))
+    # rows that repeat the id and the text of one that stays
+    one = Window.partitionBy("stay_row").orderBy(*[F.col(c) for c in docs.columns])
+    return kept.withColumn("copy_number", F.row_number().over(one)).where("copy_number = 1").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +77,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
