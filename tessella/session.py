@@ -1,13 +1,21 @@
-"""Session defaults and the folder that driver and executors share."""
+"""Session defaults and the folder that driver and executors share.
+
+Operators that need a result more than once, or want its lineage short, write
+it to that folder. Results are lazy, so only the caller knows when they are no
+longer read: `clear(spark)` then deletes all that the session has written.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -25,18 +33,33 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, and only if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share; the master is {master}")
     if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        folder = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[app] = "file://" + folder
     return _fallback[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this session has written to the shared folder; results that still read it can't be read any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -201,3 +201,21 @@ def test_vector_search(spark, block):
         sims = np.round(unit @ unit[q], 6)
         want = sorted((i for i in range(60) if i != q), key=lambda i: (-sims[i], i))[:5]
         assert [r.id for r in sorted((r for r in got if r.q == q), key=lambda r: (-r.sim, r.id))] == want
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    """What a session has written can be deleted; a machine-local folder is refused where executors are elsewhere."""
+    import os
+    from types import SimpleNamespace
+
+    from tessella import session
+
+    session.written(spark.range(3), "x").count()
+    paths = [p.removeprefix("file://") for p in session._written[spark.sparkContext.applicationId]]
+    assert all(map(os.path.isdir, paths[-1:]))
+    assert session.clear(spark) == len(paths) and not any(map(os.path.isdir, paths))
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(applicationId="far", master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)
+    far.conf.get = lambda k, d: "hdfs:///shared/"
+    assert session.shared_dir(far) == "hdfs:///shared"
