@@ -29,15 +29,13 @@ def cnv_align_events(spark, d):
     return grid.join(e, ["source", "i"], "left").select("source", "i", F.coalesce("hit", F.lit(0)).alias("flag"))
 
 
-WEEKS = "wk AS (SELECT signal, category, CAST(date_trunc('week', d) AS DATE) AS w, sum(value) AS v FROM series WHERE d >= DATE '1995-06-01' AND d < DATE '1998-06-01' GROUP BY 1, 2, 3)"
-CHOSEN = ["flag.A", "flag.N", "flag.R", "orders.BUILDING", "orders.MACHINERY", "priority.1-URGENT", "priority.5-LOW", "ship.nation:3", "ship.nation:7"]
-CHOSEN_SQL = ", ".join(f"'{x}'" for x in CHOSEN)
-PAIRS = f"""{WEEKS}, pr AS (SELECT a.signal AS sa, b.signal AS sb, a.category AS ca, b.category AS cb, a.w, round(a.v, 6) AS x, round(b.v, 6) AS y FROM wk a JOIN wk b ON a.w = b.w AND a.signal < b.signal WHERE a.signal IN ({CHOSEN_SQL}) AND b.signal IN ({CHOSEN_SQL}))"""
+WEEKS = "wk AS (SELECT signal, category, CAST(date_trunc('week', d) AS DATE) AS w, sum(value) AS v FROM series GROUP BY 1, 2, 3)"
+PAIRS = f"""{WEEKS}, pr AS (SELECT a.signal AS sa, b.signal AS sb, a.category AS ca, b.category AS cb, a.w, round(a.v, 6) AS x, round(b.v, 6) AS y FROM wk a JOIN wk b ON a.w = b.w AND a.signal < b.signal)"""
 
 
 def pairs(spark, d):
-    """Weekly values of every pair of the chosen signals on their common weeks, from one array of signals per week."""
-    s = series(spark, d).where("d >= date '1995-06-01' and d < date '1998-06-01'").where(F.col("signal").isin(CHOSEN))
+    """Weekly values of every pair of signals on their common weeks. Signals are named series, whose number doesn't grow with the rows behind them."""
+    s = series(spark, d)
     w = s.groupBy("signal", "category", F.to_date(F.date_trunc("week", "d")).alias("w")).agg(F.round(F.sum("value"), 6).alias("v"))
     a = w.select("w", F.col("signal").alias("sa"), F.col("category").alias("ca"), F.col("v").alias("x"))
     b = w.select("w", F.col("signal").alias("sb"), F.col("category").alias("cb"), F.col("v").alias("y"))
@@ -56,7 +54,8 @@ def cnv_zscore_series(spark, d):
     return series(spark, d).select("signal", F.col("d").cast("string").alias("dd"), F.round(F.when(F.coalesce(sd, F.lit(0.0)) < 1e-12, 0.0).otherwise((F.col("value") - F.avg("value").over(w)) / sd), 5).alias("z"))
 
 
-CORR_SQL = f"""WITH {PAIRS}, c AS (SELECT sa, sb, w, corr(x, y) OVER (PARTITION BY sa, sb ORDER BY pr.w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c, row_number() OVER (PARTITION BY sa, sb ORDER BY pr.w) AS n, row_number() OVER (PARTITION BY sa, sb ORDER BY pr.w DESC) AS k FROM pr),
+CORR_SQL = f"""WITH {PAIRS}, c0 AS (SELECT sa, sb, w, corr(x, y) OVER (PARTITION BY sa, sb ORDER BY pr.w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c, row_number() OVER (PARTITION BY sa, sb ORDER BY pr.w) AS n, row_number() OVER (PARTITION BY sa, sb ORDER BY pr.w DESC) AS k FROM pr),
+c AS (SELECT * REPLACE (CASE WHEN isnan(c) THEN NULL ELSE c END AS c) FROM c0),
 s AS (SELECT sa, sb, max(c) FILTER (WHERE k = 1) AS last, avg(c) FILTER (WHERE k > 1 AND k <= 101) AS m, stddev_samp(c) FILTER (WHERE k > 1 AND k <= 101) AS sd FROM c WHERE n >= 20 GROUP BY 1, 2)
 SELECT sa, sb, round(last, 4) AS corr, round((last - m) / sd, 4) AS z FROM s"""
 
@@ -129,9 +128,28 @@ def combined(spark, d):
     return j.withColumn("p", S.chi2_even_tail(chi, 3)).withColumn("weight", F.abs("z")).withColumn("direction", F.when(F.col("share") >= 0.5, 1).otherwise(-1))
 
 
-@query()
+def normal_cdf_sql(x: str) -> str:
+    """DuckDB has no erf: the series of the normal distribution function, summed in logarithms; beyond 9 deviations 0 or 1."""
+    term = f"exp((2 * n + 1) * ln(abs({x})) - {x} * {x} / 2 - (n + 1) * ln(2.0) - lgamma(n + 1.5) + 0.5 * ln(pi()))"
+    part = f"list_sum(list_transform(range(0, 160), lambda n: {term})) / sqrt(2 * pi())"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 9 THEN 1.0 WHEN {x} < -9 THEN 0.0 WHEN abs({x}) < 1e-12 THEN 0.5 ELSE 0.5 + sign({x}) * {part} END)"
+
+
+def combined_sql() -> str:
+    """A CTE list that ends in cb: sa, sb, weight, p, direction."""
+    corr = CORR_SQL.removeprefix("WITH ")
+    corr = corr[: corr.index("SELECT sa, sb, round(last, 4)")].rstrip()
+    joint = BINOM.format(n="ex.n", k="ex.joint", p="(nx / n * ny / n)")
+    up, down = BINOM.format(n="cc.n", k="cc.k", p="0.5"), BINOM.format(n="cc.n", k="(cc.n - cc.k)", p="0.5")
+    return f"""WITH {corr}, {EXC.removeprefix(PAIRS + ", ")}, {CONC.removeprefix(PAIRS + ", ")},
+q1 AS (SELECT sa, sb, (last - m) / sd AS z, abs((last - m) / sd) AS az FROM s), q2 AS (SELECT sa, sb, CASE WHEN joint = 0 THEN 1 ELSE least(1, {joint}) END AS p2 FROM ex), q3 AS (SELECT sa, sb, k / n AS share, least(1, 2 * least({up}, {down})) AS p3 FROM cc),
+q AS (SELECT q1.sa, q1.sb, az AS weight, share, -2 * (ln(greatest(2 * (1 - {normal_cdf_sql('az')}), 1e-300)) + ln(greatest(p2, 1e-300)) + ln(greatest(p3, 1e-300))) / 2 AS h FROM q1 JOIN q2 ON q1.sa = q2.sa AND q1.sb = q2.sb JOIN q3 ON q1.sa = q3.sa AND q1.sb = q3.sb),
+cb AS (SELECT sa, sb, weight, exp(-h) * (1 + h + h * h / 2) AS p, CASE WHEN share >= 0.5 THEN 1 ELSE -1 END AS direction FROM q)"""
+
+
+@query(f"{combined_sql()} SELECT sa, sb, round(weight, 4) AS weight, round(p, 4) AS p, direction FROM cb")
 def cnv_combined_coincidence(spark, d):
-    return combined(spark, d).select("sa", "sb", F.round("weight", 6).alias("weight"), F.round("p", 8).alias("p"), "direction")
+    return combined(spark, d).select("sa", "sb", F.round("weight", 4).alias("weight"), F.round("p", 4).alias("p"), "direction")
 
 
 @query(f"""WITH {CONC}, p AS (SELECT sa, sb, least(1, 2 * least({BINOM.format(n='cc.n', k='cc.k', p='0.5')}, {BINOM.format(n='cc.n', k='(cc.n - cc.k)', p='0.5')})) AS p FROM cc), k AS (SELECT *, count(*) OVER (ORDER BY round(p, 9) RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS m FROM p),
@@ -233,11 +251,14 @@ def cnv_locf_grid(spark, d):
 TEMPLATES = [("stress", 1, "returns", "^flag", 1, 0), ("stress", 2, "logistics", "nation", 0, 60), ("boom", 1, "demand", "^orders", 1, 0), ("boom", 2, "urgency", "URGENT", 0, 90), ("boom", 3, "logistics", "nation", 0, 120)]
 
 
-@query("""WITH tp(template, step, category, pattern, sign_, within_) AS (VALUES ('stress', 1, 'returns', '^flag', 1, 0), ('stress', 2, 'logistics', 'nation', 0, 60), ('boom', 1, 'demand', '^orders', 1, 0), ('boom', 2, 'urgency', 'URGENT', 0, 90), ('boom', 3, 'logistics', 'nation', 0, 120)),
+TEMPLATE_SQL = """WITH tp(template, step, category, pattern, sign_, within_) AS (VALUES ('stress', 1, 'returns', '^flag', 1, 0), ('stress', 2, 'logistics', 'nation', 0, 60), ('boom', 1, 'demand', '^orders', 1, 0), ('boom', 2, 'urgency', 'URGENT', 0, 90), ('boom', 3, 'logistics', 'nation', 0, 120)),
 z AS (SELECT signal, category, d, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS z FROM series WINDOW w AS (PARTITION BY signal)), e AS (SELECT signal, category, sign(z) AS dir, min(d) AS d FROM z WHERE abs(z) > 2.5 AND d >= DATE '1998-01-01' GROUP BY 1, 2, 3),
 m AS (SELECT template, step, within_, e.d, row_number() OVER (PARTITION BY template, step ORDER BY e.d, signal) AS k FROM tp JOIN e ON e.category = tp.category AND regexp_matches(signal, pattern) AND (sign_ = 0 OR dir = sign_)),
-f AS (SELECT template, step, within_, d FROM m WHERE k = 1), t AS (SELECT template, d AS trigger FROM f WHERE step = 1), n AS (SELECT template, count(*) AS steps FROM tp GROUP BY 1)
-SELECT n.template, round(count(f.step) FILTER (WHERE f.step = 1 OR abs(f.d - t.trigger) <= within_) / any_value(steps), 6) AS match FROM n LEFT JOIN t ON t.template = n.template LEFT JOIN f ON f.template = n.template GROUP BY 1""")
+f AS (SELECT template, step, within_, d FROM m WHERE k = 1), t AS (SELECT template, d AS trigger FROM f WHERE step = 1), n AS (SELECT template, count(*) AS steps FROM tp GROUP BY 1)"""
+TEMPLATE_RESULT = """SELECT n.template, round(count(f.step) FILTER (WHERE f.step = 1 OR abs(f.d - t.trigger) <= within_) / any_value(steps), 6) AS match FROM n LEFT JOIN t ON t.template = n.template LEFT JOIN f ON f.template = n.template GROUP BY 1"""
+
+
+@query(f"{TEMPLATE_SQL} {TEMPLATE_RESULT}")
 def cnv_template_match(spark, d):
     """Steps of a template matched by the first event of a fitting category, name and direction, within days of the trigger."""
     rules = spark.createDataFrame(TEMPLATES, "template string, step int, cat string, pattern string, sign int, within int")
@@ -253,6 +274,6 @@ def cnv_template_match(spark, d):
     return j.groupBy("template").agg(F.round(F.count_if(F.coalesce(ok, F.lit(False))) / F.first("steps"), 6).alias("match"))
 
 
-@query()
+@query(f"{TEMPLATE_SQL}, r AS ({TEMPLATE_RESULT}) SELECT template, match FROM r WHERE match >= 0.5 ORDER BY match DESC, template LIMIT 1")
 def cnv_best_template(spark, d):
     return cnv_template_match(spark, d).where("match >= 0.5").orderBy(F.desc("match"), "template").limit(1)

@@ -17,7 +17,7 @@ from .views import bars, country_events, obs, series, table
 
 @query()
 def drf_bocpd(spark, d):
-    s = series(spark, d).where("category = 'returns' or category = 'demand'")
+    s = series(spark, d)
     out = D.change_points(s, "signal", "d", "value")
     return out.select(F.col("key").alias("signal"), F.col("o").cast("string").alias("d"), "run_length", "change")
 
@@ -59,7 +59,7 @@ def drf_wasserstein_drift(spark, d):
     return g.select("source", F.round((dist("n") + dist("m")) / 2, 6).alias("drift"), ((dist("n") + dist("m")) / 2 > 1).alias("alarm"))
 
 
-TAU = """jb AS (SELECT a.brand AS ba, b.brand AS bb, a.m, a.x, b.x AS y FROM mb a JOIN mb b ON a.m = b.m AND a.brand < b.brand WHERE a.brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND b.brand IN ('Brand#11', 'Brand#12', 'Brand#13'))"""
+TAU = """jb AS (SELECT a.brand AS ba, b.brand AS bb, a.m, a.x, b.x AS y FROM mb a JOIN mb b ON a.m = b.m AND a.brand < b.brand)"""
 
 
 @query("""WITH mb AS (SELECT brand, date_trunc('month', d)::DATE AS m, round(sum(volume), 6) AS x FROM bars GROUP BY 1, 2), """ + TAU + """,
@@ -67,7 +67,7 @@ p AS (SELECT u.ba, u.bb, sign(u.x - v.x) AS sx, sign(u.y - v.y) AS sy FROM jb u
 SELECT ba, bb, round(tau, 6) AS tau, round(CASE WHEN tau > 0 THEN pow(2, -1 / (2 * tau / (1 - tau))) ELSE 0 END, 6) AS clayton, round(CASE WHEN tau > 0 THEN 2 - pow(2, 1 - tau) ELSE 0 END, 6) AS gumbel FROM t""")
 def drf_tail_dependence(spark, d):
     """Kendall's tau-b on monthly bins and the tail coefficients that follow from it. The bins bound the pairs."""
-    mb = bars(spark, d).where(F.col("brand").isin("Brand#11", "Brand#12", "Brand#13")).groupBy("brand", F.to_date(F.trunc("d", "month")).alias("m")).agg(F.round(F.sum("volume"), 6).alias("x"))
+    mb = bars(spark, d).groupBy("brand", F.to_date(F.trunc("d", "month")).alias("m")).agg(F.round(F.sum("volume"), 6).alias("x"))
     j = mb.toDF("ba", "m", "x").join(mb.toDF("bb", "m", "y"), "m").where("ba < bb")
     g = j.groupBy("ba", "bb").agg(F.sort_array(F.collect_list(F.struct("m", "x", "y"))).alias("xs"))
     pairs = g.select("ba", "bb", F.explode(F.expr("flatten(transform(xs, (u, i) -> transform(slice(xs, i + 2, size(xs)), v -> struct(signum(u.x - v.x) as sx, signum(u.y - v.y) as sy))))")).alias("p"))
@@ -80,7 +80,7 @@ def drf_tail_dependence(spark, d):
 @query()
 def drf_regime_topology(spark, d):
     """Per quarter: correlation distances between brands, minimum spanning tree weights, persistence entropy and the spectral gap."""
-    r = bars(spark, d).where("ret is not null and d >= date '1996-01-01'").select(F.to_date(F.trunc("d", "quarter")).alias("q"), "d", "brand", "ret")
+    r = bars(spark, d).where("ret is not null").select(F.to_date(F.trunc("d", "quarter")).alias("q"), "d", "brand", "ret")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="d", columns="brand", values="ret").fillna(0.0)
@@ -122,7 +122,7 @@ def drf_power_spectrum(spark, d):
         p = np.abs(np.fft.rfft(x - x.mean())) ** 2 / len(x)
         return pd.DataFrame({"signal": key, "frequency": np.arange(len(p)), "power": np.round(p, 6)})
 
-    return D.per_series(series(spark, d).where("category = 'returns'"), "signal", "d", "value", "signal string, frequency long, power double", run)
+    return D.per_series(series(spark, d), "signal", "d", "value", "signal string, frequency long, power double", run)
 
 
 @query()
@@ -135,7 +135,7 @@ def drf_scalogram(spark, d):
             out.append(float((np.abs(np.convolve(x - x.mean(), wave, "same")) ** 2).mean()))
         return pd.DataFrame({"signal": key, "period": [5, 10, 21, 63], "power": np.round(out, 6)})
 
-    return D.per_series(series(spark, d).where("category = 'returns'"), "signal", "d", "value", "signal string, period long, power double", run)
+    return D.per_series(series(spark, d), "signal", "d", "value", "signal string, period long, power double", run)
 
 
 @query()
@@ -212,11 +212,11 @@ def price_bins(spark, d):
     return j.withColumn("price", F.coalesce(F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("p", ignorenulls=True).over(whole)))
 
 
-COV = """rr AS (SELECT brand, d, ret FROM bars WHERE ret IS NOT NULL AND brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15')), cv AS (SELECT a.brand AS a, b.brand AS b, covar_samp(a.ret, b.ret) AS c FROM rr a JOIN rr b ON a.d = b.d GROUP BY 1, 2), mv AS (SELECT avg(c) AS m FROM cv WHERE a = b)"""
+COV = """rr AS (SELECT brand, d, ret FROM bars WHERE ret IS NOT NULL), cv AS (SELECT a.brand AS a, b.brand AS b, covar_samp(a.ret, b.ret) AS c FROM rr a JOIN rr b ON a.d = b.d GROUP BY 1, 2), mv AS (SELECT avg(c) AS m FROM cv WHERE a = b)"""
 
 
 def covariance(spark, d):
-    r = bars(spark, d).where("ret is not null").where(F.col("brand").isin([f"Brand#{n}" for n in range(11, 16)])).select("brand", "d", "ret")
+    r = bars(spark, d).where("ret is not null").select("brand", "d", "ret")
     return r.toDF("a", "d", "x").join(r.toDF("b", "d", "y"), "d").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"))
 
 
@@ -232,7 +232,7 @@ def shrunk(spark, d):
 
 
 def solve(spark, d, f):
-    """f(names, covariance) for each portfolio: the small dense algebra of one portfolio in one group."""
+    """f(covariance) for each portfolio, the brands of one maker: the small dense algebra of one portfolio in one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot_table(index="a", columns="b", values="c").fillna(0.0)
@@ -240,7 +240,8 @@ def solve(spark, d, f):
         w = f(m.to_numpy())
         return pd.DataFrame({"brand": m.index, "weight": np.round(w, 6)})
 
-    return shrunk(spark, d).withColumn("portfolio", F.lit(1)).groupBy("portfolio").applyInPandas(run, "brand string, weight double")
+    maker = lambda c: F.substring(c, 1, 7)
+    return shrunk(spark, d).where(maker("a") == maker("b")).groupBy(maker("a")).applyInPandas(run, "brand string, weight double")
 
 
 @query()
@@ -312,6 +313,5 @@ def pfl_surprise_weights(spark, d):
 @query()
 def pfl_portfolio_weights(spark, d):
     """The robust weights blended with the equal ones by a turnover limit, renormalised."""
-    w = pfl_robust_weights(spark, d)
-    n = F.broadcast(w.agg(F.count("*").alias("n")))  # one row
-    return w.join(n).select("brand", F.round(0.7 * F.col("weight") + 0.3 / F.col("n"), 6).alias("weight"))
+    n = F.count("*").over(Window.partitionBy(F.substring("brand", 1, 7)))
+    return pfl_robust_weights(spark, d).select("brand", F.round(0.7 * F.col("weight") + 0.3 / n, 6).alias("weight"))

@@ -103,7 +103,7 @@ def txt_evidence_stats(spark, d):
     return docs.join(F.broadcast(m)).join(F.broadcast(n)).select("documents", "mentions", "links", "entities")  # one row each
 
 
-@query("SELECT entity_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS cycle, 'Event in ' || entity_id || ' class ' || quad AS text, count(*) AS events FROM country_events WHERE ts >= TIMESTAMP '2001-01-01' GROUP BY 1, 2, quad")
+@query("SELECT entity_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS cycle, 'Event in ' || entity_id || ' class ' || quad AS text, count(*) AS events FROM country_events GROUP BY 1, 2, quad")
 def txt_event_documents(spark, d):
-    e = country_events(spark, d).where("ts >= timestamp '2001-01-01'")
+    e = country_events(spark, d)
     return e.groupBy("entity_id", F.to_date("ts").cast("string").alias("cycle"), "quad").agg(F.count("*").alias("events")).select("entity_id", "cycle", F.concat(F.lit("Event in "), "entity_id", F.lit(" class "), F.col("quad").cast("string")).alias("text"), "events")

@@ -13,14 +13,17 @@ from ..registry import query
 from .views import entities, links, obs, table
 
 
-@query("""WITH k AS (SELECT o_orderkey AS e, 'day_total' AS key, CAST(o_orderdate AS DATE)::VARCHAR || ':' || o_custkey AS v FROM orders), c AS (SELECT v, list_sort(list(e)) AS es FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)
-SELECT a.e AS a, b.e AS b FROM (SELECT v, unnest(es) AS e FROM c) a JOIN (SELECT v, unnest(es) AS e FROM c) b ON a.v = b.v AND a.e < b.e""")
+@query("""WITH k AS (SELECT o_orderkey AS e, CAST(o_orderdate AS DATE)::VARCHAR || ':' || o_custkey AS v FROM orders) SELECT a, e AS b FROM (SELECT e, min(e) OVER (PARTITION BY v) AS a FROM k) WHERE a < e""")
 def grf_deterministic_resolution(spark, d):
-    """Rows with an equal identifier, as pairs within the key's sorted members."""
+    """Rows with an equal identifier: each with the smallest one that has it, however many share it."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("e"), F.concat(F.to_date("o_orderdate").cast("string"), F.lit(":"), F.col("o_custkey").cast("string")).alias("v"))
-    c = o.groupBy("v").agg(F.sort_array(F.collect_list("e")).alias("es")).where("size(es) between 2 and 50")
-    pairs = F.expr("flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)), y -> struct(x as a, y as b))))")
-    return c.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a < b")
+    return represented(o)
+
+
+def represented(rows):
+    """a, b: of rows (e, v) each e with the least of its v. An aggregate joined back, so no identifier's rows are gathered."""
+    least = rows.groupBy("v").agg(F.min("e").alias("a"), F.max("e").alias("z")).where("a < z").select("v", "a")
+    return rows.join(least, "v").where("a < e").select("a", F.col("e").alias("b")).distinct()
 
 
 def _jaro_winkler(s: str, t: str) -> float:
@@ -74,11 +77,15 @@ def grf_probabilistic_resolution(spark, d):
     return levels.join(n, "level").join(total).select("a", "b", F.round(1 / (1 + F.exp(-weight)), 6).alias("p")).where("p >= 0.05")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 4000 AS a, l_partkey % 4000 + 10000 AS b FROM lineitem WHERE l_quantity >= 48 AND l_linenumber = 1), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE k AS (SELECT o_orderkey AS e, o_custkey || ':' || year(o_orderdate) * 100 + month(o_orderdate) AS v FROM orders UNION ALL SELECT o_orderkey, o_custkey || ':' || o_orderpriority FROM orders),
+p AS (SELECT DISTINCT a, e AS b FROM (SELECT e, min(e) OVER (PARTITION BY v) AS a FROM k) WHERE a < e), n AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
 r AS (SELECT x AS node, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def grf_resolved_components(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 48 and l_linenumber = 1").select((F.col("l_orderkey") % 4000).alias("a"), (F.col("l_partkey") % 4000 + 10000).alias("b")).distinct()
-    return components(e, "a", "b")
+    """Orders that share a customer's month or a customer's priority, directly or by others."""
+    o = table(spark, d, "orders")
+    month = F.concat_ws(":", "o_custkey", (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string"))
+    keys = o.select(F.col("o_orderkey").alias("e"), F.explode(F.array(month, F.concat_ws(":", "o_custkey", "o_orderpriority"))).alias("v"))
+    return components(represented(keys), "a", "b")
 
 
 @query()

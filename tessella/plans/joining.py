@@ -32,20 +32,21 @@ def linked(observations, edges, link_type: str):
     return observations.join(k, "entity_id")
 
 
-EVENTS_2024 = "e AS (SELECT entity_id, ts + INTERVAL 9496 DAY AS ts, score, quad, event_key, event_line, event_part FROM country_events WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-02-10')"
+#: Observations span a month and country events seven years: the month is stretched over the years, so that all of both meet.
+STRETCH = 83
+WIDE = f"wide AS (SELECT obs_id, entity_id, source, value, make_timestamp(788918400000000 + (epoch_us(ts) - 1704067200000000) * {STRETCH}) AS ts FROM obs)"
 
 
-def events_2024(spark, d):
-    """Country events of early 1998 moved into the time range of obs."""
-    e = country_events(spark, d).where("ts between timestamp '1998-01-01' and timestamp '1998-02-10'")
-    return e.withColumn("ts", F.expr("ts + interval 9496 days"))
+def wide(spark, d):
+    us = F.lit(788_918_400_000_000) + (F.unix_micros("ts") - F.lit(1_704_067_200_000_000)) * STRETCH
+    return obs(spark, d).withColumn("ts", F.timestamp_micros(us))
 
 
-def event_scores(spark, d, window: float, least: float, sources, weight=None):
+def event_scores(spark, d, window: float, least: float, source: str | None = None, weight=None):
     """Observations paired with events of the linked country: abs(score)/10 * max(0, 1 - |dt|/window)."""
-    o = obs(spark, d)
-    a = linked(o.where(sources(o)) if sources else o, links(spark, d), "headquartered_in")
-    e = events_2024(spark, d).where(F.col("score") <= least).withColumnRenamed("entity_id", "entity_b")
+    o = wide(spark, d)
+    a = linked(o.where(F.col("source") == source) if source else o, links(spark, d), "headquartered_in")
+    e = country_events(spark, d).where(F.col("score") <= least).withColumnRenamed("entity_id", "entity_b")
     out = interval_join(a, e, window, ["entity_b"])
     s = F.abs("r.score") / 10 * F.greatest(F.lit(0.0), 1 - F.abs("delta") / window)
     if weight is not None:
@@ -53,34 +54,44 @@ def event_scores(spark, d, window: float, least: float, sources, weight=None):
     return out.select(F.col("l.obs_id").alias("obs_id"), F.col("r.event_key").alias("event_key"), F.col("r.event_line").alias("event_line"), F.col("r.event_part").alias("event_part"), F.round("delta", 3).alias("delta"), F.round(s, 6).alias("score"))
 
 
-def scored_sql(window: int, least: float, where: str, weight: str = "1") -> str:
+def scored_sql(window: int, least: float, where: str = "true", weight: str = "1") -> str:
     """A CTE list that ends in sc, the scored pairs."""
-    return f"""WITH {EVENTS_2024}, sc AS (SELECT o.obs_id, e.event_key, e.event_line, e.event_part, round(epoch(o.ts) - epoch(e.ts), 3) AS delta,
+    return f"""WITH {WIDE}, sc AS (SELECT o.obs_id, e.event_key, e.event_line, e.event_part, round(epoch(o.ts) - epoch(e.ts), 3) AS delta,
   round(abs(e.score) / 10 * greatest(0, 1 - abs(epoch(o.ts) - epoch(e.ts)) / {window}.0) * {weight}, 6) AS score
-FROM obs o JOIN links k ON k.entity_a = o.entity_id AND k.link_type = 'headquartered_in' JOIN e ON e.entity_id = k.entity_b
+FROM wide o JOIN links k ON k.entity_a = o.entity_id AND k.link_type = 'headquartered_in' JOIN country_events e ON e.entity_id = k.entity_b
 WHERE e.score <= {least} AND abs(epoch(o.ts) - epoch(e.ts)) <= {window} AND {where})"""
 
 
-@query(scored_sql(43200, -8, "o.obs_id % 5 = 0") + " SELECT * FROM sc")
+@query(scored_sql(259200, -2) + " SELECT * FROM sc")
 def join_insider_x_event(spark, d):
-    return event_scores(spark, d, 12 * HOURS, -8, lambda o: F.col("obs_id") % 5 == 0)
+    return event_scores(spark, d, 72 * HOURS, -2)
 
 
 @query(scored_sql(172800, -9.5, "o.source = 'error'") + " SELECT * FROM sc")
 def join_vessel_x_sanctions(spark, d):
-    return event_scores(spark, d, 48 * HOURS, -9.5, lambda o: F.col("source") == "error")
+    return event_scores(spark, d, 48 * HOURS, -9.5, "error")
 
 
-@query(scored_sql(86400, -9, "o.obs_id % 7 = 0", "least(o.value / 100.0, 1)") + " SELECT * FROM sc")
+@query(scored_sql(86400, -5, weight="least(o.value / 100.0, 1)") + " SELECT * FROM sc")
 def join_transfer_x_event(spark, d):
-    return event_scores(spark, d, 24 * HOURS, -9, lambda o: F.col("obs_id") % 7 == 0, F.least(F.col("l.value") / 100, F.lit(1.0)))
+    return event_scores(spark, d, 24 * HOURS, -5, weight=F.least(F.col("l.value") / 100, F.lit(1.0)))
 
 
-@query(scored_sql(43200, -8, "o.obs_id % 5 = 0") + " SELECT obs_id, count(*) AS patterns, max(score) AS best, 3 AS depth FROM sc WHERE score >= 0.5 GROUP BY 1")
+@query(scored_sql(259200, -2) + " SELECT obs_id, count(*) AS patterns, max(score) AS best, 3 AS depth FROM sc WHERE score >= 0.5 GROUP BY 1")
 def join_store_l3(spark, d):
     return join_insider_x_event(spark, d).where("score >= 0.5").groupBy("obs_id").agg(F.count("*").alias("patterns"), F.max("score").alias("best"), F.lit(3).alias("depth"))
 
 
+@query(f"""WITH {WIDE} SELECT a.obs_id AS obs_a, e.event_key, e.event_line, e.event_part, k.entity_b AS country, round(epoch(a.ts) - epoch(e.ts), 3) AS delta FROM wide a JOIN links k ON k.entity_a = a.entity_id
+JOIN country_events e ON e.entity_id = k.entity_b WHERE k.link_type = 'headquartered_in' AND a.source = 'purchase' AND e.quad = 4 AND abs(epoch(a.ts) - epoch(e.ts)) <= 86400""")
+def join_linked_co_occurrence(spark, d):
+    """Observations of one source near those of another on a linked entity, for all linked pairs at once."""
+    a = linked(wide(spark, d).where("source = 'purchase'"), links(spark, d), "headquartered_in")
+    b = country_events(spark, d).where("quad = 4").withColumnRenamed("entity_id", "entity_b")
+    out = interval_join(a, b, 24 * HOURS, ["entity_b"])
+    return out.select(F.col("l.obs_id").alias("obs_a"), F.col("r.event_key").alias("event_key"), F.col("r.event_line").alias("event_line"), F.col("r.event_part").alias("event_part"), F.col("l.entity_b").alias("country"), F.round("delta", 3).alias("delta"))
+
+
 GRID = "g AS (SELECT entity_id, TIMESTAMP '2024-01-02' + INTERVAL (i) DAY AS t FROM (SELECT DISTINCT entity_id FROM obs), range(28) x(i))"
 
 

@@ -79,9 +79,9 @@ def mod_recent(spark, d):
     return search(obs(spark, d), [], where=F.col("ts") >= F.lit("2024-01-25").cast("timestamp"), order=[F.desc("ts"), "obs_id"], limit=100).select("source", "obs_id", "value")
 
 
-@query("SELECT market, side, count(*) AS n, round(sum(usdc), 2) AS volume FROM trades WHERE market % 10 = 3 GROUP BY 1, 2 ORDER BY volume DESC, market, side LIMIT 40")
+@query("SELECT market, side, count(*) AS n, round(sum(usdc), 2) AS volume FROM trades GROUP BY 1, 2 ORDER BY volume DESC, market, side LIMIT 40")
 def mod_market_ranking(spark, d):
-    t = trades(spark, d).where("market % 10 = 3")
+    t = trades(spark, d)
     return ranked(t, ["market", "side"], {"n": F.count("*"), "volume": F.round(F.sum("usdc"), 2)}, [F.desc("volume"), "market", "side"], 40)
 
 
@@ -108,9 +108,9 @@ def mod_detect_rate_change(spark, d):
     return changes(p, ["brand"], "week", "long").select("brand", F.col("week").cast("string").alias("wk"), "step")
 
 
-@query("SELECT entity_id, quad, count(*) AS n, round(avg(score), 6) AS score, count(*) FILTER (WHERE score <= -8) AS severe FROM country_events WHERE ts >= TIMESTAMP '2000-01-01' GROUP BY 1, 2")
+@query("SELECT entity_id, quad, count(*) AS n, round(avg(score), 6) AS score, count(*) FILTER (WHERE score <= -8) AS severe FROM country_events GROUP BY 1, 2")
 def mod_outage_signals(spark, d):
-    e = country_events(spark, d).where("ts >= timestamp '2000-01-01'")
+    e = country_events(spark, d)
     return ranked(e, ["entity_id", "quad"], {"n": F.count("*"), "score": F.round(F.avg("score"), 6), "severe": F.count_if(F.col("score") <= -8)}, ["entity_id", "quad"])
 
 

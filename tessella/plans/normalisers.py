@@ -22,33 +22,33 @@ def of(source: str, kind: str | None = None):
 KEY = "substr(sha256('{kind}:' || {key}), 1, 16)"
 
 
-@query(f"SELECT {KEY.format(kind='country', key='entity_id')} AS entity_id, event_key || ':' || event_line || ':' || event_part AS event_id, score AS goldstein FROM country_events WHERE ts >= TIMESTAMP '2001-06-01'")
+@query(f"SELECT {KEY.format(kind='country', key='entity_id')} AS entity_id, event_key || ':' || event_line || ':' || event_part AS event_id, score AS goldstein FROM country_events")
 def nrm_gdelt(spark, d):
-    e = country_events(spark, d).where("ts >= timestamp '2001-06-01'")
+    e = country_events(spark, d)
     rows = e.select(F.concat_ws(":", "event_key", "event_line", "event_part").alias("id"), F.date_format("ts", "yyyyMMdd").alias("date"), F.col("entity_id").alias("actor1"), F.lit("").alias("actor2"), F.col("score").alias("goldstein"), F.col("quad").alias("quad_class"))
     out = normalise.observations(landing(rows, "gdelt", "events", F.col("date")), of("gdelt"))
     return out.select("entity_id", F.get_json_object("value_json", "$.event_id").alias("event_id"), F.get_json_object("value_json", "$.goldstein").cast("double").alias("goldstein"))
 
 
-@query(f"SELECT {KEY.format(kind='wallet', key='wallet')} AS entity_id, count(*) AS n, round(sum(usdc), 4) AS volume FROM trades WHERE usdc >= 50000 GROUP BY 1")
+@query(f"SELECT {KEY.format(kind='wallet', key='wallet')} AS entity_id, count(*) AS n, round(sum(usdc), 4) AS volume FROM trades GROUP BY 1")
 def nrm_polymarket_whales(spark, d):
-    t = trades(spark, d).where("usdc >= 50000").select("wallet", F.col("usdc").alias("total_volume"), F.col("price").alias("accuracy"), "market")
+    t = trades(spark, d).select("wallet", F.col("usdc").alias("total_volume"), F.col("price").alias("accuracy"), "market")
     rows = t.select("wallet", "total_volume", "accuracy", F.col("market").alias("markets"))
     out = normalise.observations(landing(rows, "polymarket_whales", "wallets", F.col("markets")), of("polymarket_whales"))
     return out.groupBy("entity_id").agg(F.count("*").alias("n"), F.round(F.sum(F.get_json_object("value_json", "$.total_volume").cast("double")), 4).alias("volume"))
 
 
-@query(f"SELECT DISTINCT {KEY.format(kind='person', key='c_custkey')} AS entity_a, {KEY.format(kind='company', key='l_suppkey')} AS entity_b, 'works_for' AS link_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49")
+@query(f"SELECT DISTINCT {KEY.format(kind='person', key='c_custkey')} AS entity_a, {KEY.format(kind='company', key='l_suppkey')} AS entity_b, 'works_for' AS link_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
 def nrm_insider_filings_links(spark, d):
-    li, o = table(spark, d, "lineitem").where("l_quantity >= 49"), table(spark, d, "orders")
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     rows = j.select(F.col("o_custkey").cast("string").alias("reporter_cik"), F.col("l_suppkey").cast("string").alias("issuer_cik"), F.col("l_quantity").alias("shares"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
     return normalise.links(landing(rows, "insider_filings", "transactions", F.col("issuer_cik")), of("insider_filings")).select("entity_a", "entity_b", "link_type")
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS day, count(*) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY 1")
+@query("SELECT l_shipdate::DATE::VARCHAR AS day, count(*) AS n FROM lineitem GROUP BY 1")
 def nrm_insider_filings(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 49")
+    li = table(spark, d, "lineitem")
     rows = li.select(F.col("l_orderkey").cast("string").alias("reporter_cik"), F.col("l_suppkey").cast("string").alias("issuer_cik"), F.col("l_quantity").alias("shares"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
     out = normalise.observations(landing(rows, "insider_filings", "transactions", F.col("issuer_cik")), of("insider_filings"))
     return out.groupBy(F.to_date(F.timestamp_seconds("observed_at")).cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -119,10 +119,10 @@ def fn_json_keys(spark, d):
     return obs(spark, d).select("obs_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"))
 
 
-@query("""WITH t AS (SELECT p_brand, list(DISTINCT p_type) AS ts FROM part WHERE p_partkey % 20 = 0 GROUP BY 1) SELECT a.p_brand AS a, b.p_brand AS b, round(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS jaccard FROM t a JOIN t b ON a.p_brand < b.p_brand""")
+@query("""WITH t AS (SELECT p_brand, list(DISTINCT p_type || ':' || p_size) AS ts FROM part GROUP BY 1) SELECT a.p_brand AS a, b.p_brand AS b, round(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS jaccard FROM t a JOIN t b ON a.p_brand < b.p_brand""")
 def fn_jaccard(spark, d):
     """Brands share types: intersections by an equality join on the type, unions from the sizes."""
-    t = table(spark, d, "part").where("p_partkey % 20 = 0").select("p_brand", "p_type").distinct()
+    t = table(spark, d, "part").select("p_brand", F.concat_ws(":", "p_type", "p_size").alias("p_type")).distinct()
     n = t.groupBy("p_brand").agg(F.count("*").alias("n"))
     both = t.toDF("a", "p_type").join(t.toDF("b", "p_type"), "p_type").where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
     pairs = n.toDF("a", "na").join(F.broadcast(n.toDF("b", "nb")), F.col("a") < F.col("b"))  # 25 brands

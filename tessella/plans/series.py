@@ -279,20 +279,20 @@ def win_liquidity_pressure(spark, d):
     return t.groupBy("brand").agg(F.round(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), z)), 6).alias("z"), F.least(F.lit(1.0), F.count("x") / 100.0).alias("quality"))
 
 
-@query("""WITH g AS (SELECT signal, CAST(w AS DATE) AS w FROM (SELECT DISTINCT signal FROM series WHERE category = 'returns'), generate_series(TIMESTAMP '1996-01-03', TIMESTAMP '1999-12-29', INTERVAL 7 DAY) t(w)),
+@query("""WITH g AS (SELECT signal, CAST(w AS DATE) AS w FROM (SELECT DISTINCT signal FROM series), generate_series(TIMESTAMP '1996-01-03', TIMESTAMP '1999-12-29', INTERVAL 7 DAY) t(w)),
 f AS (SELECT g.signal, g.w, (SELECT value FROM series s WHERE s.signal = g.signal AND s.d <= g.w ORDER BY s.d DESC LIMIT 1) AS v FROM g), x AS (SELECT signal, f.w, v - lag(v) OVER (PARTITION BY signal ORDER BY f.w) AS c FROM f)
-SELECT signal, CAST(x.w AS VARCHAR) AS wk, round(CASE WHEN count(c) OVER o = 52 THEN (c - avg(c) OVER o) / stddev_samp(c) OVER o END, 5) AS z FROM x WINDOW o AS (PARTITION BY signal ORDER BY x.w ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)""")
+SELECT signal, CAST(x.w AS VARCHAR) AS wk, round(CASE WHEN count(c) OVER o = 52 THEN (c - avg(c) OVER o) / nullif(stddev_samp(c) OVER o, 0) END, 5) AS z FROM x WINDOW o AS (PARTITION BY signal ORDER BY x.w ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)""")
 def win_liquidity_composite(spark, d):
     from ..operators.joins import asof_join
 
-    s = series(spark, d).where("category = 'returns'").select("signal", "d", "value")
+    s = series(spark, d).select("signal", "d", "value")
     weeks = spark.range(209).select(F.expr("date_add(date '1996-01-03', cast(id * 7 as int))").alias("w")).where("w <= date '1999-12-29'")
     grid = s.select("signal").distinct().join(F.broadcast(weeks))  # 208 rows
     f = asof_join(grid, s, ["signal"], "w", "d", "value").withColumn("v", F.col("found.value"))
     w = Window.partitionBy("signal").orderBy("w")
     x = f.withColumn("c", F.col("v") - F.lag("v").over(w))
     o = w.rowsBetween(-51, 0)
-    return x.select("signal", F.col("w").cast("string").alias("wk"), F.round(F.when(F.count("c").over(o) == 52, (F.col("c") - F.avg("c").over(o)) / F.stddev_samp("c").over(o)), 5).alias("z"))
+    return x.select("signal", F.col("w").cast("string").alias("wk"), F.round(F.when(F.count("c").over(o) == 52, (F.col("c") - F.avg("c").over(o)) / F.nullif(F.stddev_samp("c").over(o), F.lit(0.0))), 5).alias("z"))
 
 
 WBASE = "(PARTITION BY entity_id ORDER BY ts, obs_id ROWS BETWEEN 34 PRECEDING AND 5 PRECEDING)"

@@ -72,6 +72,7 @@ SPECS: list[Spec] = [
     Spec("central_bank_balance", "struct<banks:array<struct<country_code:string,code:string,native_trillions:double,usd_trillions:double,wow_pct:double,mom_pct:double,yoy_pct:double>>>", "p.banks", "country", "r.country_code", "cb_balance_sheet", {"cb_code": "r.code", **same("native_trillions", "usd_trillions", "wow_pct", "mom_pct", "yoy_pct")}),
     Spec("central_bank_balance", "struct<rates:array<struct<country_code:string,code:string,current_rate:double,last_change_date:string,last_change_direction:string,last_change_bps:double,days_since_change:bigint>>>", "p.rates", "country", "r.country_code", "cb_policy_rate", {"cb_code": "r.code", **same("current_rate", "last_change_date", "last_change_direction", "last_change_bps", "days_since_change")}),
     Spec("cert_transparency", "struct<domain:string,certs:array<struct<entry_timestamp:string,is_expired:boolean,common_name:string,issuer_name:string>>>", "p.certs", "domain", "p.domain", "cert_issued", same("is_expired", "common_name", "issuer_name"), "p.domain", at(ISO, "r.entry_timestamp"), alias="domain_name"),
+    Spec("cftc", "struct<rows:array<struct<code:string,market:string,report_date:string,open_interest:double,mm_net:double,pm_net:double,swap_net:double,mm_net_pct_oi:double,mm_weekly_flow:double,oi_change:double,conc_top4_long:double,conc_top4_short:double,ticker:string>>>", "p.rows", "cftc_contract", "trim(r.code)", "futures_positioning", same("open_interest", "mm_net", "pm_net", "swap_net", "mm_net_pct_oi", "mm_weekly_flow", "oi_change", "conc_top4_long", "conc_top4_short"), "coalesce(nullif(trim(r.market), ''), r.code)", at(DAY, "r.report_date"), links=(Link("cftc_tracks", "instrument", "r.ticker", 1.0),)),
     Spec("comtrade", "struct<reporter:string,partner:string,flow:string,record_count:bigint,records:array<struct<commodity_code:string,trade_value_usd:double,period:string>>>", "slice(p.records, 1, 1)", "country", "upper(trim(p.reporter))", "trade_flow", {"partner": "p.partner", "flow": "p.flow", "commodity_code": "r.commodity_code", "trade_value_usd": "r.trade_value_usd", "record_count": "coalesce(p.record_count, size(p.records))", "period": "r.period"}),
     Spec("foia_requests", "struct<records:array<struct<entity:string,source:string,agency:string,jurisdiction:string,date_filed:string,status:string>>>", "p.records", "company", "trim(r.entity)", "investigation_signal", same("source", "agency", "jurisdiction", "date_filed", "status")),
     Spec("form144", "struct<filings:array<struct<reporter_cik:string,issuer_cik:string,insider:string,ticker:string,company:string,shares_to_sell:bigint,dollar_value:double,acquisition_type:string,urgency:string,relationship:string,filing_date:string>>>", "p.filings", "person", "r.reporter_cik", "sell_intent", same("ticker", "company", "shares_to_sell", "dollar_value", "acquisition_type", "urgency", "relationship"), "r.insider", at(DAY, "r.filing_date"), links=(Link("works_for", "company", "r.issuer_cik"),)),
