@@ -37,14 +37,15 @@ def drf_anomaly_digest(spark, d):
     return diversified(j, ["source", "entity_id"], "rank", "obs_id", 40).select("obs_id", "entity_id", "source", "z", F.coalesce("changed", F.lit(0)).alias("changed"))
 
 
-@query()
+@query("""WITH x AS (SELECT brand, bars.d, count(*) OVER w AS n, avg(ret) OVER w / greatest(stddev_pop(ret) OVER w, 1e-8) * sqrt(52) AS s FROM bars WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY brand ORDER BY bars.d ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)),
+g AS (SELECT brand, arg_max(s, d) AS last, max(s) AS peak FROM x WHERE n = 52 GROUP BY 1) SELECT brand, round(last, 5) AS last, round(greatest(0, least(1, (peak - last) / greatest(abs(peak), 1e-9))), 5) AS decay, greatest(0, least(1, (peak - last) / greatest(abs(peak), 1e-9))) >= 0.5 AS decayed FROM g""")
 def drf_edge_decay(spark, d):
     """Last rolling Sharpe against its running peak; decayed when it has lost half."""
     o = Window.partitionBy("brand").orderBy("d")
     s = bars(spark, d).where("ret is not null").withColumn("n", F.count("*").over(o.rowsBetween(-51, 0))).withColumn("s", F.avg("ret").over(o.rowsBetween(-51, 0)) / F.greatest(F.stddev_pop("ret").over(o.rowsBetween(-51, 0)), F.lit(1e-8)) * 52**0.5).where("n = 52")
     g = s.groupBy("brand").agg(F.max_by("s", "d").alias("last"), F.max("s").alias("peak"))
     drop = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("peak") - F.col("last")) / F.greatest(F.abs("peak"), F.lit(1e-9))))
-    return g.select("brand", F.round("last", 6).alias("last"), F.round(drop, 6).alias("decay"), (drop >= 0.5).alias("decayed"))
+    return g.select("brand", F.round("last", 5).alias("last"), F.round(drop, 5).alias("decay"), (drop >= 0.5).alias("decayed"))
 
 
 @query()
@@ -179,9 +180,9 @@ def drf_lag_distribution(spark, d):
     return x.groupBy("brand").agg(F.count("*").alias("n"), F.round(F.avg("lag"), 5).alias("mean"), F.round(F.stddev_samp("lag"), 5).alias("sd"), F.round(F.percentile("lag", 0.25), 5).alias("p25"), F.round(F.percentile("lag", 0.75), 5).alias("p75"))
 
 
-@query("""WITH e AS (SELECT entity_id, ts, quad FROM country_events WHERE ts BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-06-30') SELECT a.quad AS src, b.quad AS dst, count(*) AS n FROM e a JOIN e b ON a.entity_id = b.entity_id AND epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) - epoch_us(a.ts) <= 172800000000 GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT entity_id, ts, quad FROM country_events) SELECT a.quad AS src, b.quad AS dst, count(*) AS n FROM e a JOIN e b ON a.entity_id = b.entity_id AND epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) - epoch_us(a.ts) <= 172800000000 GROUP BY 1, 2""")
 def drf_co_occurrence_table(spark, d):
-    e = country_events(spark, d).where("ts between timestamp '1998-01-01' and timestamp '1998-06-30'").select("entity_id", "ts", "quad")
+    e = country_events(spark, d).select("entity_id", "ts", "quad")
     p = interval_join(e, e, 172_800, ["entity_id"], low=0.0).where("delta > 0")  # l is the later one
     return p.groupBy(F.col("r.quad").alias("src"), F.col("l.quad").alias("dst")).agg(F.count("*").alias("n"))
 

@@ -338,9 +338,9 @@ def join_seed_wallet_country(spark, d):
     return linked(w, links(spark, d), "headquartered_in").select(F.col("entity_id").alias("entity_a"), "entity_b")
 
 
-@query("""SELECT p_partkey, m.ticker, m.confidence FROM part JOIN (VALUES ('BRASS', 'CU', 0.9), ('BRASS', 'ZN', 0.6), ('STEEL', 'FE', 0.8)) m(kind, ticker, confidence) ON p_type LIKE '%' || kind || '%'""")
+@query("""SELECT p_partkey, m.ticker, m.confidence FROM part JOIN (VALUES ('PROMO', 'CU', 0.9), ('PROMO', 'ZN', 0.6), ('LARGE', 'FE', 0.8)) m(kind, ticker, confidence) ON p_type LIKE '%' || kind || '%'""")
 def join_vessel_commodity(spark, d):
-    rules = spark.createDataFrame([("BRASS", "CU", 0.9), ("BRASS", "ZN", 0.6), ("STEEL", "FE", 0.8)], "kind string, ticker string, confidence double")
+    rules = spark.createDataFrame([("PROMO", "CU", 0.9), ("PROMO", "ZN", 0.6), ("LARGE", "FE", 0.8)], "kind string, ticker string, confidence double")
     p = table(spark, d, "part")
     return p.join(F.broadcast(rules), F.contains(F.col("p_type"), F.col("kind"))).select("p_partkey", "ticker", F.col("confidence"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import folds
 from ..registry import query
-from .joining import stress
+from .convergence import normal_cdf_sql
+from .joining import STRESS, stress
 from .views import bars, positioning
 
 
@@ -49,16 +50,20 @@ def flows(spark, d):
     return b.withColumn("ofi", F.col("vol") * (2 * buy - 1))
 
 
-@query()
+FLOWS = f"""fl0 AS (SELECT brand, bars.d, stddev_samp(close) OVER w AS sd, last_value(close) OVER w - first_value(close) OVER w AS mv, sum(volume) OVER w AS vol, count(close) OVER w AS k FROM bars WINDOW w AS (PARTITION BY brand ORDER BY bars.d ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+fl1 AS (SELECT brand, d, vol, CASE WHEN sd > 0 THEN mv / sd ELSE 0.0 END AS x FROM fl0 WHERE k = 12), fl AS (SELECT brand, d, vol * (2 * {normal_cdf_sql('x')} - 1) AS ofi FROM fl1)"""
+
+
+@query(f"WITH {FLOWS} SELECT brand, CAST(d AS VARCHAR) AS dd, round(ofi, 4) AS ofi FROM fl")
 def mkt_order_flow_imbalance(spark, d):
-    return flows(spark, d).select("brand", F.col("d").cast("string").alias("dd"), F.round("ofi", 6).alias("ofi"))
+    return flows(spark, d).select("brand", F.col("d").cast("string").alias("dd"), F.round("ofi", 4).alias("ofi"))
 
 
-@query()
+@query(f"WITH {FLOWS} SELECT brand, CAST(d AS VARCHAR) AS dd, round((ofi - avg(ofi) OVER w) / nullif(stddev_samp(ofi) OVER w, 0), 4) AS z FROM fl WINDOW w AS (PARTITION BY brand ORDER BY fl.d ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING)")
 def mkt_ofi_zscore(spark, d):
     w = by_brand().rowsBetween(-720, -1)
-    z = (F.col("ofi") - F.avg("ofi").over(w)) / F.stddev_samp("ofi").over(w)
-    return flows(spark, d).select("brand", F.col("d").cast("string").alias("dd"), F.round(z, 6).alias("z"))
+    z = (F.col("ofi") - F.avg("ofi").over(w)) / F.nullif(F.stddev_samp("ofi").over(w), F.lit(0.0))
+    return flows(spark, d).select("brand", F.col("d").cast("string").alias("dd"), F.round(z, 4).alias("z"))
 
 
 BUCKETS = """WITH RECURSIVE o AS (SELECT brand, close, volume, row_number() OVER (PARTITION BY brand ORDER BY bars.d) AS n FROM bars),
@@ -91,10 +96,13 @@ def classified(spark, d):
     return b.withColumn("buy", F.col("volume") * S.normal_cdf(F.when(half > 0, (F.col("close") - F.col("open")) / half).otherwise(0.0)))
 
 
-@query()
+CLASSIFIED = f"""{BUCKETS}, ks AS (SELECT *, CASE WHEN high > low THEN (close - open) / ((high - low) / 2) ELSE 0.0 END AS x FROM bk WHERE full_), cl AS (SELECT brand, bucket, volume, volume * {normal_cdf_sql('x')} AS buy FROM ks)"""
+
+
+@query(f"{CLASSIFIED} SELECT brand, bucket, round(buy, 4) AS buy, round(volume - buy, 4) AS sell FROM cl")
 def mkt_bulk_classification(spark, d):
     c = classified(spark, d)
-    return c.select("brand", "bucket", F.round("buy", 6).alias("buy"), F.round(F.col("volume") - F.col("buy"), 6).alias("sell"))
+    return c.select("brand", "bucket", F.round("buy", 4).alias("buy"), F.round(F.col("volume") - F.col("buy"), 4).alias("sell"))
 
 
 def vpin(spark, d, n: int = 20):
@@ -103,7 +111,7 @@ def vpin(spark, d, n: int = 20):
     return c.withColumn("k", F.count("*").over(w)).withColumn("vpin", F.sum("gap").over(w) / F.sum("volume").over(w)).where(f"k = {n}")
 
 
-@query()
+@query(f"{CLASSIFIED}, vb AS (SELECT brand, bucket, count(*) OVER w AS k, sum(abs(2 * buy - volume)) OVER w / sum(volume) OVER w AS vpin FROM cl WINDOW w AS (PARTITION BY brand ORDER BY bucket ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT brand, bucket, round(vpin, 6) AS vpin FROM vb WHERE k = 20")
 def mkt_vpin_buckets(spark, d):
     return vpin(spark, d).select("brand", "bucket", F.round("vpin", 6).alias("vpin"))
 
@@ -118,12 +126,17 @@ def vpin_daily(spark, d):
     return b.withColumn("k", F.count("*").over(last)).withColumn("vpin", F.sum("gap").over(last) / F.sum("volume").over(last)).where("k = 50")
 
 
-@query()
+VPIN = f"""vd0 AS (SELECT brand, bars.d, ret, volume, stddev_pop(ret) OVER (PARTITION BY brand ORDER BY bars.d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM bars WHERE ret IS NOT NULL), vd1 AS (SELECT brand, d, volume, CASE WHEN sd > 1e-12 THEN ret / sd ELSE 0.0 END AS x FROM vd0),
+vd2 AS (SELECT brand, d, volume, abs(2 * volume * {normal_cdf_sql('x')} - volume) AS gap FROM vd1), vd3 AS (SELECT brand, vd2.d, count(*) OVER w AS k, sum(gap) OVER w / sum(volume) OVER w AS vpin FROM vd2 WINDOW w AS (PARTITION BY brand ORDER BY vd2.d ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)), vd AS (SELECT brand, d, vpin FROM vd3 WHERE k = 50)"""
+FLAGS = f"{VPIN}, vf AS (SELECT brand, arg_max(vpin, d) AS vpin FROM vd GROUP BY 1)"
+
+
+@query(f"WITH {VPIN} SELECT brand, CAST(d AS VARCHAR) AS dd, round(vpin, 6) AS vpin FROM vd")
 def mkt_vpin_daily(spark, d):
     return vpin_daily(spark, d).select("brand", F.col("d").cast("string").alias("dd"), F.round("vpin", 6).alias("vpin"))
 
 
-@query()
+@query(f"WITH {FLAGS} SELECT brand, round(vpin, 6) AS vpin, vpin > 0.7 AS toxic, CASE WHEN vpin >= 0.5 THEN 'high' WHEN vpin >= 0.3 THEN 'elevated' ELSE 'normal' END AS regime FROM vf")
 def mkt_vpin_flags(spark, d):
     last = vpin_daily(spark, d).groupBy("brand").agg(F.max_by("vpin", "d").alias("vpin"))
     return last.select("brand", F.round("vpin", 6).alias("vpin"), (F.col("vpin") > 0.7).alias("toxic"), S.ladder(F.col("vpin"), [(0.5, "high"), (0.3, "elevated")], "normal").alias("regime"))
@@ -184,7 +197,8 @@ def mkt_instrument_panel(spark, d):
     return panel(spark, d)
 
 
-@query()
+@query(f"""WITH {PANEL.removeprefix('WITH ')}, {STRESS}, lv AS (SELECT substr(instrument, 7) AS brand, avg_score, CASE WHEN avg_score IS NULL THEN 'NO_DATA' WHEN avg_score <= -0.2 THEN 'HIGH' WHEN avg_score <= -0.1 THEN 'MODERATE' WHEN avg_score <= 0 THEN 'LOW' ELSE 'STABLE' END AS level FROM st)
+SELECT pn.*, avg_score, level, CASE WHEN abs(flow_z) > 2 THEN 3 WHEN abs(flow_z) > 1 THEN 1 ELSE 0 END + CASE WHEN label LIKE 'crowded%' THEN 3 WHEN label LIKE 'approaching%' THEN 1 ELSE 0 END + CASE level WHEN 'HIGH' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS priority FROM pn LEFT JOIN lv ON lv.brand = pn.brand""")
 def mkt_commodity_probe(spark, d):
     s = stress(spark, d).select(F.expr("substring(instrument, 7)").alias("brand"), "avg_score", "level")
     x = panel(spark, d).join(s, "brand", "left")
@@ -193,7 +207,8 @@ def mkt_commodity_probe(spark, d):
     return x.withColumn("priority", points).orderBy(F.desc("priority"), "brand")
 
 
-@query()
+@query(f"""WITH q AS (SELECT p_brand, p_size % 5 AS expiry, 100.0::DOUBLE AS spot, CAST(80 + p_size AS DOUBLE) AS strike, (p_size % 5 + 1) / 12 AS t, p_retailprice / 5000 AS iv, p_size * 3 AS oi FROM part), x AS (SELECT *, (ln(spot / strike) + (0.02::DOUBLE + iv * iv / 2) * t) / (iv * sqrt(t)) AS d1, (ln(spot / strike) + (0.02::DOUBLE + iv * iv / 2) * t) / (iv * sqrt(t)) - iv * sqrt(t) AS d2 FROM q),
+n AS (SELECT *, {normal_cdf_sql('d1')} AS n1, {normal_cdf_sql('d2')} AS n2 FROM x) SELECT p_brand, expiry, round(sum((spot * n1 - strike * exp(-0.02::DOUBLE * t) * n2) * oi), 2) AS value, round(sum(n1 * oi), 2) AS delta FROM n GROUP BY 1, 2""")
 def mkt_option_exposure(spark, d):
     """Black-Scholes value and delta of a table of quotes times open interest, summed per underlying and size class."""
     from .views import table
@@ -204,7 +219,7 @@ def mkt_option_exposure(spark, d):
     d1 = (F.log(F.col("spot") / F.col("strike")) + (0.02 + F.col("iv") * F.col("iv") / 2) * F.col("t")) / sq
     q = q.withColumn("n1", S.normal_cdf(d1)).withColumn("n2", S.normal_cdf(d1 - sq))
     value = F.col("spot") * F.col("n1") - F.col("strike") * F.exp(-0.02 * F.col("t")) * F.col("n2")
-    return q.groupBy("p_brand", "expiry").agg(F.round(F.sum(value * F.col("oi")), 4).alias("value"), F.round(F.sum(F.col("n1") * F.col("oi")), 4).alias("delta"))
+    return q.groupBy("p_brand", "expiry").agg(F.round(F.sum(value * F.col("oi")), 2).alias("value"), F.round(F.sum(F.col("n1") * F.col("oi")), 2).alias("delta"))
 
 
 @query("""WITH w AS (SELECT brand, d, ret, volume FROM bars WHERE ret IS NOT NULL AND d >= DATE '2000-01-01'), m AS (SELECT d, avg(ret) AS m FROM w GROUP BY 1), c AS (SELECT brand, corr(ret, m) AS c, avg(volume) AS liq FROM w JOIN m ON m.d = w.d GROUP BY 1)
@@ -216,9 +231,50 @@ def mkt_crowding(spark, d):
     return c.select("brand", F.round("c", 5).alias("corr"), F.round(F.greatest("c", F.lit(0.0)) / 25 / F.col("liq") * 1000, 6).alias("unwind"))
 
 
-@query()
+@query(f"""WITH {FLAGS}, {LAMBDA}, lq AS (SELECT brand, quantile_cont(round(lam, 9), 0.66) AS hi, arg_max(round(lam, 9), d) AS last FROM ky WHERE lam IS NOT NULL GROUP BY 1), cw AS (SELECT brand, d, ret FROM bars WHERE ret IS NOT NULL AND d >= DATE '2000-01-01'), cm AS (SELECT d, avg(ret) AS m FROM cw GROUP BY 1), cr AS (SELECT brand, corr(ret, m) AS c FROM cw JOIN cm ON cm.d = cw.d GROUP BY 1)
+SELECT brand, 'vpin' AS flag FROM vf WHERE vpin > 0.7 UNION ALL SELECT brand, 'illiquid' FROM lq WHERE last > hi UNION ALL SELECT brand, 'crowding' FROM cr WHERE round(c, 5) > 0.2""")
 def mkt_risk_scan(spark, d):
     toxic = mkt_vpin_flags(spark, d).where("toxic").select("brand", F.lit("vpin").alias("flag"))
     dry = mkt_lambda_regime(spark, d).where("regime = 'illiquid'").select("brand", F.lit("illiquid").alias("flag"))
     crowd = mkt_crowding(spark, d).where("corr > 0.2").select("brand", F.lit("crowding").alias("flag"))
     return toxic.unionByName(dry).unionByName(crowd)
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY bars.d DESC) AS k FROM bars), o AS (SELECT brand, least(greatest(high / close, 0.0), 3.0) AS c, least(greatest(low / close, 0.0), 3.0) AS p, least(greatest(volume / 100, 0.0), 5.0) AS pc, least(ln(1 + trades), 20.0) AS oi, close FROM l WHERE k = 1)
+SELECT p.brand, CASE WHEN o.brand IS NULL THEN 0.0 ELSE 1.0 END AS present, round(coalesce(c, 0), 6) AS call_iv, round(coalesce(o.p, 0), 6) AS put_iv, round(coalesce(pc, 0), 6) AS put_call, round(coalesce(oi, 0), 6) AS log_oi, round(coalesce(close, 0), 6) AS spot, round(coalesce(least(greatest(o.p - c, -2.0), 2.0), 0), 6) AS iv_spread FROM (SELECT DISTINCT p_brand AS brand FROM part) p LEFT JOIN o ON o.brand = p.brand""")
+def mkt_option_block(spark, d):
+    """Seven features of an instrument's latest chain; zeros where there is none. A bar stands for the chain."""
+    from .views import table
+
+    last = bars(spark, d).groupBy("brand").agg(F.max_by(F.struct("close", "high", "low", "volume", "trades"), "d").alias("x"))
+    held = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    call, put = held(F.col("x.high") / F.col("x.close"), 0.0, 3.0), held(F.col("x.low") / F.col("x.close"), 0.0, 3.0)
+    features = {"call_iv": call, "put_iv": put, "put_call": held(F.col("x.volume") / 100, 0.0, 5.0), "log_oi": F.least(F.log1p("x.trades"), F.lit(20.0)), "spot": F.col("x.close"), "iv_spread": held(put - call, -2.0, 2.0)}
+    every = table(spark, d, "part").select(F.col("p_brand").alias("brand")).distinct().join(last, "brand", "left")
+    return every.select("brand", F.when(F.col("x").isNull(), 0.0).otherwise(1.0).alias("present"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for n, c in features.items()])
+
+
+@query("""WITH m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS mth, avg(CASE WHEN l_linenumber <= 2 THEN l_tax END) * 100 AS y3m, avg(CASE WHEN l_linenumber BETWEEN 3 AND 4 THEN l_tax END) * 100 AS y2, avg(CASE WHEN l_linenumber >= 5 THEN l_tax END) * 100 AS y10 FROM lineitem GROUP BY 1)
+SELECT concat('', mth) AS mth, 1.0 AS present, round(least(greatest(y2, 0), 20), 6) AS yield_2y, round(least(greatest(y10, 0), 20), 6) AS yield_10y, round(least(greatest(y10 - y2, -5), 5), 6) AS curve_2s10s, round(least(greatest(y10 - y3m, -5), 5), 6) AS curve_3m10y FROM m WHERE y2 IS NOT NULL AND y10 IS NOT NULL AND y3m IS NOT NULL""")
+def mkt_rate_block(spark, d):
+    """Five features of the yield curve of each month, shared by all instruments. Taxes by line number stand for the tenors."""
+    from .views import table
+
+    n = F.col("l_linenumber")
+    y = {"y3m": n <= 2, "y2": n.between(3, 4), "y10": n >= 5}
+    m = table(spark, d, "lineitem").groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("mth")).agg(*[(F.avg(F.when(when, F.col("l_tax"))) * 100).alias(c) for c, when in y.items()]).dropna()
+    held = lambda c, low, high: F.round(F.least(F.greatest(c, F.lit(low)), F.lit(high)), 6)
+    y2, y10 = F.col("y2"), F.col("y10")
+    return m.select(F.col("mth").cast("string").alias("mth"), F.lit(1.0).alias("present"), held(y2, 0.0, 20.0).alias("yield_2y"), held(y10, 0.0, 20.0).alias("yield_10y"), held(y10 - y2, -5.0, 5.0).alias("curve_2s10s"), held(y10 - F.col("y3m"), -5.0, 5.0).alias("curve_3m10y"))
+
+
+@query("""WITH v AS (SELECT c_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) / 5000 AS amount, max(c_acctbal) AS spot FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_custkey, CASE WHEN amount IS NULL THEN 0.0 ELSE 1.0 END AS present, round(coalesce(least(greatest(amount, 0), 100), 0), 6) AS amount, round(CASE WHEN amount > 0 AND spot > 1e-6 THEN least(greatest(least(amount, 100) * 4 / spot, 0), 0.5) ELSE 0 END, 6) AS yield_proxy FROM v""")
+def mkt_dividend_block(spark, d):
+    """Three features of the latest dividend of an entity: zeros where there is none."""
+    from .views import table
+
+    last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("x"))
+    v = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("amount", F.least(F.greatest(F.col("x") / 5000, F.lit(0.0)), F.lit(100.0)))
+    proxy = F.when((F.col("amount") > 0) & (F.col("c_acctbal") > 1e-6), F.least(F.col("amount") * 4 / F.col("c_acctbal"), F.lit(0.5))).otherwise(0.0)
+    return v.select("c_custkey", F.when(F.col("amount").isNull(), 0.0).otherwise(1.0).alias("present"), F.round(F.coalesce("amount", F.lit(0.0)), 6).alias("amount"), F.round(proxy, 6).alias("yield_proxy"))

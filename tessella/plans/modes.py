@@ -68,10 +68,10 @@ def monthly(spark, d, category: str | None = None):
     return s.groupBy("signal", F.to_date(F.trunc("d", "month")).alias("m")).agg(F.sum("value").alias("v"))
 
 
-@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name || ' '), 'part') AND p_size >= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name || ' '), 'ring') AND p_size >= 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
 def mod_search(spark, d):
     """Search modes: text match, arguments, newest or largest first."""
-    return search(table(spark, d, "part"), ["p_name"], "PART", F.col("p_size") >= 40, [F.desc("p_retailprice"), "p_partkey"], 50).select("p_partkey", "p_name", "p_retailprice")
+    return search(table(spark, d, "part"), ["p_name"], "RING", F.col("p_size") >= 40, [F.desc("p_retailprice"), "p_partkey"], 50).select("p_partkey", "p_name", "p_retailprice")
 
 
 @query("SELECT source, obs_id, value FROM obs WHERE ts >= TIMESTAMP '2024-01-25' ORDER BY ts DESC, obs_id LIMIT 100")

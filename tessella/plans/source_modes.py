@@ -49,7 +49,7 @@ MODES: dict[str, str] = {
     "bankruptcy_court_us_bankruptcy": f"SELECT o_orderkey, {DAY.format('o_orderdate')} AS filed, CASE WHEN o_orderpriority = '1-URGENT' THEN '7' WHEN o_orderpriority = '2-HIGH' THEN '11' ELSE '13' END AS chapter FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
     "bankruptcy_court_sec_enforcement": f"SELECT o_orderkey, {DAY.format('o_orderdate')} AS published, o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') ORDER BY o_orderdate DESC, o_orderkey LIMIT 150",
     "bankruptcy_court_sec_bankruptcy": "SELECT doc_id, source, n_chars FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'copyright') ORDER BY doc_id LIMIT 500",
-    "bankruptcy_court_uk_insolvency": "SELECT s_nationkey AS office, s_suppkey, s_name, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS k FROM supplier WHERE s_acctbal < 0) x WHERE k <= 10",
+    "bankruptcy_court_uk_insolvency": "SELECT s_nationkey AS office, s_suppkey, s_name, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS k FROM supplier WHERE s_acctbal < 2000) x WHERE k <= 10",
     # permits: order months of the segments
     "building_permits_permits": f"WITH {K} SELECT signal, {at(1)} AS latest, {at(2)} AS before, round(100.0 * ({at(1)} - {at(2)}) / nullif({at(2)}, 0), 2) AS mom_pct, round(100.0 * ({at(1)} - {at(13)}) / nullif({at(13)}, 0), 2) AS yoy_pct FROM k WHERE category = 'demand' GROUP BY 1",
     "building_permits_regional": f"SELECT n_regionkey AS census_region, concat('', CAST(date_trunc('month', o_orderdate) AS DATE)) AS mth, count(*) AS permits FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
@@ -118,7 +118,7 @@ MODES: dict[str, str] = {
     # interconnection queue: parts are projects
     "interconnection_queue_queue": "SELECT p_brand AS developer, p_type AS technology, count(*) AS projects, round(sum(p_retailprice), 2) AS capacity_mw FROM part WHERE p_size BETWEEN 5 AND 45 GROUP BY 1, 2",
     "interconnection_queue_summary": "SELECT CASE WHEN p_size < 15 THEN 'planned' WHEN p_size < 35 THEN 'under construction' ELSE 'operating' END AS status, p_type AS technology, count(*) AS projects, round(sum(p_retailprice), 2) AS capacity_mw, round(avg(p_retailprice), 4) AS mean_mw FROM part GROUP BY 1, 2",
-    "interconnection_queue_datacenter": "SELECT p_brand AS developer, count(*) AS projects, round(sum(p_retailprice), 2) AS capacity_mw FROM part WHERE contains(lower(p_name), 'data') OR contains(lower(p_type), 'copper') OR contains(lower(p_type), 'econ') GROUP BY 1 ORDER BY round(sum(p_retailprice), 2) DESC, developer LIMIT 50",
+    "interconnection_queue_datacenter": "SELECT p_brand AS developer, count(*) AS projects, round(sum(p_retailprice), 2) AS capacity_mw FROM part WHERE contains(lower(p_name), 'data') OR contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'econ') GROUP BY 1 ORDER BY round(sum(p_retailprice), 2) DESC, developer LIMIT 50",
     # internet infrastructure: country events are alerts; -10 is the worst
     "internet_infrastructure_outages": f"SELECT entity_id, {DAY.format('ts')} AS day, count(*) AS alerts, round(min(score), 4) AS worst, CASE WHEN min(score) <= -9 THEN 'critical' WHEN min(score) <= -5 THEN 'warning' ELSE 'normal' END AS severity FROM country_events WHERE score < 0 AND ts >= TIMESTAMP '2000-01-01 00:00:00' GROUP BY 1, 2",
     "internet_infrastructure_censorship": "SELECT entity_id, quad AS test, count(*) AS measurements, count(*) FILTER (WHERE score <= -8) AS blocked, round(100.0 * count(*) FILTER (WHERE score <= -8) / count(*), 4) AS blocking_pct FROM country_events GROUP BY 1, 2",
@@ -151,7 +151,7 @@ MODES: dict[str, str] = {
     "migration_flows_asylum": "SELECT c_nationkey AS country, year(o_orderdate) AS yr, o_orderstatus AS outcome, count(*) AS decisions FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3",
     "migration_flows_remittances": f"WITH {Y} SELECT country, yr, round(usd, 2) AS received FROM y WHERE usd > 0 AND yr >= 1996",
     # patents: parts are patents, the brand the assignee, the type the class
-    "patent_filings_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'part') AND p_type LIKE 'P%' AND p_size BETWEEN 10 AND 30 ORDER BY p_partkey DESC LIMIT 200",
+    "patent_filings_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'red') AND p_type LIKE 'P%' AND p_size BETWEEN 10 AND 30 ORDER BY p_partkey DESC LIMIT 200",
     "patent_filings_trends": "SELECT p_type AS cpc, p_size AS yr, count(*) AS filings, count(*) - lag(count(*)) OVER (PARTITION BY p_type ORDER BY p_size) AS change FROM part GROUP BY 1, 2",
     "patent_filings_assignee": "SELECT p_brand AS assignee, p_size AS yr, count(*) AS filings, count(DISTINCT p_type) AS classes FROM part GROUP BY 1, 2",
     # campaign finance

@@ -101,6 +101,14 @@ def read_sale_notice_xml(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def labelled(remarks: Column, label: str) -> Column:
+    """The values of the fields of a remark, which stand between semicolons, that carry a label; quotes and brackets around them go."""
+    fields = F.split(F.coalesce(remarks, F.lit("")), ";")
+    place = lambda x: F.locate(label, F.lower(x))
+    value = lambda x: F.btrim(F.substr(x, place(x) + len(label)), F.lit(" '\"()."))
+    return F.filter(F.transform(F.filter(fields, lambda x: place(x) > 0), value), lambda x: x != "")
+
+
 SANCTION_COLUMNS = ["uid", "name", "type", "program", "title", "call_sign", "vessel_type", "tonnage", "grt", "flag", "owner", "remarks"]
 
 
@@ -110,8 +118,8 @@ def read_sanctions_csv(spark: SparkSession, paths) -> DataFrame:
     clean = raw.select(*[F.nullif(F.nullif(F.trim(c), F.lit("-0-")), F.lit("")).alias(c) for c in SANCTION_COLUMNS]).where(F.col("uid").try_cast("long").isNotNull())
     programs = F.filter(F.transform(F.split(F.coalesce("program", F.lit("")), r"\]\s*\["), lambda p: F.regexp_replace(F.trim(p), r"^\[+|\]+$", "")), lambda p: p != "")
     kind = F.when(F.lower("type").isin("individual", "vessel", "aircraft"), F.lower("type")).otherwise("entity")
-    aliases = F.transform(F.regexp_extract_all(F.coalesce("remarks", F.lit("")), F.lit(r"(?i)a\.k\.a\.\s*['\"]?([^'\";)]+)"), F.lit(1)), F.trim)
-    nationality = F.nullif(F.trim(F.regexp_extract(F.coalesce("remarks", F.lit("")), r"(?i)nationality\s+(\w[\w\s]*?)(?:;|$)", 1)), F.lit(""))
+    aliases = labelled(F.col("remarks"), "a.k.a.")
+    nationality = F.try_element_at(labelled(F.col("remarks"), "nationality"), F.lit(1))
     return clean.select(F.lit("ofac").alias("source"), F.col("uid").alias("entity_id"), F.coalesce("name", F.lit("")).alias("name"), kind.alias("type"), programs.alias("programs"), F.lit(None).cast("string").alias("listed_date"), nationality.alias("nationality"), aliases.alias("aliases"), F.coalesce("remarks", F.lit("")).alias("remarks"))
 
 
