@@ -358,10 +358,14 @@ def agg_obs_stats(spark, d):
 @query("""WITH s AS (SELECT entity_id, list(value ORDER BY value) AS v, var_samp(value) AS var, count(DISTINCT source) AS sources FROM obs GROUP BY 1)
 SELECT entity_id, round(var, 5) AS var, v[1] AS lo, v[len(v)] AS hi, round(v[(3 * len(v)) // 4 + 1] - v[len(v) // 4 + 1], 6) AS iqr, sources FROM s""")
 def agg_distribution_features(spark, d):
-    """Quartiles by the floor-index rule: sorted[n/4] and sorted[3n/4]."""
-    at = lambda e: F.expr(f"element_at(v, cast({e} as int) + 1)")
-    s = obs(spark, d).groupBy("entity_id").agg(F.sort_array(F.collect_list("value")).alias("v"), F.var_samp("value").alias("var"), F.countDistinct("source").alias("sources"))
-    return s.select("entity_id", F.round("var", 5).alias("var"), at("0").alias("lo"), at("size(v) - 1").alias("hi"), r(at("3 * size(v) div 4") - at("size(v) div 4")).alias("iqr"), "sources")
+    """Quartiles by the floor-index rule: sorted[n/4] and sorted[3n/4]. Ranks come from running counts of distinct values, so equal values are one row and no entity's values are gathered."""
+    o = obs(spark, d)
+    s = o.groupBy("entity_id").agg(F.count("*").alias("n"), F.var_samp("value").alias("var"), F.countDistinct("source").alias("sources"))
+    c = o.groupBy("entity_id", "value").agg(F.count("*").alias("c"))
+    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy("entity_id").orderBy("value")))
+    at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("value")))
+    q = c.join(s, "entity_id").groupBy("entity_id").agg(F.first("var").alias("var"), F.min("value").alias("lo"), F.max("value").alias("hi"), at(F.expr("3 * n div 4")).alias("q3"), at(F.expr("n div 4")).alias("q1"), F.first("sources").alias("sources"))
+    return q.select("entity_id", F.round("var", 5).alias("var"), "lo", "hi", r(F.col("q3") - F.col("q1")).alias("iqr"), "sources")
 
 
 POSTERIOR = "be AS (SELECT o_orderpriority AS agency, CASE WHEN o_totalprice < 100000 THEN 's' WHEN o_totalprice < 250000 THEN 'm' ELSE 'l' END AS bucket, (2 + count(*) FILTER (WHERE o_orderstatus = 'F')) / (5 + count(*)) AS p FROM orders GROUP BY 1, 2)"

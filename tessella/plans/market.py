@@ -75,13 +75,12 @@ bk AS (SELECT brand, bucket, max(acc) AS volume, arg_min(close, n) AS open, arg_
 def volume_buckets(spark, d, size: float = 2000.0):
     """A bucket closes when its volume reaches size; the overshoot stays in it and the next starts from 0."""
 
-    def step(prev, x):
-        acc = F.when(prev["closed"], x["volume"]).otherwise(prev["acc"] + x["volume"])
-        return F.struct(acc.alias("acc"), (prev["bucket"] + F.when(prev["closed"], 1).otherwise(0)).alias("bucket"), (acc >= size).alias("closed"))
+    def step(prev, volume):
+        acc, bucket, closed = prev
+        state = (volume, bucket + 1) if closed else (acc + volume, bucket)
+        return (*state, state[0] >= size), (*state, state[0] >= size)
 
-    start = F.struct(F.lit(0.0).alias("acc"), F.lit(1).alias("bucket"), F.lit(False).alias("closed"))
-    got = folds.ordered(bars(spark, d), ["brand"], ["d"], ["close", "volume"]).withColumn("st", folds.scan(F.col("xs"), start, step))
-    r = got.select("brand", F.explode(F.arrays_zip("xs", "st")).alias("r")).select("brand", F.col("r.xs.d").alias("d"), F.col("r.xs.close").alias("close"), "r.st.acc", "r.st.bucket", "r.st.closed")
+    r = folds.fold(bars(spark, d).select("brand", "d", "close", "volume"), ["brand"], ["d", "close"], ["volume"], "acc double, bucket int, closed boolean", (0.0, 1, False), step)
     return r.groupBy("brand", "bucket").agg(F.max("acc").alias("volume"), F.min_by("close", "d").alias("open"), F.max_by("close", "d").alias("close"), F.max("close").alias("high"), F.min("close").alias("low"), F.count("*").alias("bars"), F.bool_or("closed").alias("full_"))
 
 
