@@ -51,7 +51,7 @@ from .components import components
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 GROUP, CHUNK, PIVOTS, BLOCK_ROWS = 256, 8192, 32, 64
 #: Near copies: words of a shingle, least similarity, lanes, and the bits at which two sets of that similarity still link (64 of 256: their mean is 39).
-NEAR_SHINGLE, SIMILARITY, LANES, NEAR_BITS, NEAR_CHUNK, RECALL = 5, 0.8, 4, 64, 4096, 0.99
+NEAR_SHINGLE, SIMILARITY, LANES, NEAR_BITS, NEAR_CHUNK, RECALL = 5, 0.8, 4, 64, 512, 0.99
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
