@@ -22,7 +22,11 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def run_lengths(x: np.ndarray, hazard: float = 250.0, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Online change-point posterior with a Normal-inverse-gamma prior: expected run length and P(run = 0 or 1) at each point."""
+    """Online change-point posterior with a Normal-inverse-gamma prior: expected run length and P(run = 0 or 1) at each point.
+
+    Run lengths up to `most` are kept, which bounds the work of a point: in a stretch without a change of over `most`
+    points the mass of longer runs is left out and the rest scaled to one, so the expected run length levels off there.
+    """
     mean, sd = float(np.mean(x[:10])), float(np.std(x) + 1e-9)
     mu, kappa, alpha, beta = np.array([mean]), np.ones(1), np.ones(1), np.array([sd * sd])
     p = np.ones(1)
@@ -52,17 +56,17 @@ def change_points(df: DataFrame, key: str, order: str, value: str, hazard: float
     return rows.groupBy("key").applyInPandas(run, f"key string, o {rows.schema['o'].dataType.simpleString()}, run_length double, change boolean")
 
 
-def wasserstein(a: Column, b: Column, points: int = 64) -> Column:
-    """W1 of two sorted arrays, both read at the same quantile points with linear interpolation."""
+def wasserstein(a: Column, b: Column) -> Column:
+    """W1 of two arrays: the area between their distribution functions, over the sorted values of both."""
+    grid = F.array_sort(F.concat(a, b))
+    below = lambda xs, x: F.size(F.filter(xs, lambda y: y <= x)) / F.size(xs)
 
-    def at(xs: Column, q: Column) -> Column:
-        pos = q * (F.size(xs) - 1)
-        lo = F.floor(pos).cast("int")
-        hi = F.least(lo + 1, F.size(xs) - 1)
-        return F.element_at(xs, lo + 1) + (F.element_at(xs, hi + 1) - F.element_at(xs, lo + 1)) * (pos - lo)
+    def area(i: Column) -> Column:
+        x = F.element_at(grid, i)
+        return F.abs(below(a, x) - below(b, x)) * (F.element_at(grid, i + 1) - x)
 
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / F.lit(points - 1.0))
-    return F.aggregate(F.transform(grid, lambda q: F.abs(at(a, q) - at(b, q))), F.lit(0.0), lambda s, x: s + x) / points
+    steps = F.when(F.size(grid) > 1, F.sequence(F.lit(1), F.size(grid) - 1))
+    return F.coalesce(F.aggregate(F.transform(steps, area), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
 def hmm_labels(x: np.ndarray, states: int = 2, rounds: int = 25) -> np.ndarray:

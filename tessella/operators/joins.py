@@ -31,21 +31,32 @@ def interval_join(left: DataFrame, right: DataFrame, window: float, keys: list[s
     return out.where((F.col("delta") >= low) & (F.col("delta") <= window)).select("l", "r", "delta")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, direction: str = "backward", strict: bool = False, bucket_days: float = 30.0) -> DataFrame:
     """left with `found`, the struct (ts, value) of the nearest right row at or before (backward) or at or after (forward) it.
 
-    One union and one window over the keys: no pair is made. strict leaves equal times out.
+    One union and a window over key and time bucket, so a busy key is dealt over many tasks; what earlier buckets of a
+    key leave behind is carried into later ones over a row for each bucket. No pair is made. strict leaves equal times out.
     Of right rows with equal times the one with the largest value counts.
     """
     back = direction == "backward"
-    rows = left.select(*keys, F.col(left_ts).alias("_t"), F.struct("*").alias("_l"), F.lit(None).cast(right.select(F.struct(F.col(right_ts).alias("ts"), F.col(value).alias("value")).alias("x")).schema["x"].dataType).alias("_r"))
-    facts = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), F.struct(F.col(right_ts).alias("ts"), F.col(value).alias("value")).alias("_r"))
+    fact = F.struct(F.col(right_ts).alias("ts"), F.col(value).alias("value"))
+    bucket = lambda c: F.floor(seconds(F.col(c).cast("timestamp")) / (bucket_days * 86_400)).alias("_b")
+    rows = left.select(*keys, F.col(left_ts).alias("_t"), bucket(left_ts), F.struct("*").alias("_l"), F.lit(None).cast(right.select(fact.alias("x")).schema["x"].dataType).alias("_r"))
+    facts = right.select(*keys, F.col(right_ts).alias("_t"), bucket(right_ts), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), fact.alias("_r"))
     both = rows.union(facts).withColumn("_probe", F.col("_l").isNotNull())
     # backward: facts before probes of the same time unless strict; forward reads the axis the other way round
     first = F.col("_probe").cast("int") if not strict else 1 - F.col("_probe").cast("int")
     order = [F.asc("_t") if back else F.desc("_t"), first.asc(), F.col("_r.value").asc()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found", F.last("_r", ignorenulls=True).over(w)).where("_probe").select("_l.*", "found")
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("found", F.last("_r", ignorenulls=True).over(w)).where("_probe")
+    # the last fact of each bucket in the order of reading, and of the buckets read before it
+    at = F.col("_t") if back else -seconds(F.col("_t").cast("timestamp"))
+    end = facts.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct(at, F.col("_r.value"))).alias("_end"))
+    every = left.select(*keys, bucket(left_ts)).distinct().withColumn("_end", F.lit(None).cast(end.schema["_end"].dataType)).unionByName(end).groupBy(*keys, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    past = Window.partitionBy(*keys).orderBy(F.asc("_b") if back else F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(past).alias("_carried"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b").eqNullSafe(F.col("_cb"))]
+    return near.join(carried, on, "left").select("_l.*", F.coalesce("found", "_carried").alias("found"))
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, ties: bool = True) -> DataFrame:

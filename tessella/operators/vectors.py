@@ -10,24 +10,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_path
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024, digits: int = 6) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, digits: int = 6) -> DataFrame:
     """q, id, sim: the k most similar vectors of each query but itself; ties go to the smaller id.
 
-    Queries come to the driver a block at a time and are broadcast as one matrix; each batch of vectors keeps its
-    own best k of each query, so few rows are shuffled for the final ranking. Null vectors are left out, and a
-    vanishing norm has similarity 0.
+    Queries come to the driver a block at a time and are broadcast as one matrix; each batch of vectors keeps its own
+    best k of each query. A block's candidates are written before the next block is read, so one broadcast lives at a
+    time and the plan doesn't grow with the queries. Vectors that are null, hold nulls, or have another length than the
+    first query are left out, and a vanishing norm has similarity 0.
     """
     spark = vectors.sparkSession
-    data = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e")).toLocalIterator()
+    plain = lambda df: df.where(F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull())).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
+    data, schema = plain(vectors), "q long, id long, sim double"
+    asked = plain(queries)
+    first = asked.select(F.size("e").alias("n"), "id").orderBy("id").first()
+    if first is None:
+        return data.limit(0).select(F.col("id").alias("q"), "id", F.lit(0.0).alias("sim"))
+    width, path = first.n, new_path(spark, "nearest")
+    data, rest = data.where(F.size("e") == width), asked.where(F.size("e") == width).toLocalIterator()
 
     def scaled(x: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return np.where(n < 1e-12, 0.0, x / np.maximum(n, 1e-12))
 
-    out = None
-    while rows := list(islice(asked, block)):
+    while rows := list(islice(rest, block)):
         shared = spark.sparkContext.broadcast((np.array([r.id for r in rows]), scaled(np.array([r.e for r in rows], float))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -45,9 +53,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
                 keep = s > -2
                 yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[i][keep]), pa.array(s[keep])], ["q", "id", "sim"])
 
-        part = data.mapInArrow(run, "q long, id long, sim double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return data.limit(0).select(F.col("id").alias("q"), "id", F.lit(0.0).alias("sim"))
+        data.mapInArrow(run, schema).write.mode("append").parquet(path)
+        shared.unpersist()
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
-    return out.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
+    return spark.read.schema(schema).parquet(path).withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")

@@ -290,14 +290,16 @@ def pfl_hrp(spark, d):
 @query()
 def pfl_robust_weights(spark, d):
     def f(s: np.ndarray) -> np.ndarray:
-        """Long-only minimum variance under an inflated covariance, by projected gradient."""
+        """Long-only minimum variance under an inflated covariance, by gradient steps projected onto the simplex."""
         k = len(s)
         a = s + 0.1 * np.trace(s) / k * np.eye(k)
         w = np.full(k, 1 / k)
         rate = 0.5 / np.linalg.norm(a, 2)
-        for _ in range(400):
-            w = np.clip(w - rate * (a @ w), 0, None)
-            w /= w.sum()
+        for _ in range(1000):
+            v = w - rate * (a @ w)
+            high = np.sort(v)[::-1]
+            level = (np.cumsum(high) - 1) / np.arange(1, k + 1)  # the shift at which the largest i weights sum to one
+            w = np.clip(v - level[np.flatnonzero(high > level)[-1]], 0, None)
         return w
 
     return solve(spark, d, f)
