@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators.joins import interval_join
 from ..registry import query
+from .joining import WIDE, linked, wide
 from .ranking import diversified
 from .series import event_scores
-from .views import bars, country_events, obs, series, table
+from .views import bars, country_events, links, obs, series, table
 
 
 @query()
@@ -318,3 +319,23 @@ def pfl_portfolio_weights(spark, d):
     """The robust weights blended with the equal ones by a turnover limit, renormalised."""
     n = F.count("*").over(Window.partitionBy(F.substring("brand", 1, 7)))
     return pfl_robust_weights(spark, d).select("brand", F.round(0.7 * F.col("weight") + 0.3 / n, 6).alias("weight"))
+
+
+@query(f"""WITH {WIDE}, j AS (SELECT o.source AS src, e.quad AS dst, round(epoch(e.ts) - epoch(o.ts), 3) AS lag FROM wide o JOIN links k ON k.entity_a = o.entity_id AND k.link_type = 'headquartered_in' JOIN country_events e ON e.entity_id = k.entity_b WHERE epoch(e.ts) - epoch(o.ts) BETWEEN 0 AND 604800),
+g AS (SELECT src, dst, count(*) AS n, quantile_cont(lag, 0.75) AS p75, avg(lag) AS mean FROM j GROUP BY 1, 2), w AS (SELECT *, least(604800.0, greatest(3600.0, CASE WHEN p75 > 0 THEN p75 WHEN mean > 0 THEN 2 * mean ELSE 86400.0 END)) AS win FROM g),
+c AS (SELECT j.src, j.dst, any_value(win) AS win, any_value(n) AS n, count(*) AS hits FROM j JOIN w ON w.src = j.src AND w.dst = j.dst WHERE lag <= win GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hits DESC, dst) AS k, (hits - n * win / 604800) / sqrt(n * win / 604800) AS z FROM c)
+SELECT src, dst, round(win, 2) AS win_s, hits, abs(z) >= 1.96 AS significant FROM r WHERE k = 1""")
+def drf_lead_lag_rules(spark, d):
+    """Of each source the event class that follows on the linked country most often, within a window from the lags themselves:
+    their third quartile, or twice their mean, between an hour and a week; significant if more or fewer follow than evenly spread lags would."""
+    week = 604_800.0
+    a = linked(wide(spark, d), links(spark, d), "headquartered_in")
+    e = country_events(spark, d).withColumnRenamed("entity_id", "entity_b")
+    j = interval_join(e, a, week, ["entity_b"], low=0.0).select(F.col("r.source").alias("src"), F.col("l.quad").alias("dst"), F.round("delta", 3).alias("lag"))
+    g = j.groupBy("src", "dst").agg(F.count("*").alias("n"), F.percentile("lag", 0.75).alias("p75"), F.avg("lag").alias("mean"))
+    own = F.when(F.col("p75") > 0, F.col("p75")).when(F.col("mean") > 0, 2 * F.col("mean")).otherwise(86_400.0)
+    w = F.broadcast(g.withColumn("win", F.least(F.lit(week), F.greatest(F.lit(3_600.0), own))))  # a row for each source and class
+    c = j.join(w, ["src", "dst"]).where("lag <= win").groupBy("src", "dst").agg(F.first("win").alias("win"), F.first("n").alias("n"), F.count("*").alias("hits"))
+    even = F.col("n") * F.col("win") / week
+    r = c.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("hits"), "dst"))).where("k = 1")
+    return r.select("src", "dst", F.round("win", 2).alias("win_s"), "hits", (F.abs((F.col("hits") - even) / F.sqrt(even)) >= 1.96).alias("significant"))
