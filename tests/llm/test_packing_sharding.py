@@ -60,6 +60,14 @@ def test_every_code_point_has_the_ids_of_the_tokenizer_file():
         assert [fast(t) for t in texts] == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
+@given(st.integers(0, 3000), st.integers(0, 3000), st.sampled_from([" ", "\n\t ", "x "]))
+@settings(max_examples=60, deadline=None)
+def test_long_blank_runs_are_seen(before, after, blank):
+    run = (blank * packing.LONG_BLANK)[: packing.LONG_BLANK]
+    assert packing.long_blank("w" * before + run + "w" * after) or not run.isspace()
+    assert not packing.long_blank("a b" * before)
+
+
 @pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000"])
 def test_long_runs_of_blanks(blank):
     own, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
