@@ -8,7 +8,8 @@ the input.
 Seeds. Hashes of GRAM consecutive words are winnowed: each window selects the
 smallest hash in it, so equal windows select the same anchor at the same place.
 Consecutive windows that select one anchor form its run; an anchor row carries
-the anchor's hash and a hash of all words under the run.
+the anchor's hash and a hash of all words under the run. What decides a removal,
+the hash of a run or of a window, has 128 bits.
 
 Join and extend. Anchors are joined by hash. Where all occurrences of an anchor
 agree on the whole run, the extension to both sides is settled for each of its
@@ -48,32 +49,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of word spans of one text: the same for equal words wherever they stand."""
+    """Two independent 64-bit hashes of word spans of one text: the same for equal words wherever they stand."""
 
     powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def __init__(self, words: list[bytes]):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         n = len(words)
         if len(Spans.powers[0]) < n + 1:
             size = max(4096, 2 * n)
             Spans.powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
-        h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
-        self.n, self.sums = n, np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * Spans.powers[0][:n])])
+        h = np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(n, 2).T
+        zero = np.zeros(1, np.uint64)
+        self.n, self.sums = n, [np.concatenate([zero, np.cumsum(x * Spans.powers[0][:n])]) for x in h]
 
-    def at(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * Spans.powers[1][start])
+    def at(self, start: np.ndarray, length, which: int = 0) -> np.ndarray:
+        sums = self.sums[which]
+        return mix((sums[start + length] - sums[start]) * Spans.powers[1][start])
 
 
-def runs(spans: Spans, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: its hash, the hash of the words under its run, the run's first and last window."""
+def runs(spans: Spans, window: int, gram: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each anchor: its hash, both hashes of the words under its run, the run's first and last window."""
     g = spans.at(np.arange(spans.n - gram + 1), gram)
     chosen = np.arange(spans.n - window + 1) + np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(1)
     lo = np.flatnonzero(np.diff(chosen, prepend=-1))
     hi = np.append(lo[1:], len(chosen)) - 1
     shape = ((chosen[lo] - lo) << 20 | (hi - lo)).astype(np.uint64)
-    return g[chosen[lo]], mix(spans.at(lo, hi - lo + window) ^ mix(shape)), lo, hi
+    return g[chosen[lo]], [mix(spans.at(lo, hi - lo + window, k) ^ mix(shape)) for k in range(2)], lo, hi
 
 
 def tag_of(text: bytes) -> int:
@@ -85,15 +88,15 @@ def tag_of(text: bytes) -> int:
 def seeds(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 words = raw.split()
                 if len(words) >= window:
                     a, c, lo, _ = runs(Spans(words), window, gram)
-                    for x, y in zip(out, (a.view(np.int64), c.view(np.int64), np.full(len(a), doc, np.int64), np.arange(len(a), dtype=np.int64) << TAG | tag_of(raw)), strict=True):
+                    for x, y in zip(out, (a.view(np.int64), c[0].view(np.int64), c[1].view(np.int64), np.full(len(a), doc, np.int64), np.arange(len(a), dtype=np.int64) << TAG | tag_of(raw)), strict=True):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["a", "c", "doc", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["a", "c", "e", "doc", "slot"])
 
     return run
 
@@ -103,7 +106,7 @@ def extended(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             for doc, text, slots in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode()
                 own = tag_of(raw)
@@ -113,9 +116,9 @@ def extended(window: int, gram: int):
                     _, _, lo, hi = runs(spans, window, gram)
                     for s in mine:
                         start = np.arange(lo[s >> TAG], hi[s >> TAG] + 1)
-                        for x, y in zip(out, (spans.at(start, window).view(np.int64), np.full(len(start), doc, np.int64), np.full(len(start), s, np.int64), start - start[0]), strict=True):
+                        for x, y in zip(out, (spans.at(start, window).view(np.int64), spans.at(start, window, 1).view(np.int64), np.full(len(start), doc, np.int64), np.full(len(start), s, np.int64), start - start[0]), strict=True):
                             x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in out], ["w", "doc", "slot", "off"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in out], ["w", "v", "doc", "slot", "off"])
 
     return run
 
@@ -175,19 +178,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc")
     each = docs.select(doc, text.alias("own_text"))
-    found = written(each.mapInArrow(seeds(window, gram), "a long, c long, doc long, slot long"), "anchors")
+    found = written(each.mapInArrow(seeds(window, gram), "a long, c long, e long, doc long, slot long"), "anchors")
     # groups are written before they are joined back: both sides are then shuffled anew, and Spark can split a hot anchor
-    shared = written(found.groupBy("a").agg(F.count("*").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1").select("a", F.expr("c0 <> c1").alias("differ")), "shared")
+    shared = written(found.groupBy("a").agg(F.count("*").alias("total"), *[f(x).alias(f"{x}{k}") for x in ("c", "e") for k, f in enumerate((F.min, F.max))]).where("total > 1").select("a", F.expr("c0 <> c1 or e0 <> e1").alias("differ")), "shared")
     seeded = written(found.join(shared, "a"), "seeds")
     whole = seeded.where("not differ").select("doc", "slot")
-    kinds = written(seeded.where("differ").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "slot")).alias("one")), "kinds")
-    whole = whole.union(seeded.where("differ").join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select("doc", "slot"))
+    kinds = written(seeded.where("differ").groupBy("a", "c", "e").agg(F.count("*").alias("n"), F.min(F.struct("doc", "slot")).alias("one")), "kinds")
+    whole = whole.union(seeded.where("differ").join(kinds.where("n > 1").select("a", "c", "e"), ["a", "c", "e"], "left_semi").select("doc", "slot"))
     listed = kinds.select("one.doc", "one.slot").groupBy("doc").agg(F.collect_list("slot").alias("slots"))
     place, keep = key_filter(kinds.select("one.doc"), "doc", FILTER_BITS)
     some = each.select(place.alias("p"), "doc", "own_text").mapInArrow(keep, "p long, doc long, own_text string").drop("p")
-    windows = written(some.join(listed, "doc").mapInArrow(extended(window, gram), "w long, doc long, slot long, off long"), "windows")
-    met = written(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "met")
-    part = windows.join(met, "w", "left_semi").select("doc", "slot", "off")
+    windows = written(some.join(listed, "doc").mapInArrow(extended(window, gram), "w long, v long, doc long, slot long, off long"), "windows")
+    met = written(windows.groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").select("w", "v"), "met")
+    part = windows.join(met, ["w", "v"], "left_semi").select("doc", "slot", "off")
     verdict = whole.select("doc", "slot", F.lit(-1).cast("long").alias("off")).union(part).groupBy("doc").agg(F.collect_set(F.struct("slot", "off")).alias("found")).withColumnRenamed("doc", "found_doc")
     rest = [c for c in docs.columns if c != text_col]
     every = docs.select(doc, text.alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
