@@ -90,12 +90,12 @@ def src_read_sdmx_csv(spark, d):
     return files.read_sdmx_csv(spark, path).groupBy("period").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-CURVE = "SELECT CAST(l_shipdate AS DATE) AS d, round(avg(CASE WHEN l_linenumber = 1 THEN l_tax END), 4) AS m3, round(avg(CASE WHEN l_linenumber = 2 THEN l_tax END), 4) AS y2, round(avg(CASE WHEN l_linenumber >= 3 THEN l_tax END), 4) AS y10 FROM lineitem GROUP BY 1"
+CURVE = "SELECT CAST(l_shipdate AS DATE) AS d, max(CASE WHEN l_linenumber = 1 THEN l_tax END) AS m3, max(CASE WHEN l_linenumber = 2 THEN l_tax END) AS y2, max(CASE WHEN l_linenumber >= 3 THEN l_tax END) AS y10 FROM lineitem GROUP BY 1"
 
 
 @query(f"WITH c AS ({CURVE}) SELECT CAST(d AS VARCHAR) AS date, round(y10 - y2, 4) AS curve_2s10s, round(y10 - m3, 4) AS curve_3m10y, CAST(m3 IS NOT NULL AS INTEGER) + CAST(y2 IS NOT NULL AS INTEGER) + CAST(y10 IS NOT NULL AS INTEGER) AS tenors FROM c")
 def src_read_yield_xml(spark, d):
-    tax = lambda when: F.round(F.avg(F.when(when, F.col("l_tax"))), 4)
+    tax = lambda when: F.max(F.when(when, F.col("l_tax")))
     n = F.col("l_linenumber")
     c = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(tax(n == 1).alias("m3"), tax(n == 2).alias("y2"), tax(n >= 3).alias("y10"))
     given = [F.when(F.col(x).isNotNull(), tag(t, F.col(x))).otherwise("") for x, t in (("m3", "BC_3MONTH"), ("y2", "BC_2YEAR"), ("y10", "BC_10YEAR"))]
