@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, lines, packing, quality, sharding, simhash, substrings, warc
+from . import chat, decontaminate, divergence, exact, filter_audit, lines, packing, quality, sharding, simhash, substrings, toxicity, warc
 from .common import LOWER, UPPER
 
 
@@ -19,8 +19,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-def held_out(col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+def held_out(folds: int = 5, fold: int = 0, col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op5_chat_formatting, op6_decontamination, op7_substring_dedup, op8_warc, op9_exact_dedup, op10_simhash_near_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~apart), unlabelled=~apart)
+    return toxicity.scored(docs, model).select("doc_id", apart.alias("held_out"), F.col("toxicity").alias("score"), F.expr("cast(toxicity >= 0.3 as int)").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_quality_classifier, op3_sharding, op4_line_dedup, op5_chat_formatting, op6_decontamination, op7_substring_dedup,
+        op8_warc, op9_exact_dedup, op10_simhash_near_dedup, op11_filter_audit, op12_divergence_audit, op13_toxicity,
+    )
+}
 
 ORACLES: dict[str, str] = {
     # DuckDB has no CRC-32: it is folded over the bytes with a table made from the reversed polynomial
@@ -118,4 +138,37 @@ SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN page_
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS f FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+g AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, f),
+o AS (SELECT '' AS o UNION ALL SELECT o || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(c) WHERE len(o) < 5 AND NOT contains(o, c)),
+s AS (SELECT o AS filter_order, step, substr(o, step, 1) AS filter, substr(o, 1, step - 1) AS before FROM o, range(1, 6) r(step) WHERE len(o) = 5),
+x AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, n, good, toxic, f[ascii(filter) - 64] AS own,
+  len(list_filter([1, 2, 3, 4, 5], lambda i: f[i] AND contains(before, chr(CAST(64 + i AS INTEGER))))) > 0 AS gone, len(list_filter(f, lambda b: b)) AS fails FROM g, s),
+y AS (SELECT part, filter_order, step, filter, sum(n) FILTER (WHERE NOT own AND NOT gone) AS kept, sum(n) FILTER (WHERE own AND NOT gone) AS removed, sum(n) FILTER (WHERE own AND gone) AS redundant,
+  sum(n) FILTER (WHERE own AND fails = 1) AS unique_fails, sum(good) FILTER (WHERE own AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE own AND NOT gone) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley FROM y""",
+    "op12_divergence_audit": rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+m AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(m.total, 0) + 2 * v.v) AS BIGINT) AS p,
+  CAST(1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * v.v) AS BIGINT) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN m ON m.lang = g.lang AND m.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM s WHERE part = 'pair' OR rank <= 10""",
 }
