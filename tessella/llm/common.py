@@ -44,13 +44,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterato
         ends = flat(batch.column(column))[1][1:]
         at = 0
         while at < batch.num_rows:
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + size - n, side="right")))
-            held.append(batch.slice(at, to - at))
-            n += int(ends[to - 1] - done)
-            at = to
-            if n >= size or at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, done + size - n, side="right"))
+            if to <= at and held:
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            n += int(ends[to - 1]) - done
+            at = to
     if held:
         yield pa.Table.from_batches(held)

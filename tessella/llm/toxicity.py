@@ -25,7 +25,8 @@ in the labels given, unless it is passed.
 Defined cases: a null or empty text has no features and is scored; several
 labels of an id count as 1 where any is 1; labels of absent documents and null
 labels or ids are left out; of rows that repeat an id one is learnt from; with
-fewer than two confirmed documents the score is the prior (0 without labels);
+fewer than two confirmed documents every score is the prior, bounded like any
+margin (the least score without labels);
 repeated rows are scored each; an empty table gives no rows; columns other than
 id and text are not read.
 """
