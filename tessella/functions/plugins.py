@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +46,24 @@ def extractor(source: str, **columns: str) -> None:
     EXTRACTORS[source] = columns
 
 
-def evidence(observations: DataFrame) -> DataFrame:
-    """Evidence rows of the sources that have an extractor: source, signal_id, ts, value, direction, confidence."""
-    out = None
-    for source, c in sorted(EXTRACTORS.items()):
-        rows = observations.where(F.col("source") == source).select(
-            "source", F.concat_ws(".", "source", "entity_id").alias("signal_id"), "ts", F.expr(f"try_cast(({c.get('value', 'value')}) as double)").alias("value"),
-            F.expr(f"cast({c.get('direction', 'signum(value)')} as int)").alias("direction"), F.expr(f"cast({c.get('confidence', '1.0')} as double)").alias("confidence"),
-        )
-        out = rows if out is None else out.unionByName(rows)
+def evidence(observations: DataFrame, extractors: dict[str, dict[str, str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence rows of the sources that have an extractor: source, signal_id, ts, value, direction, confidence, and the columns to keep.
+
+    extractors: by source, as `extractor` takes them; all registered ones if not given. One whose expressions don't fit
+    the observations' columns (it was registered for another input) gives no rows; a value that isn't a number, none.
+    """
+    out = observations.select(*keep, "source", F.lit("").alias("signal_id"), "ts", *[F.lit(None).cast(t).alias(n) for n, t in (("value", "double"), ("direction", "int"), ("confidence", "double"))]).where("false")
+    for source, c in sorted((EXTRACTORS if extractors is None else extractors).items()):
+        try:
+            rows = observations.where(F.col("source") == source).select(
+                *keep, "source", F.concat_ws(".", "source", "entity_id").alias("signal_id"), "ts", F.expr(f"try_cast(({c.get('value', 'value')}) as double)").alias("value"),
+                F.expr(f"cast({c.get('direction', 'signum(value)')} as int)").alias("direction"), F.expr(f"cast({c.get('confidence', '1.0')} as double)").alias("confidence"),
+            )
+        except AnalysisException as e:
+            if extractors is not None or "UNRESOLVED_COLUMN" not in (e.getCondition() or ""):
+                raise
+            continue
+        out = out.unionByName(rows)
     return out.where("value is not null")
 
 

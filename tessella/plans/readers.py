@@ -206,12 +206,9 @@ def udf_feature_builder(spark, d):
 @query("SELECT obs_id, source || '.' || entity_id AS signal_id, round(value - 50, 6) AS value, CASE WHEN value > 50 THEN 1 WHEN value < 50 THEN -1 ELSE 0 END AS direction FROM obs WHERE source IN ('purchase', 'error')")
 def udf_evidence_extractor(spark, d):
     """Two sources have an extractor; the others give no evidence."""
-    for source in ("purchase", "error"):
-        plugins.extractor(source, value="value - 50", direction="signum(value - 50)", confidence="value / 100")
-    o = obs(spark, d)
-    e = plugins.evidence(o)
-    ids = o.select("obs_id", "ts", F.concat_ws(".", "source", "entity_id").alias("signal_id"), F.round(F.col("value") - 50, 6).alias("own"))
-    return e.withColumn("value", F.round("value", 6)).join(ids, ["ts", "signal_id"]).where("own = value").select("obs_id", "signal_id", "value", "direction")
+    rule = {"value": "value - 50", "direction": "signum(value - 50)", "confidence": "value / 100"}
+    e = plugins.evidence(obs(spark, d), {"purchase": rule, "error": rule}, keep=("obs_id",))
+    return e.select("obs_id", "signal_id", F.round("value", 6).alias("value"), "direction")
 
 
 @query("WITH r AS (SELECT year(d) AS fold, brand AS asset, ret FROM bars WHERE ret IS NOT NULL), v AS (SELECT fold, asset, 1 / greatest(stddev_pop(ret), 1e-9) AS w FROM r GROUP BY 1, 2) SELECT fold, asset, round(w / sum(w) OVER (PARTITION BY fold), 4) AS weight FROM v")

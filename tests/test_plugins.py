@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessella.functions import plugins
@@ -21,6 +23,16 @@ def test_evidence(spark):
     assert [(r.signal_id, r.value, r.direction, r.confidence) for r in plugins.evidence(obs).collect()] == [("s.e", -2.5, -1, 0.5)]
 
 
+def test_evidence_of_two_inputs(spark):
+    plugins.extractor("s", value="get_json_object(value_json, '$.x')", direction="1", confidence="0.5")
+    plugins.extractor("t", value="reading * 2", direction="signum(reading)")
+    other = spark.createDataFrame([(5, "t", "e", 1.0, 3.0), (6, "s", "e", 1.0, 3.0)], "id long, source string, entity_id string, ts double, reading double")
+    assert [(r.id, r.value) for r in plugins.evidence(other, keep=("id",)).collect()] == [(5, 6.0)]
+    with pytest.raises(AnalysisException):
+        plugins.evidence(other, {"s": plugins.EXTRACTORS["s"]}).count()
+    assert plugins.evidence(other, {}).count() == 0
+
+
 def test_registry(spark):
     r = plugins.signal_registry(spark, [("a", "macro", "weekly", False, None, None), ("b", "macro", "daily", True, 5, 7)]).orderBy("signal_id").collect()
     assert [(x.ttl_seconds, x.min_observations) for x in r] == [(604_800, 30), (5, 7)]
