@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import folds
 from ..registry import query
-from ..streaming import monitors
+from ..session import new_path, written
+from ..sources import window_batches as windows
+from ..streaming import monitors, stateful
 from .series import WZ, event_scores, zsql
 from .views import bars, obs, table, trades
 
@@ -140,3 +142,89 @@ def str_windowed_ingest(spark, d):
     o = obs(spark, d).withColumn("b", F.floor(F.unix_micros("ts") / 900_000_000))
     last = F.broadcast(o.agg(F.max("b").alias("last")))  # one row
     return o.join(last, F.col("b") < F.col("last")).groupBy((F.col("b") * 900_000_000).alias("batch_us")).agg(F.count("*").alias("n"))
+
+
+# The streams below end a day behind the newest event, where the watermark stands; so does their SQL.
+PASSED = "epoch_us(ts) <= (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 FROM obs)"
+
+
+def hawkes_run(spark, d):
+    return stateful.run(stateful.ordered(event_stream(spark, d), F.col("entity_id"), "ts", stateful.hawkes()))
+
+
+@query(f"{HAWKES.replace('FROM obs)', f'FROM obs WHERE {PASSED})')} SELECT entity_id, obs_id, round(0.1 + 0.5 * a, 6) AS intensity FROM r")
+def str_hawkes_stream(spark, d):
+    """The recursion with its state in the state store, in event-time order whatever the triggers."""
+    return hawkes_run(spark, d).result.select(F.col("key").alias("entity_id"), F.col("id").alias("obs_id"), F.round("intensity", 6).alias("intensity"))
+
+
+@query(f"""{HAWKES.replace('FROM obs)', f'FROM obs WHERE {PASSED})')}, l AS (SELECT entity_id, arg_max(a, n) AS a, max(t) AS t FROM r GROUP BY 1)
+SELECT entity_id, round(0.1 + 0.5 * exp(-(epoch(TIMESTAMP '2024-02-01') - t) / 86400) * (a + 1), 6) AS intensity FROM l""")
+def str_hawkes_state_query(spark, d):
+    """The stream runs once; its checkpointed state then answers for any later time."""
+    at = stateful.hawkes_at(spark, hawkes_run(spark, d).marks, F.lit("2024-02-01").cast("timestamp"))
+    return at.select(F.col("key").alias("entity_id"), F.round("intensity", 6).alias("intensity"))
+
+
+@query(f"""WITH t AS (SELECT entity_id, epoch_us(ts) AS us FROM obs WHERE {PASSED}), n AS (SELECT entity_id, us, lead(us) OVER (PARTITION BY entity_id ORDER BY us) AS later FROM t),
+f AS (SELECT entity_id, us, us + 172800000000 AS at_us, later FROM n WHERE coalesce(later - us > 172800000000, us + 172800000000 <= (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 FROM obs)))
+SELECT entity_id, us AS last_us, 'failed' AS status, at_us FROM f UNION ALL SELECT entity_id, later, 'running', later FROM f WHERE later IS NOT NULL""")
+def str_heartbeat_stream(spark, d):
+    """Each event is a heartbeat; two days of silence, told by an event-time timer, are a failure."""
+    s = stateful.ordered(event_stream(spark, d), F.col("entity_id"), "ts", stateful.heartbeat(2 * 86_400))
+    return stateful.run(s).result.withColumnRenamed("key", "entity_id")
+
+
+@query(f"SELECT entity_id, obs_id, round(avg(value) OVER w, 6) AS mean, count(*) OVER w AS n FROM obs WHERE {PASSED} WINDOW w AS (PARTITION BY entity_id ORDER BY ts, obs_id ROWS BETWEEN 34 PRECEDING AND 5 PRECEDING)")
+def str_rolling_baseline_stream(spark, d):
+    s = stateful.ordered(event_stream(spark, d), F.col("entity_id"), "ts", stateful.rolling_baseline())
+    return stateful.run(s).result.select(F.col("key").alias("entity_id"), F.col("id").alias("obs_id"), F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""WITH c AS (SELECT DISTINCT source, entity_id, epoch_us(date_trunc('day', ts)) + 86400000000 AS us FROM obs), p AS (SELECT * FROM c WHERE us <= (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 FROM obs)),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY us) AS n FROM p), i AS (SELECT *, n - row_number() OVER (PARTITION BY source, entity_id ORDER BY n) AS isl FROM r),
+s AS (SELECT source, entity_id, us AS cycle_us, row_number() OVER (PARTITION BY source, entity_id, isl ORDER BY n) AS streak FROM i) SELECT * FROM s WHERE streak >= 2""")
+def str_persistence_stream(spark, d):
+    """A cycle is a day of a source, a fingerprint an entity that it names that day; a cycle is judged once the watermark has passed its end."""
+    s = event_stream(spark, d).withColumn("fingerprint", F.col("entity_id"))
+    out = stateful.run(stateful.ordered(s, F.col("source"), "ts", stateful.persistence(2), at=F.date_trunc("day", "ts") + F.expr("interval 24 hours"))).result
+    return out.select(F.col("key").alias("source"), F.col("fingerprint").alias("entity_id"), "cycle_us", "streak")
+
+
+@query(f"""WITH t AS (SELECT entity_id, obs_id, value < 40 AS bad, row_number() OVER (PARTITION BY entity_id ORDER BY ts, obs_id) AS n FROM obs WHERE {PASSED}),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY entity_id, bad ORDER BY n) AS isl FROM t), s AS (SELECT *, CASE WHEN bad THEN row_number() OVER (PARTITION BY entity_id, bad, isl ORDER BY n) ELSE 0 END AS streak FROM i),
+l AS (SELECT *, lag(streak, 1, 0) OVER (PARTITION BY entity_id ORDER BY n) AS before FROM s)
+SELECT entity_id, obs_id, CASE WHEN bad THEN streak ELSE before END AS failures, CASE WHEN bad THEN 'dropped' ELSE 'promoted' END AS event FROM l WHERE CASE WHEN bad THEN streak = 3 ELSE before >= 3 END""")
+def str_failure_streaks_stream(spark, d):
+    s = event_stream(spark, d).withColumn("failed", F.col("value") < 40)
+    out = stateful.run(stateful.ordered(s, F.col("entity_id"), "ts", stateful.failure_streaks(3))).result
+    return out.select(F.col("key").alias("entity_id"), F.col("id").alias("obs_id"), "failures", "event")
+
+
+@query(f"""WITH z AS (SELECT entity_id, obs_id, ts, value, {zsql('value', WZ, 19)} AS z FROM obs), p AS (SELECT * FROM z WHERE abs(round(z, 6)) >= 2 AND ts <= (SELECT max(ts) FROM obs) - INTERVAL 10 DAY),
+j AS (SELECT p.obs_id, p.value, p.z, o.value AS later, row_number() OVER (PARTITION BY p.obs_id ORDER BY o.ts, o.obs_id) AS k FROM p LEFT JOIN obs o ON o.entity_id = p.entity_id AND o.ts > p.ts AND o.ts <= p.ts + INTERVAL 7 DAY)
+SELECT obs_id, count(later) AS points, CASE WHEN count(later) = 3 THEN (avg(later) > any_value(value)) = (any_value(z) > 0) END AS success FROM j WHERE k <= 3 GROUP BY obs_id""")
+def str_realise_pending_stream(spark, d):
+    """Signals and values are two streams; a signal is judged by its first three values within a week, or left pending."""
+    z = event_scores(spark, d).where("abs(round(z, 6)) >= 2").select(F.col("obs_id").alias("signal_id"), F.col("entity_id").alias("key"), F.col("ts").alias("signal_ts"), F.col("value").alias("level"), F.signum("z").alias("sign"))
+    path = new_path(spark, "pending")
+    z.write.parquet(path)
+    values = event_stream(spark, d).withColumnRenamed("entity_id", "key")
+    out = stateful.realised(monitors.file_stream(spark, path, z.schema), values, "7 days")
+    done = written(stateful.run(out).result, "realised")
+    # signals of the last ten days may still be open where the stream ends
+    last = F.broadcast(obs(spark, d).agg((F.max("ts") - F.expr("interval 10 days")).alias("until")))  # one row
+    settled = z.select(F.col("signal_id").alias("obs_id"), "signal_ts").join(last, F.col("signal_ts") <= F.col("until"))
+    return done.join(settled, F.col("signal_id") == F.col("obs_id")).select("obs_id", "points", "success")
+
+
+@query("SELECT epoch_us(ts) // 21600000000 * 21600000000 AS batch_us, count(*) AS n, round(sum(value), 5) AS total FROM obs WHERE epoch_us(ts) // 21600000000 < (SELECT max(epoch_us(ts)) // 21600000000 FROM obs) GROUP BY 1")
+def str_windowed_ingest_stream(spark, d):
+    """Files of six hours each, as a feed would publish them, read by the streaming source that holds the newest back."""
+    b = F.floor(F.unix_micros("ts") / 21_600_000_000) * 21_600_000_000
+    path, flat = new_path(spark, "windows"), new_path(spark, "window-files")
+    obs(spark, d).select("obs_id", "value", b.alias("batch_us")).withColumn("w", F.col("batch_us")).repartition("w").write.partitionBy("w").parquet(path)
+    windows.put_in_place(spark, path, flat)
+    spark.dataSource.register(windows.WindowBatches)
+    s = spark.readStream.format("window_batches").schema("obs_id long, value double, batch_us long").option("path", flat.removeprefix("file://")).option("grace", 0).load()
+    return stateful.run(s).result.groupBy("batch_us").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
