@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +29,105 @@ def components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     raise RuntimeError(f"the labels did not settle in {most} rounds")
 
 
-def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """Maximal cliques of a small graph (edges a < b) with at least `least` members, as sorted arrays.
+def peeled(edges: DataFrame) -> DataFrame:
+    """node and layer: each round takes away the nodes of at most twice the mean degree, at least half of those left, so the
+    rounds are few, and a node has at most four times as many neighbours in its own and later layers as the densest part has edges a node."""
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    left = both = written(both.union(both.select("y", "x")), "both-ways")
+    layers = both.select(F.col("x").alias("node")).distinct()
+    gone = None
+    for layer in count():
+        degrees = written(left.groupBy("x").agg(F.count("*").alias("degree")), "degrees")
+        mean = degrees.agg(F.avg("degree")).first()[0]
+        if mean is None:
+            break
+        now = degrees.where(F.col("degree") <= 2 * mean).select("x")
+        gone = now.withColumn("layer", F.lit(layer)) if gone is None else gone.union(now.withColumn("layer", F.lit(layer)))
+        left = written(left.join(now, "x", "left_anti").join(now.withColumnRenamed("x", "y"), "y", "left_anti").select("x", "y"), "left")
+    # nodes whose neighbours have all gone have none in later layers
+    return layers.withColumn("layer", F.lit(0)) if gone is None else layers.join(gone, F.col("node") == F.col("x"), "left").select("node", F.coalesce("layer", F.lit(layer)).alias("layer"))
 
-    A clique of size k grows by every larger common neighbour of its members; cliques without any
-    neighbour common to all members are maximal. Each round is written; the rounds end when nothing grows.
+
+def grown_cliques(inner: list[tuple], outer: list[tuple], least: int, category: dict, own, min_categories: int) -> list[list]:
+    """Maximal cliques of one node: inner are the edges among its later neighbours, outer those from earlier to later neighbours.
+
+    Bron and Kerbosch's enumeration with a pivot, over bit sets; a branch that can't reach the least members or categories ends.
+    """
+    names = sorted({x for e in inner for x in e} | {p for _, p in outer})
+    at = {x: i for i, x in enumerate(names)}
+    earlier = sorted({x for x, _ in outer})
+    before = {x: len(names) + i for i, x in enumerate(earlier)}
+    near = [0] * (len(names) + len(earlier))
+    for x, y in inner:
+        near[at[x]] |= 1 << at[y]
+        near[at[y]] |= 1 << at[x]
+    for x, y in outer:
+        near[before[x]] |= 1 << at[y]
+        near[at[y]] |= 1 << before[x]
+    members = (1 << len(names)) - 1
+    bits = lambda m: (i for i in range(m.bit_length()) if m >> i & 1)
+    out = []
+
+    def grow(r: list[int], p: int, x: int) -> None:
+        if 1 + len(r) + p.bit_count() < least or (min_categories > 1 and len({category[own], *(category[names[i]] for i in (*r, *bits(p)))}) < min_categories):
+            return
+        if not p:
+            if not x:
+                out.append(sorted([own, *(names[i] for i in r)]))
+            return
+        pivot = max(bits(p | x), key=lambda u: (p & near[u]).bit_count())
+        for v in bits(p & ~near[pivot]):
+            grow([*r, v], p & near[v], x & near[v])
+            p, x = p & ~(1 << v), x | 1 << v
+
+    grow([], members, sum(1 << i for i in before.values()))
+    return out
+
+
+def cliques(edges: DataFrame, least: int = 3, categories: DataFrame | None = None, min_categories: int = 1) -> DataFrame:
+    """Maximal cliques (edges a < b) of at least `least` members, and of min_categories by categories (node, category), as sorted arrays.
+
+    Edges point from nodes that `peeled` takes away first to later ones, so few leave a node however many it has. Each
+    triangle goes to its first node as an inner edge and to its second as an outer one; a node's group then holds all
+    that tells which cliques begin with it and whether an earlier node would extend them. Cliques of two are the edges without a triangle.
     """
-    e = edges.select("a", "b").distinct()
-    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    adjacent = both.groupBy("a").agg(F.collect_set("b").alias("ns")).select(F.col("a").alias("node"), "ns")
-    now = e.join(adjacent.withColumnRenamed("ns", "n1"), F.col("a") == F.col("node")).drop("node").join(adjacent.withColumnRenamed("ns", "n2"), F.col("b") == F.col("node"))
-    now = now.select(F.array("a", "b").alias("members"), F.array_intersect("n1", "n2").alias("common"))
+    e = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    rank = lambda c: peel.select(F.col("node").alias(c), F.struct("layer", "node").alias(f"rank_{c}"))
+    peel = written(peeled(e), "layers")
+    both = e.join(rank("a"), "a").join(rank("b"), "b")
+    swap = F.col("rank_a") > F.col("rank_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    to = written(both.select(pick("a", "b").alias("u"), pick("b", "a").alias("v"), pick("rank_b", "rank_a").alias("rank")), "pointed")
+    second = to.select("u", F.col("v").alias("w"), F.col("rank").alias("last"))
+    wedges = to.join(second, "u").where("rank < last")
+    triangles = written(wedges.join(to.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"]).select("u", "v", "w"), "triangles")
+    kind = e.schema["a"].dataType.simpleString()
     found = None
-    for size in count(2):
-        now = written(now, f"cliques-{size}")
-        if size >= least:
-            done = now.where(F.size("common") == 0).select("members")
-            found = done if found is None else found.union(done)
-        grown = now.select("members", "common", F.explode(F.filter("common", lambda x: x > F.element_at("members", -1))).alias("next"))
-        if not grown.limit(1).count():
-            return found if found is not None else now.select("members").limit(0)
-        now = grown.join(adjacent, F.col("next") == F.col("node")).select(F.concat("members", F.array("next")).alias("members"), F.array_intersect("common", "ns").alias("common"))
+    if least <= 2:
+        sides = [triangles.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("u", "v"), ("u", "w"), ("v", "w"))]
+        sides = sides[0].union(sides[1]).union(sides[2])
+        alone = e.join(sides.union(sides.select("b", "a")).distinct(), ["a", "b"], "left_anti").select(F.sort_array(F.array("a", "b")).alias("members"))
+        if categories is not None and min_categories > 1:
+            of = lambda i: F.element_at("members", i)
+            c1, c2 = (categories.select(F.col("node").alias(f"n{i}"), F.col("category").alias(f"c{i}")) for i in (1, 2))
+            alone = alone.join(c1, of(1) == F.col("n1")).join(c2, of(2) == F.col("n2")).where(F.lit(min_categories <= 2) & (F.col("c1") != F.col("c2"))).select("members")
+        found = alone
+    rows = triangles.select(F.col("u").alias("own"), F.lit(True).alias("inner"), F.col("v").alias("x"), F.col("w").alias("y"))
+    rows = rows.union(triangles.select(F.col("v").alias("own"), F.lit(False).alias("inner"), F.col("u").alias("x"), F.col("w").alias("y")))
+    labelled = categories is not None and min_categories > 1
+    if labelled:
+        for c in ("own", "x", "y"):
+            rows = rows.join(categories.select(F.col("node").alias(c), F.col("category").alias(f"{c}_category")), c, "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["own"].iloc[0]
+        category = {n: k for c in ("own", "x", "y") for n, k in zip(pdf[c], pdf[f"{c}_category"], strict=True)} if labelled else {}
+        side = lambda m: list(zip(pdf["x"][m], pdf["y"][m], strict=True))
+        got = grown_cliques(side(pdf["inner"]), side(~pdf["inner"]), max(3, least), category, own, min_categories if labelled else 1)
+        return pd.DataFrame({"members": pd.Series(got, dtype=object)})
+
+    grown = rows.groupBy("own").applyInPandas(run, f"members array<{kind}>")
+    return grown if found is None else found.union(grown)
 
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

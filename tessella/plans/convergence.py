@@ -10,6 +10,7 @@ from ..operators.graphs import cliques
 from ..operators.joins import asof_join
 from ..operators.stats import benjamini_hochberg, rolling_corr
 from ..registry import query
+from ..session import written
 from .views import obs, series
 
 
@@ -183,21 +184,32 @@ def graph(spark, d):
     return concordances(spark, d).select(F.col("sa").alias("a"), F.col("sb").alias("b"), (F.col("k") / F.col("n")).alias("weight")).where("weight > 0.52")
 
 
+def named(spark, d):
+    return series(spark, d).select(F.col("signal").alias("node"), "category").distinct()
+
+
 @query()
 def cnv_convergence_cliques(spark, d):
-    found = cliques(graph(spark, d).select("a", "b"), least=2)
+    """Maximal cliques of three signals or more, of two categories or more."""
+    found = cliques(graph(spark, d).select("a", "b"), 3, named(spark, d), 2)
     return found.select(F.array_join("members", "|").alias("members"), F.size("members").alias("size"))
 
 
+def clique_scores(found, edges, categories):
+    """members, score and direction of cliques. edges: a, b (a < b), weight and, for a direction, direction."""
+    m = found.select("members", F.explode("members").alias("a"))
+    c = m.join(categories.withColumnRenamed("node", "a"), "a").groupBy("members").agg(F.countDistinct("category").alias("categories"))
+    inside = m.join(edges, "a").where(F.array_contains("members", F.col("b"))).groupBy("members").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("direction")).alias("vote"))
+    n = F.size("members")
+    raw = F.col("total") / n * F.col("categories") / n * F.log2(n.cast("double"))
+    return inside.join(c, "members").select("members", S.sigmoid_score(raw).alias("score"), F.signum("vote").cast("int").alias("direction"))
+
+
 @query()
 def cnv_clique_score(spark, d):
-    g = graph(spark, d)
-    m = cliques(g.select("a", "b"), least=2).select("members", F.explode("members").alias("s"))
-    cats = series(spark, d).select(F.col("signal").alias("s"), "category").distinct()
-    c = m.join(cats, "s").groupBy("members").agg(F.countDistinct("category").alias("categories"))
-    inside = m.select("members", F.col("s").alias("a")).join(g, "a").where(F.array_contains("members", F.col("b"))).groupBy("members").agg(F.avg("weight").alias("mean"))
-    raw = F.col("mean") * F.col("categories") / F.size("members") * F.log2(F.size("members").cast("double"))
-    return inside.join(c, "members").select(F.array_join("members", "|").alias("members"), S.sigmoid_score(raw).alias("score"))
+    g = written(graph(spark, d).withColumn("direction", F.lit(1)), "graph")
+    found = written(cliques(g.select("a", "b"), 3, named(spark, d), 2), "cliques")
+    return clique_scores(found, g, named(spark, d)).select(F.array_join("members", "|").alias("members"), "score")
 
 
 @query(f"WITH {CONC} SELECT CAST(sign(sum(CASE WHEN k / n >= 0.5 THEN 1 ELSE -1 END * abs(k / n - 0.5))) AS INTEGER) AS direction, count(*) AS pairs FROM cc")
@@ -234,7 +246,7 @@ def cnv_detect(spark, d):
     """The whole cycle: pair tests, Fisher, step-up control, graph, cliques."""
     tested = benjamini_hochberg(combined(spark, d), "p", 0.2)
     edges = tested.where("rejected").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
-    found = cliques(edges, least=2)
+    found = cliques(edges, 3, named(spark, d), 2)
     return found.select(F.array_join("members", "|").alias("members"), F.size("members").alias("size"))
 
 

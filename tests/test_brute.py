@@ -67,16 +67,21 @@ def maximal_cliques(edges, least):
     return out
 
 
+def of_two_categories(found, spark, small):
+    category = views.series(spark, small).select("signal", "category").distinct().toPandas().set_index("signal").category
+    return {c for c in found if len({category[x] for x in c.split("|")}) >= 2}
+
+
 def test_cliques(run, spark, small):
     g = convergence.graph(spark, small).toPandas()
-    want = maximal_cliques(list(zip(g.a, g.b)), 2)
+    want = of_two_categories(maximal_cliques(list(zip(g.a, g.b)), 3), spark, small)
     assert want and set(run("cnv_convergence_cliques").members) == want
     weight = {(r.a, r.b): r.weight for r in g.itertuples()}
     category = views.series(spark, small).select("signal", "category").distinct().toPandas().set_index("signal").category
     scores = run("cnv_clique_score").set_index("members").score
     for c in want:
         m = c.split("|")
-        mean = np.mean([weight[tuple(sorted(p))] for p in combinations(m, 2)])
+        mean = sum(weight[tuple(sorted(p))] for p in combinations(m, 2)) / len(m)
         raw = mean * len({category[x] for x in m}) / len(m) * np.log2(len(m))
         assert scores[c] == pytest.approx(2 / (1 + np.exp(-raw)) - 1, abs=2e-6)
 
@@ -86,7 +91,7 @@ def test_the_detection_cycle(run, spark, small):
     n, rank = len(p), np.arange(1, len(p) + 1)
     adjusted = np.minimum.accumulate((p.p.to_numpy() * n / rank)[::-1])[::-1]
     kept = p[adjusted <= 0.2]
-    assert len(kept) and set(run("cnv_detect").members) == maximal_cliques(list(zip(kept.sa, kept.sb)), 2)
+    assert len(kept) and set(run("cnv_detect").members) == of_two_categories(maximal_cliques(list(zip(kept.sa, kept.sb)), 3), spark, small)
 
 
 def test_spectra(run, signals):

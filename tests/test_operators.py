@@ -1,6 +1,7 @@
 """Hand cases and properties of the helpers that most queries rest on."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -14,6 +15,8 @@ from tessella.plans.ranking import diversified
 from tessella.plans.series import dedupe_latest, trailing_run, z_against, before
 from tessella.sources import store
 
+from .test_brute import maximal_cliques
+
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 POINTS = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400)), max_size=25)
 
@@ -122,6 +125,36 @@ def test_cliques_of_any_size_and_number(spark):
     assert graphs.cliques(many, least=2).count() == 10_001
 
 
+def test_a_large_planted_clique_and_random_graphs(spark):
+    rng = random.Random(4)
+    planted = [f"p{i:02}" for i in range(40)]
+    e = [(a, b) for i, a in enumerate(planted) for b in planted[i + 1 :]] + [(p, f"q{rng.randrange(30)}") for p in planted for _ in range(3)]
+    got = [tuple(r.members) for r in graphs.cliques(spark.createDataFrame(sorted(set(e)), "a string, b string")).collect()]
+    assert tuple(planted) in got and len(got) == len(set(got))
+    for n, share, seed in ((14, 0.5, 1), (25, 0.3, 2), (9, 0.9, 3)):
+        rng = random.Random(seed)
+        edges = [(f"n{a:02}", f"n{b:02}") for a in range(n) for b in range(a + 1, n) if rng.random() < share]
+        kinds = {f"n{a:02}": f"c{rng.randrange(3)}" for a in range(n)}
+        cats = spark.createDataFrame(list(kinds.items()), "node string, category string")
+        df = spark.createDataFrame(edges, "a string, b string")
+        for least, most in ((2, 1), (3, 2), (4, 3)):
+            want = {tuple(c.split("|")) for c in maximal_cliques(edges, least)}
+            want = {c for c in want if len({kinds[x] for x in c}) >= most}
+            found = [tuple(r.members) for r in graphs.cliques(df, least, cats, most).collect()]
+            assert sorted(found) == sorted(want)
+    assert graphs.cliques(spark.createDataFrame([], "a string, b string"), 2).count() == 0
+
+
+def test_peeling_keeps_later_neighbours_few(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1, 399)]
+    layer = {r.node: (r.layer, r.node) for r in graphs.peeled(spark.createDataFrame(edges, "a long, b long")).collect()}
+    later: dict = {}
+    for a, b in edges:
+        first = min(a, b, key=layer.get)
+        later[first] = later.get(first, 0) + 1
+    assert len(layer) == 400 and max(later.values()) <= 8
+
+
 def test_components_and_cliques(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (100, 102)]
     roots = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
