@@ -18,12 +18,12 @@ reads its input several times, never runs an earlier one again.
 Defined cases: a null or empty text is scored, is one empty line, is a near copy
 of other empty texts, leaks nothing and packs as its end id; null ids are kept
 as they are; rows that repeat an id are judged each by its text; empty tables
-give no rows; other columns pass through all stages but the last.
+give no rows; other columns, of whatever names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, lines, packing, quality, queries, simhash
@@ -34,30 +34,42 @@ ORACLE_SQL = None
 LEAST_SCORE = 0.3
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """What the operators read, and all columns in one struct, so that no name of the input can clash with one that a stage adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("input"))
+
+
+def together(kept: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, but for the changed ones."""
+    return kept.select(*[changed.get(c, F.col(f"input.`{c}`")).alias(c) for c in docs.columns])
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = queries.table(spark, sf_dir, "labels").where(~queries.held_out())
-    return quality.scored(docs, quality.fit(docs, labels)).where(F.col("quality_score") >= LEAST_SCORE).select(docs.columns)
+    each = apart(docs)
+    return together(quality.scored(each, quality.fit(each, labels)).where(F.col("quality_score") >= LEAST_SCORE), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
+    out, changed = lines.dedup_lines(apart(docs)), {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("lines.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("lines.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("input.n_chars"))
+    return together(out, docs, **changed)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    each = apart(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stay = simhash.near_copies(docs).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("stay_row"))
-    kept = docs.join(stay, simhash.row_key() == F.col("stay_row"))
+    stay = simhash.near_copies(each).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("stay_row"))
+    kept = each.join(stay, simhash.row_key() == F.col("stay_row"))
     # rows that repeat the id and the text of one that stays
-    one = Window.partitionBy("stay_row").orderBy(*[F.col(c) for c in docs.columns])
-    return kept.withColumn("copy_number", F.row_number().over(one)).where("copy_number = 1").select(docs.columns)
+    one = Window.partitionBy("stay_row").orderBy("input")
+    return together(kept.withColumn("copy_number", F.row_number().over(one)).where("copy_number = 1"), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    return together(decontaminate.find_leaks(apart(docs), queries.table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
