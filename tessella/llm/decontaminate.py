@@ -14,7 +14,8 @@ document are embedded from each of their words on, and a hit of the item's
 character o at the document's character p proposes the window at p - o. A
 window is a candidate when enough such hits agree on it, up to a drift of a
 tenth of the item. The walks of all words of many documents are taken at once
-in numpy.
+in numpy. Items without spaces, or with few, are embedded from each character
+on, and so are documents where the benchmark holds such items.
 
 Repeats use other random bits and positions. Their number is the least at which
 a fixed trial proposes RECALL of edited copies of the items; the copies have as
@@ -48,10 +49,13 @@ from pyspark.sql import functions as F
 from ..session import written
 
 SIMILARITY, RECALL, MOST_REPEATS, TRIALS = 0.8, 0.95, 24, 300
-#: Of each class of items: the least characters, how many hits have to agree, and its walk; of each walk: its steps, its
-#: sampled positions, and whether it starts at every character (short items have few words).
-CLASSES = ((140, 3, 0), (80, 2, 0), (48, 1, 1), (32, 1, 2), (1, 1, 3))
-WALKS = ((28, 10, False), (18, 6, False), (8, 4, False), (5, 3, True))
+#: Of each class of items: the least characters, how many hits have to agree, and its walks, for items with spaces and for
+#: those without; of each walk: its steps, its sampled positions, and whether it starts at every character (short items, and
+#: those without spaces, have few words).
+CLASSES = ((140, 3, (0, 4)), (80, 2, (0, 4)), (48, 1, (1, 5)), (32, 1, (2, 6)), (1, 1, (3, 3)))
+WALKS = ((28, 10, False), (18, 6, False), (8, 4, False), (5, 3, True), (28, 10, True), (18, 6, True), (8, 4, True))
+#: An item has spaces if it has a word for each so many characters.
+SPACED = 12
 BLOCK_CHARS = 2_000_000
 TABLE_BITS = 20
 CHUNK_CHARS, SLICE = 1 << 20, 1 << 16
@@ -71,6 +75,10 @@ def class_of(n: int) -> int:
     return next(i for i, (least, _, _) in enumerate(CLASSES) if n >= least)
 
 
+def walk_of(text: str) -> int:
+    return CLASSES[class_of(len(text))][2][(text.count(" ") + 1) * SPACED < len(text)]
+
+
 def symbols(text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """One byte for each character, and where words and where characters start."""
     x = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -132,7 +140,11 @@ def table(texts: list[str], members: list[int], walk: int, repeat: int) -> tuple
         starts = both[WALKS[walk][2]]
         # the walk's last words are too short for it, unless the item has no longer ones
         starts = starts[starts <= max(0, len(texts[k]) - WALKS[walk][0] // 2)]
-        keys.append(embedded(x, starts, walk, repeat)), item.append(np.full(len(starts), k, np.int64)), at.append(starts.astype(np.int64))
+        own = embedded(x, starts, walk, repeat)
+        if WALKS[walk][2] and walk > 3:  # of what repeats within an item its first place is enough: the trial uses the same tables
+            own, first = np.unique(own, return_index=True)
+            starts = starts[first]
+        keys.append(own), item.append(np.full(len(starts), k, np.int64)), at.append(starts.astype(np.int64))
     keys, item, at = map(np.concatenate, (keys, item, at))
     order = np.argsort(keys, kind="stable")
     seen = np.zeros(1 << TABLE_BITS, bool)
@@ -180,7 +192,7 @@ def edited(text: str, edits: int, rng: np.random.Generator) -> str:
 def repeats_for(texts: list[str], members: list[int], similarity: float, recall: float) -> int:
     """The least number of repeats at which items edited up to the limit are proposed with the target recall, in each class."""
     rng = np.random.default_rng(5)
-    walk = CLASSES[class_of(len(texts[members[0]]))][2]
+    walk = walk_of(texts[members[0]])
     cases, places, own, at = [], [], [], 0
     by_class = defaultdict(list)
     for k in members:
@@ -216,7 +228,7 @@ def index_of(items: list[tuple[int, str]], similarity: float, recall: float) ->
     items = [(i, t, t.count(" ") + 1) for i, t in items if t]
     texts, tables = [t for _, t, _ in items], []
     for walk in range(len(WALKS)):
-        members = [k for k, t in enumerate(texts) if CLASSES[class_of(len(t))][2] == walk]
+        members = [k for k, t in enumerate(texts) if walk_of(t) == walk]
         if members:
             tables += [table(texts, members, walk, r) for r in range(repeats_for(texts, members, similarity, recall))]
     return {"items": items, "sizes": np.array([len(t) for t in texts], np.int64), "tables": tables}

@@ -114,3 +114,21 @@ def test_queries_against_sql(spark, small, name):
     df = queries.QUERIES[name](spark, small)
     assert sorted(df.columns) == order
     assert Counter(tuple(r[n] for n in order) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in got.fetchall())
+
+
+def test_clashing_columns_come_out_unchanged(spark, tmp_path):
+    names = ["quality_score", "lines", "leaks", "stay_row", "copy_number", "row", "digest", "rest", "input", "root", "own_text", "own_id", "set"]
+    rows = [(i, f"a plain text of some words number {i} which goes on for a while and ends here", "en", "s", 5, *[f"{n}{i}" for n in names]) for i in range(6)]
+    rows.append((6, rows[0][1], *rows[0][2:]))
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"{n} string" for n in names]]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "nothing of this is in any of the documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, want, str(tmp_path)), name)
+        assert out.columns == docs.columns
+        got = {tuple(r) for r in out.collect()}
+        assert got <= {tuple(r) for r in want.collect()} if name != "line_dedup" else {r[5:] for r in got} == {tuple(r)[5:] for r in want.collect()}
+        want = out
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -176,3 +176,42 @@ def test_empty_sides(spark, no_docs, planted):
     docs, bench, _ = planted
     assert D.find_leaks(no_docs, bench).count() == 0
     assert all(not r.leaks for r in D.find_leaks(docs.drop("leaks"), bench.where("false")).collect())
+
+
+def unspaced(rng, n):
+    return "".join(rng.choice(list("あいうえおかきくけこさしすせそたちつてとなにぬねの漢字中文日本語学習資料"), n))
+
+
+@pytest.mark.parametrize("length", [20, 40, 60, 90, 160, 400])
+def test_items_without_spaces_are_found(length):
+    """Exact and edited copies of unspaced, one-word and mixed items, alone and inside other text, beside ordinary items."""
+    rng = np.random.default_rng(length)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    items = [(i, unspaced(rng, length)) for i in range(20)]
+    items += [(100 + i, "".join(rng.choice(list("abcdefghij0123456789"), length))) for i in range(10)]
+    items += [(200 + i, (unspaced(rng, length - 15) + " " + word() + " " + word())[:length].strip()) for i in range(10)]
+    items += [(1000 + i, " ".join(word() for _ in range(40))) for i in range(60)]
+    items = [(i, D.reduced(t)) for i, t in items]
+    index = D.index_of(items, D.SIMILARITY, D.RECALL)
+    for share, least in ((0.0, 1.0), (0.05, 0.97), (0.1, 0.95), (0.15, 0.93), (0.18, 0.9)):
+        met = 0
+        for i, t in items[:40]:
+            copy = D.edited(t, int(len(t) * share), rng)
+            around = unspaced(rng, 50) if i < 100 else " " + " ".join(word() for _ in range(12)) + " "
+            (leaks,) = D.leaks_in([D.reduced(around + copy + around)], index, D.SIMILARITY)
+            met += i in {x["item_id"] for x in leaks}
+            if share == 0:
+                (alone,) = D.leaks_in([t], index, D.SIMILARITY)
+                assert (i, 0) in {(x["item_id"], x["edits"]) for x in alone}
+        assert met >= least * 40, (length, share, met)
+
+
+def test_a_benchmark_of_unspaced_and_repetitive_items_only():
+    rng = np.random.default_rng(9)
+    items = [(i, unspaced(rng, int(n))) for i, n in enumerate(rng.integers(60, 400, 30))] + [(50, "x" * 160), (51, "ab" * 90)]
+    index = D.index_of(items, D.SIMILARITY, D.RECALL)
+    for i, t in items:
+        assert i in {x["item_id"] for x in D.leaks_in([t], index, D.SIMILARITY)[0]}
+    (long,) = D.leaks_in(["x" * 200_000], index, D.SIMILARITY)
+    assert {x["item_id"] for x in long} == {50}
+    assert D.leaks_in([unspaced(rng, 5000)], index, D.SIMILARITY) == [[]]
