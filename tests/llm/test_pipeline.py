@@ -106,7 +106,7 @@ def test_queries_against_sql(spark, small, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "labels", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet{'/*.parquet' if __import__('os').path.isdir(f'{small}/{t}.parquet') else ''}'")
     got = c.execute(queries.ORACLES[name])
     order = sorted(x[0] for x in got.description)
