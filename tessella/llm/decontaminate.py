@@ -58,7 +58,7 @@ WALKS = ((28, 10, False), (18, 6, False), (8, 4, False), (5, 3, True), (28, 10,
 SPACED = 12
 BLOCK_CHARS = 2_000_000
 TABLE_BITS = 20
-CHUNK_CHARS, SLICE = 1 << 20, 1 << 16
+CHUNK_CHARS, SLICE = 1 << 20, 1 << 14
 WORD = re.compile(r"\w+")
 LEAK = "array<struct<item_id:bigint,edits:bigint,first_word:bigint,n_words:bigint>>"
 
@@ -91,20 +91,24 @@ def embedded(x: np.ndarray, starts: np.ndarray, walk: int, repeat: int) -> np.nd
     """The hash of the sampled positions of the walk from each start on."""
     steps, samples, _ = WALKS[walk]
     rng = np.random.default_rng([walk, repeat])
-    coins = rng.integers(0, 2, (steps, 256), dtype=np.int32)
+    coins = rng.integers(0, 2, (steps, 256), dtype=np.int32).astype(np.intp)
     # one position in each equal stretch of the walk: neighbouring steps often write the same character
     edges = np.linspace(0, steps, samples + 1).astype(int)
     sampled = {int(rng.integers(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)}
     out = np.empty(len(starts), np.uint32)
     for i in range(0, len(starts), SLICE):
-        at = starts[i : i + SLICE].copy()
-        key = np.full(len(at), repeat, np.uint32)
+        at = starts[i : i + SLICE].astype(np.intp)
+        key, mixed = np.full(len(at), repeat, np.uint32), np.empty(len(at), np.uint32)
+        s, move = np.empty(len(at), np.uint8), np.empty(len(at), np.intp)
         for j in range(max(sampled) + 1):
-            s = x[at]
+            np.take(x, at, out=s, mode="clip")  # no place is out of range; this mode fills `out` without a copy
             if j in sampled:
-                key = (key ^ s) * np.uint32(0x9E3779B1)
-                key ^= key >> np.uint32(15)
-            at += coins[j][s]
+                key ^= s
+                key *= np.uint32(0x9E3779B1)
+                np.right_shift(key, np.uint32(15), out=mixed)
+                key ^= mixed
+            np.take(coins[j], s, out=move, mode="clip")
+            at += move
         out[i : i + SLICE] = key
     return out
 
