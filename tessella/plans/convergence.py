@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators.graphs import cliques
 from ..operators.joins import asof_join
 from ..operators.stats import benjamini_hochberg, rolling_corr
+from ..operators.sweep import scored
 from ..registry import query
 from ..session import written
 from .views import obs, series
@@ -195,21 +196,11 @@ def cnv_convergence_cliques(spark, d):
     return found.select(F.array_join("members", "|").alias("members"), F.size("members").alias("size"))
 
 
-def clique_scores(found, edges, categories):
-    """members, score and direction of cliques. edges: a, b (a < b), weight and, for a direction, direction."""
-    m = found.select("members", F.explode("members").alias("a"))
-    c = m.join(categories.withColumnRenamed("node", "a"), "a").groupBy("members").agg(F.countDistinct("category").alias("categories"))
-    inside = m.join(edges, "a").where(F.array_contains("members", F.col("b"))).groupBy("members").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("direction")).alias("vote"))
-    n = F.size("members")
-    raw = F.col("total") / n * F.col("categories") / n * F.log2(n.cast("double"))
-    return inside.join(c, "members").select("members", S.sigmoid_score(raw).alias("score"), F.signum("vote").cast("int").alias("direction"))
-
-
 @query()
 def cnv_clique_score(spark, d):
     g = written(graph(spark, d).withColumn("direction", F.lit(1)), "graph")
     found = written(cliques(g.select("a", "b"), 3, named(spark, d), 2), "cliques")
-    return clique_scores(found, g, named(spark, d)).select(F.array_join("members", "|").alias("members"), "score")
+    return scored(found, g, named(spark, d)).select(F.array_join("members", "|").alias("members"), "score")
 
 
 @query(f"WITH {CONC} SELECT CAST(sign(sum(CASE WHEN k / n >= 0.5 THEN 1 ELSE -1 END * abs(k / n - 0.5))) AS INTEGER) AS direction, count(*) AS pairs FROM cc")

@@ -1,5 +1,7 @@
 """The queries that SQL can't express, against plain recomputations from the same tables in numpy and pandas."""
 
+import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +15,7 @@ from tessella.plans.drift import shrunk
 from tessella.plans.graphs import _jaro_winkler
 
 CHECKED = [
-    "agg_approx_distinct", "btx_block_bootstrap", "cnv_clique_score", "cnv_convergence_cliques", "cnv_detect", "drf_anomaly_digest", "drf_bocpd", "drf_bocpd_changepoints", "drf_hmm_regimes", "drf_power_spectrum",
+    "agg_approx_distinct", "btx_block_bootstrap", "btx_convergence_scores", "btx_macro_backtest", "btx_macro_regimes", "cnv_clique_score", "cnv_convergence_cliques", "cnv_detect", "drf_anomaly_digest", "drf_bocpd", "drf_bocpd_changepoints", "drf_hmm_regimes", "drf_power_spectrum",
     "drf_regime_topology", "drf_scalogram", "drf_wasserstein_drift", "grf_probabilistic_resolution", "grf_surprise_clusters", "pfl_black_litterman", "pfl_hrp", "pfl_portfolio_weights", "pfl_robust_weights", "top_hybrid_rank",
 ]
 
@@ -264,3 +266,96 @@ def test_hybrid_rank(run, spark, small):
     got = run("top_hybrid_rank").set_index("entity_id").score
     assert len(got) == 25 and got.iloc[0] == pytest.approx(score.max(), abs=2e-6)
     assert got.min() >= score.nlargest(25).min() - 2e-6 and all(abs(score[e] - x) < 2e-6 for e, x in got.items())
+
+
+def binomial_tail(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) if k > 0 else 1.0
+
+
+def fresh_detection(values, category, q, templates):
+    """One detection on the lookback's weeks alone: (score, direction, cliques, match). values: signal to its last 52 weekly values."""
+    tests = {}
+    for a, b in combinations(sorted(values), 2):
+        x, y = values[a], values[b]
+        corr = []
+        for i in range(12, 53):
+            u, v = x[i - 12 : i], y[i - 12 : i]
+            corr.append(np.corrcoef(u, v)[0, 1] if u.std() > 1e-12 and v.std() > 1e-12 else np.nan)
+        old = np.array([c for c in corr[:-1] if not np.isnan(c)])
+        if np.isnan(corr[-1]) or len(old) < 2 or old.std(ddof=1) == 0:
+            continue
+        z = (corr[-1] - old.mean()) / old.std(ddof=1)
+        far = [np.abs((s - s.mean()) / s.std(ddof=1)) > 1 if s.std(ddof=1) > 0 else np.zeros(52, bool) for s in (x, y)]
+        k = int((np.sign(np.diff(x)) == np.sign(np.diff(y))).sum())
+        p1 = math.erfc(abs(z) / math.sqrt(2))
+        p2 = min(1.0, binomial_tail(int((far[0] & far[1]).sum()), 52, far[0].mean() * far[1].mean()))
+        p3 = min(1.0, 2 * min(binomial_tail(k, 51, 0.5), binomial_tail(51 - k, 51, 0.5)))
+        h = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
+        tests[a, b] = (math.exp(-h) * (1 + h + h * h / 2), abs(z), 1 if k / 51 >= 0.5 else -1)
+    order = sorted(tests, key=lambda e: tests[e][0])
+    adjusted, least = {}, 1.0
+    for i in range(len(order), 0, -1):
+        least = min(least, tests[order[i - 1]][0] * len(order) / i)
+        adjusted[order[i - 1]] = least
+    edges = {e: tests[e] for e in order if adjusted[e] <= q}
+    found = [c.split("|") for c in maximal_cliques(list(edges), 2)]
+    out = []
+    for c in found:
+        if len({category[s] for s in c}) >= 2:
+            inside = [edges[e] for e in combinations(sorted(c), 2)]
+            raw = sum(w for _, w, _ in inside) / len(c) * len({category[s] for s in c}) / len(c) * math.log2(len(c))
+            side = {s: np.sign(values[s][-1] - values[s].mean()) for s in c}
+            match = max(np.mean([any(category[s] == cat and re.search(pattern, s) and sign in (0, side[s]) for s in c) for t, _, cat, pattern, sign, _ in templates if t == name]) for name in {t[0] for t in templates})
+            score = round(2 / (1 + math.exp(-raw)) - 1, 6)
+            out.append((min(1.0, score * (1 + 0.5 * match)), "|".join(sorted(c)), int(np.sign(sum(w * s for _, w, s in inside))), match))
+    best = max(out) if out else (0.0, "", 0, 0.0)
+    return best[0], best[2], len(out), best[3]
+
+
+def test_each_step_of_the_sweep_is_a_fresh_detection(run, frame):
+    got = run("btx_convergence_scores").sort_values("w").reset_index(drop=True)
+    s = frame("series")
+    s["w"] = pd.to_datetime(s.d).dt.to_period("W-SUN").dt.start_time
+    category = s.groupby("signal").category.first()
+    grid = {}
+    for k, g in s.groupby("signal"):
+        v = g.groupby("w").value.sum().round(6)
+        grid[k] = v.reindex(pd.date_range(v.index.min(), v.index.max(), freq="7D")).ffill()
+    weeks = sorted({w for v in grid.values() for w in v.index})
+    assert list(got.w) == [str(w.date()) for w in weeks]
+    hits = got.index[got.n_cliques > 0]
+    assert len(hits)
+    for i in [*hits[:: max(1, len(hits) // 6)], *range(40, len(weeks), 90)]:
+        w = weeks[i]
+        seen = {k: v.loc[:w].to_numpy()[-52:] for k, v in grid.items() if w in v.index and len(v.loc[:w]) >= 52}
+        score, direction, n, match = fresh_detection(seen, category, 0.2, convergence.TEMPLATES)
+        r = got.loc[i]
+        assert (r.n_cliques, r.direction) == (n, direction), w
+        assert r.score == pytest.approx(score, abs=2e-5) and r.template_match == pytest.approx(match, abs=1e-6)
+
+
+def test_macro_backtest(run, frame):
+    scores = run("btx_convergence_scores").set_index("w")
+    got = run("btx_macro_backtest").set_index(["target", "strategy"])
+    regimes = run("btx_macro_regimes").set_index(["target", "strategy", "regime"])
+    b = frame("bars")
+    b["w"] = pd.to_datetime(b.d).dt.to_period("W-SUN").dt.start_time
+    for target, g in b.groupby("brand"):
+        close = g.sort_values("d").groupby("w").close.last()
+        ret = np.log(close / close.shift()).dropna()
+        n = (len(ret) - 52) // 12 * 12
+        test = ret.iloc[52 : 52 + n]
+        at = scores.reindex([str(w.date()) for w in test.index]).fillna(0)
+        stress, sc, m = (at.direction >= 1).to_numpy(), at.score.to_numpy(), at.template_match.to_numpy()
+        weights = {"convergence_risk_off": np.where(stress & (sc > 0.3), 0, 1), "convergence_directional": np.where(stress, 1 - np.minimum(sc, 1), 1), "convergence_template": np.where(stress & (sc > 0.3) & (m > 0.5), 0, 1), "buy_and_hold": np.ones(n)}
+        sharpe = {k: (lambda r: r.mean() / r.std() * math.sqrt(52) if r.std() else 0.0)(w * test.to_numpy()) for k, w in weights.items()}
+        for k, w in weights.items():
+            r = got.loc[(target, k)]
+            assert r.weeks == n and r.folds == n // 12
+            assert r.total == pytest.approx((w * test).sum(), abs=2e-5) and r.sharpe == pytest.approx(sharpe[k], abs=2e-4)
+            assert r.sharpe_diff == pytest.approx(sharpe[k] - sharpe["buy_and_hold"], abs=3e-4)
+            assert r.ci_lo <= r.ci_hi and r.ci_lo - 1 <= r.sharpe <= r.ci_hi + 1
+            name = np.where(at.direction >= 1, "stress", np.where(at.direction <= -1, "relief", "quiet"))
+            for q in set(name):
+                x = regimes.loc[(target, k, q)]
+                assert x.weeks == (name == q).sum() and x["mean"] == pytest.approx((w * test.to_numpy())[name == q].mean(), abs=2e-6)
