@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import drift as D
+from ..operators import topology
 from ..operators.joins import interval_join
 from ..registry import query
+from ..session import written
 from .joining import WIDE, linked, wide
 from .ranking import diversified
 from .series import event_scores
@@ -79,30 +81,28 @@ def drf_tail_dependence(spark, d):
     return t.select("ba", "bb", F.round("tau", 6).alias("tau"), F.round(F.when(up, F.pow(F.lit(2.0), -1 / theta)).otherwise(0.0), 6).alias("clayton"), F.round(F.when(up, 2 - F.pow(F.lit(2.0), 1 - F.col("tau"))).otherwise(0.0), 6).alias("gumbel"))
 
 
+def quarter_distances(spark, d):
+    """Correlation distances between brands, a window a quarter."""
+    r = bars(spark, d).where("ret is not null").select(F.to_date(F.trunc("d", "quarter")).cast("string").alias("g"), "d", F.col("brand").alias("point"), "ret")
+    return written(topology.correlation_distances(written(r, "returns")), "distances")
+
+
 @query()
 def drf_regime_topology(spark, d):
-    """Per quarter: correlation distances between brands, minimum spanning tree weights, persistence entropy and the spectral gap."""
-    r = bars(spark, d).where("ret is not null").select(F.to_date(F.trunc("d", "quarter")).alias("q"), "d", "brand", "ret")
+    """Per quarter: components at the median merge, persistence entropy, and the distance of its diagram to that of the first quarter, the baseline."""
+    diagrams = written(topology.persistence(quarter_distances(spark, d)), "diagrams")
+    base = F.broadcast(diagrams.orderBy("g").limit(1).select(F.col("deaths").alias("base")))  # one row
+    deaths = F.col("deaths")
+    median = F.when(F.size(deaths) > 0, (deaths[F.expr("int((size(deaths) - 1) / 2)")] + deaths[F.expr("int(size(deaths) / 2)")]) / 2)
+    apart = F.size(F.filter(deaths, lambda x: x > F.col("median")))
+    out = diagrams.join(base).withColumn("median", median)
+    return out.select(F.col("g").alias("q"), (apart + 1).cast("long").alias("components"), F.round(topology.entropy(deaths), 6).alias("entropy"), F.round(topology.matching_distance(deaths, F.col("base")), 6).alias("distance"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="d", columns="brand", values="ret").fillna(0.0)
-        dist = np.sqrt(np.clip(2 * (1 - np.nan_to_num(np.corrcoef(wide.to_numpy().T), nan=0.0)), 0, None))
-        n, inside, weights = len(dist), [0], []
-        best = dist[0].copy()
-        while len(inside) < n:
-            best[inside] = np.inf
-            k = int(best.argmin())
-            weights.append(float(best[k]))
-            inside.append(k)
-            best = np.minimum(best, dist[k])
-        w = np.array(weights) if weights else np.zeros(1)
-        p = w / max(w.sum(), 1e-12)
-        a = np.exp(-(dist**2))
-        lap = np.diag(a.sum(1)) - a
-        eig = np.sort(np.linalg.eigvalsh(lap))
-        return pd.DataFrame({"q": [str(pdf["q"].iloc[0])], "components": [int((w > np.median(w)).sum() + 1)], "entropy": [round(float(-(p[p > 0] * np.log(p[p > 0])).sum()), 6)], "gap": [round(float(eig[1]) if n > 1 else 0.0, 6)]})
-
-    return r.groupBy("q").applyInPandas(run, "q string, components long, entropy double, gap double")
+
+@query()
+def drf_spectral_gap(spark, d):
+    """Per quarter: how strongly the graph of brands nearer than the quarter's median distance holds together."""
+    return topology.spectral_gap(quarter_distances(spark, d)).select(F.col("g").alias("q"), F.round("gap", 5).alias("gap"))
 
 
 @query("""WITH r AS (SELECT brand, ln(close) AS x, row_number() OVER (PARTITION BY brand ORDER BY bars.d) AS n FROM bars), l AS (SELECT a.brand, k, avg(pow(b.x - a.x, 2)) AS v FROM r a, range(1, 21) t(k) JOIN r b ON b.brand = a.brand AND b.n = a.n + k GROUP BY 1, 2)

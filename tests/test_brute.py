@@ -16,7 +16,7 @@ from tessella.plans.graphs import _jaro_winkler
 
 CHECKED = [
     "agg_approx_distinct", "btx_block_bootstrap", "btx_convergence_scores", "btx_macro_backtest", "btx_macro_regimes", "cnv_clique_score", "cnv_convergence_cliques", "cnv_detect", "drf_anomaly_digest", "drf_bocpd", "drf_bocpd_changepoints", "drf_hmm_regimes", "drf_power_spectrum",
-    "drf_regime_topology", "drf_scalogram", "drf_wasserstein_drift", "grf_probabilistic_resolution", "grf_surprise_clusters", "pfl_black_litterman", "pfl_hrp", "pfl_portfolio_weights", "pfl_robust_weights", "top_hybrid_rank",
+    "drf_regime_topology", "drf_scalogram", "drf_spectral_gap", "drf_wasserstein_drift", "grf_probabilistic_resolution", "grf_surprise_clusters", "pfl_black_litterman", "pfl_hrp", "pfl_portfolio_weights", "pfl_robust_weights", "top_hybrid_rank",
 ]
 
 
@@ -169,7 +169,8 @@ def test_hidden_regimes(run, frame):
 def test_topology(run, frame):
     b = frame("bars").dropna(subset=["ret"])
     b["q"] = pd.to_datetime(b.d).dt.to_period("Q").dt.start_time.dt.strftime("%Y-%m-%d")
-    got = run("drf_regime_topology").set_index("q")
+    got, gaps = run("drf_regime_topology").set_index("q"), run("drf_spectral_gap").set_index("q").gap
+    base = None
     assert set(got.index) == set(b.q)
     for q, g in list(b.groupby("q"))[:6]:
         wide = g.pivot_table(index="d", columns="brand", values="ret").fillna(0.0)
@@ -182,6 +183,13 @@ def test_topology(run, frame):
                 root = [root[i] if r == root[j] else r for r in root]
         p = np.array(tree) / max(sum(tree), 1e-12)
         assert got.loc[q].entropy == pytest.approx(-(p[p > 0] * np.log(p[p > 0])).sum(), abs=1e-5)
+        assert got.loc[q].components == sum(x > np.median(tree) for x in tree) + 1
+        base = tree if base is None else base
+        most = max(len(tree), len(base))
+        padded = [sorted(x, reverse=True) + [0.0] * (most - len(x)) for x in (tree, base)]
+        assert got.loc[q].distance == pytest.approx(max(abs(x - y) for x, y in zip(*padded)), abs=2e-6)
+        near = (dist < np.median(dist[~np.eye(len(dist), dtype=bool)])) & ~np.eye(len(dist), dtype=bool)
+        assert gaps[q] == pytest.approx(np.sort(np.linalg.eigvalsh(np.diag(near.sum(1)) - near))[1], abs=2e-3)
 
 
 def test_wasserstein_of_sources(run, frame):

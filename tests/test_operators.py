@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import drift, folds, graphs, joins, stats, vectors
+from tessella.operators import drift, folds, graphs, joins, stats, topology, vectors
 from tessella.plans.ranking import diversified
 from tessella.plans.series import dedupe_latest, trailing_run, z_against, before
 from tessella.sources import store
@@ -252,3 +252,30 @@ def test_the_shared_folder(spark, monkeypatch):
         session.shared_dir(far)
     far.conf.get = lambda k, d: "hdfs:///shared/"
     assert session.shared_dir(far) == "hdfs:///shared"
+
+
+def test_topology_against_dense_solvers(spark):
+    rng = np.random.default_rng(3)
+    rows, dense = [], {}
+    for g, n in (("a", 9), ("b", 14), ("c", 2), ("d", 6), ("ties", 8)):
+        x = rng.random((n, 2))
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) if g != "ties" else np.where(np.eye(n), 0.0, 0.5 + (np.add.outer(np.arange(n), np.arange(n)) % 2) * 0.25)
+        dense[g] = dist
+        rows += [(g, f"p{i:02}", f"p{j:02}", float(dist[i, j])) for i in range(n) for j in range(n) if i != j]
+    df = spark.createDataFrame(rows, "g string, a string, b string, dist double").cache()
+    for epsilon in (0.35, 0.01):
+        got = {r.g: r.gap for r in topology.spectral_gap(df, epsilon).collect()}
+        for g, dist in dense.items():
+            near = (dist < epsilon) & ~np.eye(len(dist), dtype=bool)
+            want = np.sort(np.linalg.eigvalsh(np.diag(near.sum(1)) - near))[1] if len(dist) > 2 else 0.0
+            assert got[g] == pytest.approx(max(0.0, want), abs=2e-3)  # isolated points and pieces give 0
+    trees = {r.g: r.deaths for r in topology.persistence(df).collect()}
+    for g, dist in dense.items():
+        root, tree = list(range(len(dist))), []
+        for w, i, j in sorted((dist[i, j], i, j) for i in range(len(dist)) for j in range(i + 1, len(dist))):
+            if root[i] != root[j]:
+                tree.append(w)
+                root = [root[i] if r == root[j] else r for r in root]
+        assert trees[g] == pytest.approx(tree)
+    d = spark.createDataFrame([([0.1, 0.5], [0.2]), ([], []), ([1.0], [0.25, 0.5, 3.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in d.select(topology.matching_distance(F.col("a"), F.col("b"))).collect()] == [0.3, 0.0, 2.0]
