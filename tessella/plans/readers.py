@@ -10,6 +10,7 @@ from ..operators.graphs import components
 from ..registry import query
 from ..session import new_path, written
 from ..sources import files, store
+from ..sources.tables import PartitionedTable
 from .views import bars, entities, obs, positioning, table
 
 
@@ -187,9 +188,12 @@ def src_append_observations(spark, d):
 @query("""WITH b AS (SELECT entity_type AS variable_name, entity_id AS version, name AS value, 1 AS k FROM entities UNION ALL SELECT entity_type, entity_id, 'new ' || name, 2 FROM entities WHERE entity_type <> 'customer')
 SELECT variable_name, version, arg_max(value, k) AS value FROM b GROUP BY 1, 2""")
 def src_upsert_beliefs(spark, d):
+    """A table partitioned by variable; a batch for all but one of them is written over its keys, and the table read back."""
     e = entities(spark, d).select(F.col("entity_type").alias("variable_name"), F.col("entity_id").alias("version"), F.lit("1999-01-01").alias("effective_at"), F.col("name").alias("value"), F.lit(1).alias("at"))
     new = e.where("variable_name <> 'customer'").withColumn("value", F.concat(F.lit("new "), "value")).withColumn("at", F.lit(2))
-    return store.upsert(e, new, ["variable_name", "version", "effective_at"], "at").select("variable_name", "version", "value")
+    t = PartitionedTable.create(e, ["variable_name"])
+    t.upsert(new, ["variable_name", "version", "effective_at"], "at")
+    return t.read().select("variable_name", "version", "value")
 
 
 @query("""WITH d AS (SELECT entity_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM obs GROUP BY 1, 2) SELECT 'daily_mean' AS feature, entity_id, concat('', day) AS effective_at, round(v, 6) AS value, NULL AS missing_reason FROM d

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import store
+from ..sources.tables import PartitionedTable
 from .views import bars, country_events, entities, links, obs, series, table
 
 
@@ -68,12 +69,15 @@ def src_read_links(spark, d):
     return store.page(store.given(links(spark, d), link_type="located_in", least_confidence=0.5), ["entity_a", "entity_b"], 30, 5)
 
 
-@query(f"""WITH {FEATURES}, r AS (SELECT *, row_number() OVER (PARTITION BY name, version, effective_at ORDER BY computed_at DESC) AS k FROM f WHERE value > 0)
+@query(f"""WITH {FEATURES}, o AS (SELECT * FROM f WHERE computed_at % 2 = 0 UNION ALL SELECT * FROM f WHERE computed_at % 2 = 1 AND value > 5000 AND name < 10), r AS (SELECT *, row_number() OVER (PARTITION BY name, version, effective_at ORDER BY computed_at DESC) AS k FROM o)
 SELECT name, version, CAST(effective_at AS VARCHAR) AS effective_at, computed_at, value FROM r WHERE k = 1""")
 def src_upsert_features(spark, d):
-    f = features(spark, d).where("value > 0")
-    out = store.upsert(f.where("computed_at % 2 = 0"), f.where("computed_at % 2 = 1"), ["name", "version", "effective_at"], "computed_at")
-    return out.select("name", "version", F.col("effective_at").cast("string"), "computed_at", "value")
+    """A table partitioned by name; a batch for ten names, of which invalid rows are left out, replaces older rows of its keys. The table is then read back."""
+    keys = ["name", "version", "effective_at"]
+    first = features(spark, d).where("computed_at % 2 = 0")
+    t = PartitionedTable.create(store.upsert(first.limit(0), first, keys, "computed_at"), ["name"])
+    t.upsert(features(spark, d).where("computed_at % 2 = 1 and name < 10"), keys, "computed_at", valid=F.col("value") > 5000)
+    return t.read().select("name", "version", F.col("effective_at").cast("string"), "computed_at", "value")
 
 
 @query("SELECT entity_id, name FROM entities WHERE name <> '' AND entity_id NOT IN (SELECT entity_id FROM entities WHERE entity_type IN ('nation', 'region'))")
@@ -94,14 +98,22 @@ def src_link_entities(spark, d):
     return store.insert_ignore(k.where("link_type = 'part_of'"), k.union(k).where("entity_a <> entity_b"), ["entity_a", "entity_b", "link_type"], ["confidence"]).select("entity_a", "entity_b", "link_type")
 
 
-@query("SELECT obs_id, entity_id FROM obs WHERE NOT (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20')")
+@query("SELECT obs_id, entity_id FROM obs WHERE NOT (ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-20 18:00:00')")
 def src_delete_alerts(spark, d):
-    return store.delete_range(obs(spark, d), "2024-01-10", "2024-01-20").select("obs_id", "entity_id")
+    """Alerts by day; those of a half-open range go, whole days with their folders, and the table is read back."""
+    t = PartitionedTable.create(obs(spark, d).select("obs_id", "entity_id", "ts", F.to_date("ts").alias("day")), ["day"])
+    since, until = (F.lit(x).cast("timestamp") for x in ("2024-01-10 06:00:00", "2024-01-20 18:00:00"))
+    t.delete((F.col("ts") >= since) & (F.col("ts") < until))
+    return t.read().select("obs_id", "entity_id")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE true) AS stale FROM series")
+@query("SELECT o_custkey % 40 AS variable, o_orderkey AS version, true AS stale, o_custkey % 40 >= 20 AS changed FROM orders")
 def src_mark_beliefs_stale(spark, d):
-    return series(spark, d).withColumn("stale", F.lit(True)).agg(F.count("*").alias("n"), F.count_if(F.col("stale")).alias("stale"))
+    """All beliefs that aren't stale yet become so; partitions in which all are keep their files. `changed` tells which were not."""
+    b = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("variable"), F.col("o_orderkey").alias("version"), (F.col("o_custkey") % 40 < 20).alias("stale"), F.lit(False).alias("changed"))
+    t = PartitionedTable.create(b, ["variable"])
+    t.update(~F.col("stale"), stale=F.lit(True), changed=F.lit(True))
+    return t.read().select("variable", "version", "stale", "changed")
 
 
 @query("""SELECT o_orderkey AS id, o_totalprice AS reward, 'completed' AS state FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')

@@ -53,8 +53,8 @@ def delete_range(df: DataFrame, since, until, ts: str = "ts") -> DataFrame:
 
 
 def append(df: DataFrame, path: str, ts: str = "ts", source: str = "source") -> None:
-    """Append-only, partitioned by source and day, so reads of a source and a time range prune."""
-    df.withColumn("obs_date", F.to_date(ts)).repartition(source, "obs_date").write.mode("append").partitionBy(source, "obs_date").parquet(path)
+    """Append-only, partitioned by source and day, so reads of a source and a time range prune. Rebalancing splits a busy source's day over tasks."""
+    df.withColumn("obs_date", F.to_date(ts)).hint("rebalance", source, "obs_date").write.mode("append").partitionBy(source, "obs_date").parquet(path)
 
 
 def complete_pending(pending: DataFrame, outcomes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -279,3 +279,38 @@ def test_topology_against_dense_solvers(spark):
         assert trees[g] == pytest.approx(tree)
     d = spark.createDataFrame([([0.1, 0.5], [0.2]), ([], []), ([1.0], [0.25, 0.5, 3.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in d.select(topology.matching_distance(F.col("a"), F.col("b"))).collect()] == [0.3, 0.0, 2.0]
+
+
+def test_keyed_writes_touch_only_their_partitions(spark, tmp_path):
+    from tessella.sources.tables import PartitionedTable
+
+    rows = [(p, k, 1, f"{p}{k}") for p in ("a", "b", "c", None, "d=/ e") for k in range(20)]
+    path = str(tmp_path / "t")
+    t = PartitionedTable.create(spark.createDataFrame(rows, "p string, k int, v int, x string"), ["p"], path)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+
+    def of(*names):
+        return {f: t for f, t in files().items() if f.parent.name in names}
+
+    before = files()
+    new = spark.createDataFrame([("b", 3, 2, "newer"), ("b", 4, 0, "older"), ("b", 50, 1, "added"), ("b", 3, 1, "equal loses"), (None, 7, 2, "of none"), ("z", 1, 1, "fresh"), ("a", 1, 9, "bad")], "p string, k int, v int, x string")
+    for _ in range(2):  # once more changes nothing
+        t.upsert(new, ["p", "k"], "v", valid=F.col("x") != "bad")
+        want = {(p, k): x for p, k, _, x in rows} | {("b", 3): "newer", ("b", 50): "added", (None, 7): "of none", ("z", 1): "fresh"}
+        assert sorted(((r.p, r.k, r.x) for r in t.read().collect()), key=str) == sorted(((p, k, x) for (p, k), x in want.items()), key=str)
+    kept = {f: m for f, m in before.items() if f.parent.name in ("p=a", "p=c") or "e" in f.parent.name and "d" in f.parent.name and "DEFAULT" not in f.parent.name}
+    assert len(kept) >= 3 and kept.items() <= files().items()
+    others = {f: m for f, m in files().items() if f.parent.name not in ("p=c", "p=b")}
+    assert t.delete(((F.col("p") == "c") & (F.col("k") < 5)) | ((F.col("p") == "b"))) == 26
+    assert not of("p=b") and not (tmp_path / "t" / "p=b").exists() and {r.k for r in t.read().where("p = 'c'").collect()} == set(range(5, 20))
+    assert others.items() <= files().items()
+    assert t.delete(F.col("k") > 1000) == 0
+    others = {f: m for f, m in files().items() if f.parent.name != "p=c"}
+    assert t.update((F.col("p") == "c") & (F.col("k") > 17), v=F.lit(5)) == 2
+    assert {(r.k, r.v) for r in t.read().where("p = 'c' and k > 16").collect()} == {(17, 1), (18, 5), (19, 5)} and others.items() <= files().items()
+    with pytest.raises(ValueError):
+        t.upsert(new, ["k"], "v")
+    with pytest.raises(ValueError):
+        t.update(F.col("k") > 0, p=F.lit("q"))
