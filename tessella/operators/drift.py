@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after shifting the argument above 8."""
@@ -69,6 +71,30 @@ def wasserstein(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(F.transform(steps, area), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
+def sample_distances(rows: DataFrame, keys: list[str], value: str, in_a: Column, in_b: Column, buckets: int = 64) -> DataFrame:
+    """keys and w1, the area between the distribution functions of two samples of a key's rows, which may overlap.
+
+    Equal values are counted first. A key's values are then dealt into buckets by rough quantiles; running sums go within
+    buckets, on top of the buckets' totals, so the work is linear and a key with very many values is no single task. Null
+    values are left out; a key of which either sample is empty has no row.
+    """
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(one(in_a).alias("a"), one(in_b).alias("b")).where("a > 0 or b > 0")
+    counts = written(counts, "counts")
+    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    total = counts.groupBy(*keys).agg(F.percentile_approx("x", shares, 1000).alias("cuts"), F.sum("a").alias("na"), F.sum("b").alias("nb")).where("na > 0 and nb > 0")
+    dealt = written(counts.join(total, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts"), "dealt")
+    by_key = Window.partitionBy(*keys).orderBy("bucket")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("x").alias("least"))
+    sums = written(sums.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("sa", "sb")], F.lead("least").over(by_key).alias("following")), "buckets")
+    within = Window.partitionBy(*keys, "bucket").orderBy("x")
+    up = lambda c: F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"s{c}_before")
+    gap = F.coalesce(F.lead("x").over(within), F.col("following")) - F.col("x")
+    steps = dealt.join(sums, [*keys, "bucket"]).select(*keys, (F.abs(up("a") / F.col("na") - up("b") / F.col("nb")) * gap).alias("area"))
+    return steps.groupBy(*keys).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("w1"))
+
+
 def hmm_labels(x: np.ndarray, states: int = 2, rounds: int = 25) -> np.ndarray:
     """Gaussian hidden Markov labels by EM from quantile starts, states in order of their mean."""
     n = len(x)

@@ -51,16 +51,27 @@ def drf_edge_decay(spark, d):
     return g.select("brand", F.round("last", 5).alias("last"), F.round(drop, 5).alias("decay"), (drop >= 0.5).alias("decayed"))
 
 
-@query()
+DRIFT_DAYS = """e AS (SELECT entity_id AS source, CAST(ts AS DATE) AS day, count(*) AS n, avg(score) AS v FROM country_events GROUP BY 1, 2), dl AS (SELECT source, day, CAST(n AS DOUBLE) AS n, tanh(v / (abs(v) + 1)) AS m, day > max(day) OVER () - 30 AS recent, day > max(day) OVER () - 365 AS kept FROM e)"""
+
+
+@query(f"""WITH {DRIFT_DAYS}, x AS (SELECT source, 'n' AS c, n AS x, recent FROM dl WHERE kept UNION ALL SELECT source, 'm', m, recent FROM dl WHERE kept),
+k AS (SELECT source, c, x, count(*) FILTER (WHERE recent) AS a, count(*) AS b FROM x GROUP BY 1, 2, 3),
+f AS (SELECT source, c, sum(a) OVER w / sum(a) OVER (PARTITION BY source, c) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY source, c) AS fb, lead(x) OVER w - x AS gap FROM k WINDOW w AS (PARTITION BY source, c ORDER BY x)),
+w1 AS (SELECT source, c, coalesce(sum(abs(fa - fb) * gap), 0) AS w1 FROM f GROUP BY 1, 2), sd AS (SELECT source, c, stddev_samp(x) AS sd, count(*) FILTER (WHERE recent) AS short FROM x GROUP BY 1, 2),
+r AS (SELECT w1.source, avg(CASE WHEN sd > 1e-10 THEN w1 / sd ELSE w1 * 10 END) AS drift FROM w1 JOIN sd ON w1.source = sd.source AND w1.c = sd.c WHERE short > 0 GROUP BY 1) SELECT source, round(drift, 5) AS drift, round(drift, 5) > 1 AS alarm FROM r""")
 def drf_wasserstein_drift(spark, d):
-    """Daily count and mean of each source: the last ten days against all, by W1 over the baseline's deviation."""
-    daily = obs(spark, d).groupBy("source", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"), F.tanh(F.avg("value") / (F.abs(F.avg("value")) + 1)).alias("m"))
-    recent = F.col("day") > F.date_sub(F.max("day").over(Window.partitionBy("source")), 10)
-    x = daily.withColumn("recent", recent)
-    arr = lambda c, when: F.sort_array(F.collect_list(F.when(when, F.col(c)) if when is not None else F.col(c)))
-    g = x.groupBy("source").agg(*[f for c in ("n", "m") for f in (arr(c, F.col("recent")).alias(f"{c}0"), arr(c, None).alias(f"{c}1"), F.stddev_samp(c).alias(f"{c}s"))])
-    dist = lambda c: F.when(F.col(f"{c}s") > 1e-12, D.wasserstein(F.col(f"{c}0"), F.col(f"{c}1")) / F.col(f"{c}s")).otherwise(D.wasserstein(F.col(f"{c}0"), F.col(f"{c}1")) * 10)
-    return g.select("source", F.round((dist("n") + dist("m")) / 2, 6).alias("drift"), ((dist("n") + dist("m")) / 2 > 1).alias("alarm"))
+    """Daily count and bounded mean score of each country: the last 30 days against the last 365, by W1 over the baseline's deviation."""
+    e = country_events(spark, d).groupBy(F.col("entity_id").alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("v"))
+    e = written(e, "daily")
+    last = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    kept = e.join(last).where(F.col("day") > F.date_sub("last", 365)).withColumn("recent", F.col("day") > F.date_sub("last", 30))
+    both = F.explode(F.array(F.struct(F.lit("n").alias("c"), F.col("n").alias("x")), F.struct(F.lit("m").alias("c"), F.tanh(F.col("v") / (F.abs("v") + 1)).alias("x")))).alias("p")
+    x = written(kept.select("source", "recent", both).select("source", "recent", "p.c", "p.x"), "values")
+    w = D.sample_distances(x, ["source", "c"], "x", F.col("recent"), F.lit(True))
+    sd = x.groupBy("source", "c").agg(F.stddev_samp("x").alias("sd"))
+    each = w.join(sd, ["source", "c"]).select("source", F.when(F.col("sd") > 1e-10, F.col("w1") / F.col("sd")).otherwise(F.col("w1") * 10).alias("drift"))
+    g = each.groupBy("source").agg(F.round(F.avg("drift"), 5).alias("drift"))
+    return g.select("source", "drift", (F.col("drift") > 1).alias("alarm"))
 
 
 TAU = """jb AS (SELECT a.brand AS ba, b.brand AS bb, a.m, a.x, b.x AS y FROM mb a JOIN mb b ON a.m = b.m AND a.brand < b.brand)"""

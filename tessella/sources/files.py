@@ -177,11 +177,11 @@ def read_jsonstat(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, paths) -> DataFrame:
-    """Docket feed items: case number and debtor from the title, chapter from the description or the title."""
+    """Docket feed items: case number and debtor from the title, chapter (spelled out or short: "Chapter 11", "Ch. 11", "ch 7") from the description or the title."""
     items = xml(spark, paths, "item", "title string, link string, description string, pubDate string")
     title, text = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit("")))
     case = F.regexp_extract(title, r"^(\S*\d\S*)\s+(.+)$", 1)
-    chapter = lambda x: F.nullif(F.regexp_extract(x, r"(?i)chapter[:\s]+(\d+)", 1), F.lit(""))
+    chapter = lambda x: F.nullif(F.regexp_extract(x, r"(?i)\b(?:chapter|chap\.?|ch\.?)[:\s]*(\d{1,2})\b", 1), F.lit(""))
     when = F.try_to_timestamp(F.regexp_extract(F.col("pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
     return items.select(case.alias("case_number"), F.when(case != "", F.regexp_extract(title, r"^(\S*\d\S*)\s+(.+)$", 2)).otherwise(title).alias("debtor"), F.coalesce(chapter(text), chapter(title)).alias("chapter"), when.alias("published"), F.trim("link").alias("link"), F.substring(text, 1, 300).alias("description"))
 

@@ -16,7 +16,7 @@ from tessella.plans.graphs import _jaro_winkler
 
 CHECKED = [
     "agg_approx_distinct", "btx_block_bootstrap", "btx_convergence_scores", "btx_macro_backtest", "btx_macro_regimes", "cnv_clique_score", "cnv_convergence_cliques", "cnv_detect", "drf_anomaly_digest", "drf_bocpd", "drf_bocpd_changepoints", "drf_hmm_regimes", "drf_power_spectrum",
-    "drf_regime_topology", "drf_scalogram", "drf_spectral_gap", "drf_wasserstein_drift", "grf_probabilistic_resolution", "grf_surprise_clusters", "pfl_black_litterman", "pfl_hrp", "pfl_portfolio_weights", "pfl_robust_weights", "top_hybrid_rank",
+    "drf_regime_topology", "drf_scalogram", "drf_spectral_gap", "grf_probabilistic_resolution", "grf_surprise_clusters", "pfl_black_litterman", "pfl_hrp", "pfl_portfolio_weights", "pfl_robust_weights", "top_hybrid_rank",
 ]
 
 
@@ -192,28 +192,6 @@ def test_topology(run, frame):
         assert gaps[q] == pytest.approx(np.sort(np.linalg.eigvalsh(np.diag(near.sum(1)) - near))[1], abs=2e-3)
 
 
-def test_wasserstein_of_sources(run, frame):
-    o = frame("obs")
-    o["day"] = o.ts.dt.date
-    got = run("drf_wasserstein_drift").set_index("source").drift
-
-    def w1(a, b):
-        grid = np.sort(np.concatenate([a, b]))
-        cdf = lambda x: np.searchsorted(np.sort(x), grid[:-1], "right") / len(x)
-        return float((np.abs(cdf(a) - cdf(b)) * np.diff(grid)).sum())
-
-    for source, g in o.groupby("source"):
-        daily = g.groupby("day").value.agg(["count", "mean"]).sort_index()
-        daily["m"] = np.tanh(daily["mean"] / (daily["mean"].abs() + 1))
-        recent = pd.to_datetime(pd.Series(daily.index)) > pd.Timestamp(max(daily.index)) - pd.Timedelta(days=10)
-        total = 0.0
-        for c in ("count", "m"):
-            x = daily[c].to_numpy(float)
-            sd = x.std(ddof=1)
-            total += w1(x[recent.to_numpy()], x) / sd if sd > 1e-12 else w1(x[recent.to_numpy()], x) * 10
-        assert got[source] == pytest.approx(total / 2, abs=2e-5)
-
-
 def test_portfolios(run, spark, small):
     c = shrunk(spark, small).toPandas()
     names = sorted(set(c.a))

@@ -86,3 +86,10 @@ def test_feed(spark, put):
 def test_fires(spark, put):
     got = files.read_fire_csv(spark, put("h.csv", "latitude,longitude,brightness,confidence,frp,acq_date,acq_time\n1,2,300.5,80,12.5,2024-03-01,0100\nx,2,300,80,1,d,t\n1,2,300,n,1,d,t\n")).collect()
     assert [tuple(r)[:5] for r in got] == [(1.0, 2.0, 300.5, 80, 12.5)]
+
+
+def test_feed_chapters_in_all_spellings(spark, put):
+    texts = ["Ch. 11 Voluntary Petition", "chapter: 7", "Petition under CH 13", "Chap. 12", "ch.9 filing", "Church 11", "research 11 of it", "Chapter eleven", "ch 2024"]
+    doc = "<rss><channel>" + "".join(f"<item><title>24-{i} Debtor {i}</title><description>{t}</description></item>" for i, t in enumerate(texts)) + "</channel></rss>"
+    got = {r.case_number: r.chapter for r in files.read_feed(spark, put("feed.xml", doc)).collect()}
+    assert got == {"24-0": "11", "24-1": "7", "24-2": "13", "24-3": "12", "24-4": "9", "24-5": None, "24-6": None, "24-7": None, "24-8": None}

@@ -314,3 +314,21 @@ def test_keyed_writes_touch_only_their_partitions(spark, tmp_path):
         t.upsert(new, ["k"], "v")
     with pytest.raises(ValueError):
         t.update(F.col("k") > 0, p=F.lit("q"))
+
+
+def test_sample_distances(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(round(x, 2)) if k != "flat" else 1.0, bool(rng.random() < 0.3), bool(rng.random() < 0.8)) for k, n in (("many", 200), ("few", 7), ("flat", 40)) for x in rng.normal(0, 2, n)]
+    rows += [("one", 1.0, True, False), ("one", 4.0, False, True), ("none", 1.0, False, True), ("many", None, True, True)]
+    df = spark.createDataFrame(rows, "k string, x double, a boolean, b boolean")
+    arrays = df.where("x is not null").groupBy("k").agg(F.collect_list(F.when(F.col("a"), F.col("x"))).alias("a"), F.collect_list(F.when(F.col("b"), F.col("x"))).alias("b"))
+    want = {r.k: r.w for r in arrays.where("size(a) > 0 and size(b) > 0").select("k", drift.wasserstein(F.col("a"), F.col("b")).alias("w")).collect()}
+    for buckets in (2, 64):
+        got = {r.k: r.w1 for r in drift.sample_distances(df, ["k"], "x", F.col("a"), F.col("b"), buckets).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert want["one"] == 3.0 and want["flat"] == 0.0
+
+
+def test_sample_distances_of_a_million_values(spark):
+    df = spark.range(1_000_000).select(F.lit("s").alias("k"), (F.col("id") / 1e6).alias("x"), (F.col("id") % 2 == 0).alias("a"), (F.col("id") >= 500_000).alias("b"))
+    assert drift.sample_distances(df, ["k"], "x", F.col("a"), F.col("b")).first().w1 == pytest.approx(0.25, abs=1e-5)
