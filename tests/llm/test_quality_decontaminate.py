@@ -215,3 +215,70 @@ def test_a_benchmark_of_unspaced_and_repetitive_items_only():
     (long,) = D.leaks_in(["x" * 200_000], index, D.SIMILARITY)
     assert {x["item_id"] for x in long} == {50}
     assert D.leaks_in([unspaced(rng, 5000)], index, D.SIMILARITY) == [[]]
+
+
+def scalar_trees(x, y, trees, depth, rate):
+    """Boosted trees row by row over raw thresholds; the margin of each row."""
+    n, d = x.shape
+    base = float(np.log(y.mean() / (1 - y.mean())))
+    edges = [sorted({np.float32(q) for q in np.quantile(x[:, j], np.linspace(0, 1, Q.BINS + 1)[1:-1])}) for j in range(d)]
+    margin = [base] * n
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        g, h = [y[i] - p[i] for i in range(n)], [p[i] * (1 - p[i]) for i in range(n)]
+        total = lambda rows: (sum(g[i] for i in rows), sum(h[i] for i in rows))  # noqa: B023, E731
+        worth = lambda a, b: a * a / (b + Q.L2)
+
+        def grow(rows, level):
+            gain, cut = 1e-6, None
+            for j in range(d if level < depth else 0):
+                for e in edges[j]:
+                    left = [i for i in rows if x[i, j] <= e]
+                    if len(left) >= 10 and len(rows) - len(left) >= 10:
+                        (gl, hl), (ga, ha) = total(left), total(rows)  # noqa: B023
+                        better = worth(gl, hl) + worth(ga - gl, ha - hl) - worth(ga, ha)
+                        if better > gain * (1 + 1e-9):
+                            gain, cut = better, (left, [i for i in rows if x[i, j] > e])
+            if cut is None:
+                ga, ha = total(rows)  # noqa: B023
+                return {i: rate * ga / (ha + Q.L2) for i in rows}
+            return grow(cut[0], level + 1) | grow(cut[1], level + 1)
+
+        step = grow(list(range(n)), 0)
+        margin = [margin[i] + step[i] for i in range(n)]
+    return np.array(margin)
+
+
+def test_histogram_trees_against_a_scalar_booster():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(70, 3)).astype(np.float32)
+    x[:, 2] = np.round(x[:, 2])  # ties
+    y = ((x[:, 0] + 0.5 * x[:, 1] * (x[:, 2] > 0) + rng.normal(0, 0.3, 70)) > 0).astype(float)
+    model = Q.grow(x, y, trees=4, depth=2, rate=0.3)
+    assert np.allclose(model.raw(x), scalar_trees(x, y, 4, 2, 0.3), atol=1e-5)
+
+
+@pytest.mark.parametrize("text", ["", "One two two. THREE, four!\nA line 12 with | and http://x.y [z]\n\nOne two two", "é" * 40 + " ü\n" + "word " * 30, "a b c a b c a b c\ta\x07b\x7f"])
+def test_statistics_restated(text):
+    import math
+
+    got = dict(zip(Q.FEATURES, Q.statistics(text), strict=True))
+    raw = text.encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, m, size = max(1, len(words)), max(1, len(lines)), max(1, len(raw))
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    entropy = lambda items: -sum(c / len(items) * math.log(c / len(items)) for c in (items.count(x) for x in set(items)))
+    of = lambda chars: sum(b in chars for b in raw) / size
+    longest = lambda items: max((items.count(x) for x in set(items)), default=0)
+    sizes = [len(w) for w in words] or [0]
+    want = {
+        "log_chars": math.log(1 + len(raw)), "log_words": math.log(1 + len(words)), "log_lines": math.log(1 + len(lines)), "mean_word": sum(sizes) / len(sizes),
+        "sd_word": (sum((s - sum(sizes) / len(sizes)) ** 2 for s in sizes) / len(sizes)) ** 0.5, "upper": of(bytes(range(65, 91))), "digits": of(b"0123456789"), "spaces": of(b" \t\r\n"),
+        "dots": of(b"."), "commas": of(b","), "high_bytes": of(bytes(range(128, 256))), "marks": of(b"!#$%&*@~^"), "distinct_words": len(set(words)) / n, "top_word": longest(words) / n,
+        "distinct_lines": len(set(lines)) / m, "mean_line": sum(map(len, lines)) / m, "short_lines": sum(len(x) < 20 for x in lines) / m if lines else 1.0,
+        "distinct_grams": len(set(grams)) / max(1, len(grams)), "top_gram": longest(grams) / max(1, len(grams)), "word_entropy": entropy(words) if words else 0.0, "byte_entropy": entropy(list(raw)) if raw else 0.0,
+        "capital_words": sum(65 <= w[0] <= 90 for w in words) / n, "long_words": sum(s > 14 for s in sizes) / n, "bars": raw.count(b"|") / n, "links": (raw.count(b"http") + raw.count(b"www.")) / n,
+        "brackets": of(b"[]{}<>()"), "control": of(bytes(range(9)) + b"\x7f"), "vowels": of(b"aeiouAEIOU"), "repeated_half": sum(w in words[: len(words) // 2] for w in words[len(words) // 2 :]) / n,
+    }
+    for name, value in want.items():
+        assert got[name] == pytest.approx(value, abs=1e-9), name
