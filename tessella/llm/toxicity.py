@@ -212,10 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, unlabell
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and toxicity, from 0 to 1, a row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))  # a table of 2^BITS numbers and FEATURES weights
+    # plain data, as a broadcast reaches executors that have no copy of this package: a table of 2^BITS numbers and FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias, model.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
+        *parts, table = shared.value
+        model = Model(*parts)
         for piece in pieces(batches, 1, PIECE):
             s = model.score(*flat(piece.column(1).combine_chunks()), table)
             yield pa.RecordBatch.from_arrays([piece.column(0).combine_chunks(), pa.array(s, pa.float64())], ["doc_id", "toxicity"])

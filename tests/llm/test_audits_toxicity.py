@@ -229,3 +229,23 @@ def test_toxicity_edge_cases(spark, docs, no_docs, labels, rows):
     assert len(none.slot) == 0
     unlabelled = toxicity.fit(docs, labels.where("false"))
     assert all(r.toxicity < 0.02 for r in toxicity.scored(docs, unlabelled).collect())
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tessella.llm import queries
+from tessella.session import local_session
+spark = local_session("4", partitions=4)
+for f in (queries.op11_filter_audit, queries.op12_divergence_audit, queries.op13_toxicity):
+    assert f(spark, "/root/testdata/sf0.001").count() > 0
+"""
+    paths = [x for x in os.environ.get("PYTHONPATH", "").split(":") if x and os.path.abspath(x) != root]
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ":".join(paths)}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
