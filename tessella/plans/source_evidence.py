@@ -261,7 +261,7 @@ CASES = [
     Case("political_risk", "orders", {"candidate": "concat('Doe, ', k)", "total_spent": "n"}, "named_struct('result_type', element_at(array('expenditures', 'filings', 'candidates'), 1 + cast(g as int) % 3), 'records', rs, 'signals', named_struct('support_total', size(rs), 'oppose_total', 3, 'oppose_ratio', size(rs) % 4 / 4D, 'top_targets', rs, 'avg_cash_on_hand', size(rs), 'active_fundraisers', size(rs) % 9))", (
         Row("a", "'political_risk.ie_total_spend'", "c + 3", "1", "0.8", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 0"),
         Row("a", "'political_risk.oppose_ratio'", "c % 4 / 4", above("c % 4", "2", -1), "0.75", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 0 AND c % 4 > 0"),
-        Row("(SELECT g, b, k, n, row_number() OVER (PARTITION BY g, b ORDER BY n) AS i FROM b)", "'political_risk.target.doe_' || k", "n", "1", "0.7", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 0 AND i <= 3"),
+        Row("(SELECT g, b, k, n, row_number() OVER (PARTITION BY g, b ORDER BY n) AS i FROM b)", "'political_risk.target.doe_' || k", "n", "1", "0.7", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 0 AND i <= 3 AND n > 0"),
         Row("a", "'political_risk.avg_cash_on_hand'", "c", "0", "0.7", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 1"),
         Row("a", "'political_risk.active_fundraisers'", "c % 9", above("c % 9", "5"), "0.65", WORLD, WEEK, "CAST(g AS INTEGER) % 3 = 2 AND c % 9 > 0"),
     )),

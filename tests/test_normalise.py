@@ -47,8 +47,44 @@ def test_entities_aliases_links(landing):
     assert got == {(key("wallet", "a"), key("wallet", "b"), "transacts_with"), (key("wallet", "a"), key("wallet", "c"), "transacts_with"), (key("country", "US"), key("country", "CN"), "event_involves"), (key("company", "R"), key("company", "C"), "lobbies_for")}
 
 
-@pytest.mark.parametrize("spec", N.SPECS, ids=lambda s: f"{s.source}-{s.observation_type}")
+@pytest.mark.parametrize("spec", [s for s in N.SPECS if s.observation_type], ids=lambda s: f"{s.source}-{s.observation_type}")
 def test_every_spec_is_valid(landing, spec):
     assert N.observations(landing, [spec]).columns == N.OBSERVATION
     for k in spec.links:
         assert N.links(landing, [spec]).columns == ["entity_a", "entity_b", "link_type", "confidence"]
+
+
+def land(spark, *rows):
+    return spark.createDataFrame([(s, 77.0, json.dumps(p)) for s, p in rows], "source string, fetched_at double, data string")
+
+
+def test_links_by_lookup_tables(spark):
+    landing = land(
+        spark,
+        ("cert_transparency", {"domain": "api.Stripe.com", "certs": [{"common_name": "x"}, {"common_name": "y"}]}),
+        ("dns_monitor", {"domain": "localhost", "analysis": {"record_count": 1}}),
+        ("polymarket", {"markets": [{"condition_id": "m", "category": "fed"}, {"condition_id": "n"}, {"condition_id": "o", "category": "other"}]}),
+        ("sanctions_monitor", {"records": [{"source": "ofac", "entity_id": "1", "programs": ["iran", "IRAN", "?"]}, {"source": "ofac", "entity_id": "2", "programs": None}]}),
+    )
+    table = lambda *rows: spark.createDataFrame(rows, "code string, target string")
+    tables = {"domain_company": table(("stripe", "STRIPE"), ("localhost", "LOCAL")), "topic_instrument": table(("fed", "TLT"), ("fed", "SPY")), "program_country": table(("IRAN", "ir"))}
+    got = {(r.entity_a, r.entity_b, r.link_type, r.confidence) for r in N.links(landing, N.SPECS, tables).collect()}
+    assert got == {
+        (key("domain", "api.Stripe.com"), key("company", "STRIPE"), "domain_owned_by", 0.8), (key("domain", "localhost"), key("company", "LOCAL"), "domain_owned_by", 0.8),
+        (key("topic", "m"), key("instrument", "TLT"), "topic_relates_to_instrument", 0.7), (key("topic", "m"), key("instrument", "SPY"), "topic_relates_to_instrument", 0.7),
+        (key("sanctioned", "ofac:1"), key("country", "ir"), "sanctioned_under", 0.95),
+    }
+    assert N.links(landing, N.SPECS).count() == 0
+
+
+def test_instruments(spark):
+    bars = [{"date": f"2024-01-{i:02d}", "close": float(c), "volume": v, "high": c + 1.0, "low": c - 1.0} for i, c, v in ((1, 8, 10), (2, 16, 20), (3, 8, None))]
+    landing = land(spark, ("instrument_universe", {"histories": [{"ticker": "ab", "bars": [*bars, {"date": "2024-01-04"}]}, {"ticker": "one", "bars": bars[:1]}, {"ticker": "none", "bars": []}]}), ("instrument_universe", {"instruments": [{"ticker": "ab", "issuer": " Acme ", "country": "US", "quote_country": "JP"}, {"ticker": "cd", "protocol": "aave"}]}), ("energy_supply", {"rigs": [{"period": "2024-03", "value": 5.0}, {"period": " "}]}))
+    got = {(r.entity_key, r.observation_type): (json.loads(r.value_json), r.observed_at) for r in N.observations(landing, N.SPECS).collect()}
+    assert got.keys() == {("AB", "instrument_return"), ("AB", "instrument_volume"), ("AB", "instrument_volatility"), ("ONE", "instrument_volume"), ("rig_count", "rig_count")}
+    assert got["AB", "instrument_return"][0] == pytest.approx({"log_return": -0.6931471805599453, "close": 8.0}) and got["AB", "instrument_return"][1] == 1704240000.0
+    assert got["AB", "instrument_volume"][0] == {"volume": 0.0, "avg_volume_20d": 10.0}
+    assert got["AB", "instrument_volatility"][0] == pytest.approx({"realized_vol_20d": 0.6931471805599453 * 252**0.5, "intraday_range": 2.0})
+    assert got["rig_count", "rig_count"] == ({"mode": "rig_count", "period": "2024-03", "value": 5.0}, 1709251200.0)
+    links = {(r.entity_a, r.entity_b, r.link_type) for r in N.links(landing, N.SPECS).collect()}
+    assert links == {(key("instrument", "AB"), key("company", "Acme"), "tracks_issuer"), (key("instrument", "AB"), key("country", "US"), "located_in"), (key("company", "Acme"), key("country", "US"), "located_in"), (key("instrument", "AB"), key("country", "JP"), "fx_quote_country"), (key("instrument", "CD"), key("protocol", "aave"), "tracks_protocol")}
