@@ -59,6 +59,7 @@ ENTRIES = [
     Entry("bankruptcy_court", "bankruptcy_status", "orders", {"debtor_name": "concat(' ', k, ' ')", "chapter": "kind", "court": "g", "case_number": "o", "pub_date": DAY}, "named_struct('entries', rs)", "company", {"case_number": (S, "o"), "chapter": (S, "kind"), "pub_date": (S, DAY)}),
     Entry("capital_flows", "capital_flow", "nation", {"country_code": "k", "country": "o", "latest_value_billions": "v", "mom_change_pct": "w"}, "named_struct('holdings', rs)", "country", {"latest_value": (D, "v"), "mom_change_pct": (D, "w"), "series": (S, "o")}),
     Entry("central_bank_balance", "cb_balance_sheet", "positioning", {"country_code": "k", "code": "o", "native_trillions": "v", "usd_trillions": "w", "wow_pct": "x"}, "named_struct('banks', rs)", "country", {"cb_code": (S, "o"), "native_trillions": (D, "v"), "wow_pct": (D, "x")}),
+    Entry("central_bank_balance", "cb_policy_rate", "positioning", {"country_code": "k", "code": "o", "current_rate": "v / 8", "last_change_date": DAY, "last_change_bps": "x", "days_since_change": "n"}, "named_struct('rates', rs)", "country", {"cb_code": (S, "o"), "current_rate": (D, "v / 8"), "last_change_bps": (D, "x"), "days_since_change": (L, "n")}),
     Entry("cert_transparency", "cert_issued", "orders", {"entry_timestamp": ISO, "is_expired": "n % 3 = 0", "common_name": "k", "issuer_name": "kind"}, "named_struct('domain', g, 'certs', rs)", "domain", {"common_name": (S, "k"), "issuer_name": (S, "kind")}, key="g", time=DAY),
     Entry("cftc", "futures_positioning", "positioning", {"code": "concat(k, ' ')", "market": "o", "report_date": DAY, "open_interest": "v", "mm_net": "w - x", "pm_net": "x - w", "ticker": "o"}, "named_struct('rows', rs)", "cftc_contract", {"open_interest": (D, "v"), "mm_net": (D, "w - x"), "pm_net": (D, "x - w")}, time=DAY, links=(("cftc_tracks", "instrument", "o"),)),
     Entry("comtrade", "trade_flow", "nation", {"commodity_code": "'85'", "trade_value_usd": "v", "period": DAY}, "named_struct('reporter', concat(' ', lower(g)), 'partner', rs[0].period, 'flow', 'X', 'records', rs)", "country", {"trade_value_usd": (D, "v"), "record_count": (L, "1"), "partner": (S, DAY)}, key="upper(k)"),
@@ -72,6 +73,7 @@ ENTRIES = [
     Entry("earthquake_proximity", "earthquake", "obs", {"id": "concat('q', n)", "properties": "named_struct('mag', v, 'place', k, 'time', 1.6e12 + n * 1000.0)", "geometry": "named_struct('coordinates', array(w, x, v))"}, "named_struct('features', rs)", "earthquake", {"magnitude": (D, "v"), "lon": (D, "w"), "lat": (D, "x"), "depth": (D, "v")}, key="concat('q', n)", time="seconds:1600000000 + n"),
     Entry("electricity_monitor", "grid_demand", "nation", {"x": "n"}, "named_struct('region', g, 'region_name', concat('r', g), 'mode', 'demand')", "organization", {"region_name": (S, "concat('r', g)"), "mode": (S, "'demand'")}, key="g", alone=True),
     Entry("energy_supply", "petroleum_inventory", "bars", {"name": "k", "values": "array(named_struct('period', 'p0', 'value', w), named_struct('period', day, 'value', v))"}, "named_struct('series', rs)", "energy_series", {"latest": (D, "v"), "period": (S, DAY), "periods": (L, "2")}),
+    Entry("energy_supply", "rig_count", "bars", {"period": "concat(' ', substr(day, 1, 7))", "value": "n", "units": "k"}, "named_struct('rigs', rs)", "energy_series", {"period": (S, "substr(day, 1, 7)"), "value": (D, "n"), "units": (S, "k")}, key="'rig_count'", time="substr(day, 1, 7) || '-01'"),
     Entry("finra_short_volume", "short_interest", "bars", {"symbol": "lower(k)", "settlement_date": DAY, "short_volume": "w", "total_volume": "w + x", "short_ratio": "v", "days_to_cover": "x"}, "named_struct('records', rs)", "instrument", {"short_volume": (D, "w"), "total_volume": (D, "w + x"), "short_ratio": (D, "v")}, key="upper(k)", time=DAY),
     Entry("foia_requests", "investigation_signal", "orders", {"entity": "concat(k, '  ')", "source": "'foia'", "agency": "kind", "jurisdiction": "g", "date_filed": DAY, "status": "o"}, "named_struct('records', rs)", "company", {"agency": (S, "kind"), "date_filed": (S, DAY), "status": (S, "o")}),
     Entry("food_security", "food_security", "nation", {"yoy_change_pct": "v", "trend_direction": "o", "consecutive_years": "n", "stress_alert": "n > 9"}, "named_struct('country', g, 'mode', 'production', 'indicator', 'food', 'latest_value', rs[0].yoy_change_pct * 2, 'latest_year', 2001, 'signals', rs[0])", "country", {"yoy_change_pct": (D, "v"), "consecutive_years": (L, "n"), "latest_value": (D, "v * 2")}, key="g", alone=True),
