@@ -199,4 +199,6 @@ def links(landing: DataFrame, specs: list[Spec], lookups: dict[str, DataFrame] |
                 part = part.distinct().join(lookups[k.lookup].select(F.col("code").alias("to"), "target").distinct(), "to").select("entity_a", F.col("target").alias("to"))
             part = part.select("entity_a", entity_key(F.lit(k.to_type), F.col("to")).alias("entity_b"), F.lit(k.kind).alias("link_type"), F.lit(k.confidence).alias("confidence"))
             out = part if out is None else out.union(part)
+    if out is None:
+        return landing.sparkSession.createDataFrame([], "entity_a string, entity_b string, link_type string, confidence double")
     return out.where("entity_a <> entity_b").distinct()
