@@ -273,7 +273,10 @@ def mkt_dividend_block(spark, d):
     """Three features of the latest dividend of an entity: zeros where there is none."""
     from .views import table
 
-    last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("x"))
-    v = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("amount", F.least(F.greatest(F.col("x") / 5000, F.lit(0.0)), F.lit(100.0)))
+    # greatest and least pass over nulls, so an entity without an amount is told before them
+    paid = table(spark, d, "orders").where("o_totalprice is not null")
+    last = paid.groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("x"))
+    amount = F.when(F.col("x").isNotNull(), F.least(F.greatest(F.col("x") / 5000, F.lit(0.0)), F.lit(100.0)))
+    v = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("amount", amount)
     proxy = F.when((F.col("amount") > 0) & (F.col("c_acctbal") > 1e-6), F.least(F.col("amount") * 4 / F.col("c_acctbal"), F.lit(0.5))).otherwise(0.0)
     return v.select("c_custkey", F.when(F.col("amount").isNull(), 0.0).otherwise(1.0).alias("present"), F.round(F.coalesce("amount", F.lit(0.0)), 6).alias("amount"), F.round(proxy, 6).alias("yield_proxy"))
