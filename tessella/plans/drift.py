@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators import topology
 from ..operators.joins import interval_join
+from ..operators.stats import weighted_quantile
 from ..registry import query
 from ..session import written
 from .joining import WIDE, linked, wide
@@ -340,13 +341,14 @@ def drf_lead_lag_rules(spark, d):
     """Of each source the event class that follows on the linked country most often, within a window from the lags themselves:
     their third quartile, or twice their mean, between an hour and a week; significant if more or fewer follow than evenly spread lags would."""
     week = 604_800.0
-    a = linked(wide(spark, d), links(spark, d), "headquartered_in")
-    e = country_events(spark, d).withColumnRenamed("entity_id", "entity_b")
-    j = interval_join(e, a, week, ["entity_b"], low=0.0).select(F.col("r.source").alias("src"), F.col("l.quad").alias("dst"), F.round("delta", 3).alias("lag"))
-    g = j.groupBy("src", "dst").agg(F.count("*").alias("n"), F.percentile("lag", 0.75).alias("p75"), F.avg("lag").alias("mean"))
+    # rows of one time and class have the same lags: they are counted before they are paired
+    a = written(linked(wide(spark, d), links(spark, d), "headquartered_in").groupBy("entity_b", "ts", "source").agg(F.count("*").alias("n")), "observed")
+    e = written(country_events(spark, d).withColumnRenamed("entity_id", "entity_b").groupBy("entity_b", "ts", "quad").agg(F.count("*").alias("n")), "happened")
+    j = interval_join(e, a, week, ["entity_b"], low=0.0).select(F.col("r.source").alias("src"), F.col("l.quad").alias("dst"), F.round("delta", 3).alias("lag"), (F.col("l.n") * F.col("r.n")).alias("c"))
+    g = weighted_quantile(j, ["src", "dst"], "lag", "c", 0.75).withColumnRenamed("quantile", "p75")
     own = F.when(F.col("p75") > 0, F.col("p75")).when(F.col("mean") > 0, 2 * F.col("mean")).otherwise(86_400.0)
     w = F.broadcast(g.withColumn("win", F.least(F.lit(week), F.greatest(F.lit(3_600.0), own))))  # a row for each source and class
-    c = j.join(w, ["src", "dst"]).where("lag <= win").groupBy("src", "dst").agg(F.first("win").alias("win"), F.first("n").alias("n"), F.count("*").alias("hits"))
+    c = j.join(w, ["src", "dst"]).where("lag <= win").groupBy("src", "dst").agg(F.first("win").alias("win"), F.first("n").alias("n"), F.sum("c").alias("hits"))
     even = F.col("n") * F.col("win") / week
     r = c.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("hits"), "dst"))).where("k = 1")
     return r.select("src", "dst", F.round("win", 2).alias("win_s"), "hits", (F.abs((F.col("hits") - even) / F.sqrt(even)) >= 1.96).alias("significant"))

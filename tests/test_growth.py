@@ -37,3 +37,27 @@ def test_dividend_block_takes_no_amount_for_absent(spark, small, tmp_path):
     want = c.execute(f"SELECT c_custkey, present, amount, yield_proxy FROM ({catalog.ORACLES['mkt_dividend_block']}) ORDER BY 1").fetchall()
     assert [tuple(r) for r in got.orderBy("c_custkey").collect()] == [tuple(map(float, r)) for r in want]
     assert [r[1] for r in want] == [0.0, 1.0, 0.0]
+
+
+def test_lead_lag_rules_count_copies_before_they_pair_them(spark, dense):
+    """Observations lie at 0, 2,490, .. 9,960 s of the first day, so only the second day's lines follow all of them."""
+    (r,) = catalog.QUERIES["drf_lead_lag_rules"](spark, dense).collect()
+    # the third quartile of five lags is the fourth; a fifth of the pairs lies beyond it
+    assert (r.src, r.dst, r.hits, r.win_s) == ("error", 3, 16_000 * 100_000, 86_400 - 2_490)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.75, 1.0])
+def test_weighted_quantile_is_that_of_the_repeated_rows(spark, q):
+    import numpy as np
+
+    from tessella.operators.stats import weighted_quantile
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v), int(w)) for k in ("a", "b") for v, w in zip(rng.integers(0, 40_000, 300) / 8, rng.integers(1, 50, 300), strict=True)]
+    rows += [("one", 7.5, 1), ("far", 0.0, 3), ("far", 1e6, 1)]
+    got = {r.k: r for r in weighted_quantile(spark.createDataFrame(rows, "k string, x double, c long"), ["k"], "x", "c", q).collect()}
+    for k in ("a", "b", "one", "far"):
+        each = np.repeat([x for key, x, _ in rows if key == k], [c for key, _, c in rows if key == k])
+        assert got[k].n == len(each)
+        assert got[k].quantile == pytest.approx(np.quantile(each, q))
+        assert got[k].mean == pytest.approx(each.mean())
