@@ -42,13 +42,18 @@ def wide(spark, d):
     return obs(spark, d).withColumn("ts", F.timestamp_micros(us))
 
 
+def closeness(window: float):
+    """Of a pair of an interval join: abs(score)/10 * max(0, 1 - |dt|/window)."""
+    return F.abs("r.score") / 10 * F.greatest(F.lit(0.0), 1 - F.abs("delta") / window)
+
+
 def event_scores(spark, d, window: float, least: float, source: str | None = None, weight=None):
-    """Observations paired with events of the linked country: abs(score)/10 * max(0, 1 - |dt|/window)."""
+    """Observations paired with events of the linked country, scored by closeness."""
     o = wide(spark, d)
     a = linked(o.where(F.col("source") == source) if source else o, links(spark, d), "headquartered_in")
     e = country_events(spark, d).where(F.col("score") <= least).withColumnRenamed("entity_id", "entity_b")
     out = interval_join(a, e, window, ["entity_b"])
-    s = F.abs("r.score") / 10 * F.greatest(F.lit(0.0), 1 - F.abs("delta") / window)
+    s = closeness(window)
     if weight is not None:
         s = s * weight
     return out.select(F.col("l.obs_id").alias("obs_id"), F.col("r.event_key").alias("event_key"), F.col("r.event_line").alias("event_line"), F.col("r.event_part").alias("event_part"), F.round("delta", 3).alias("delta"), F.round(s, 6).alias("score"))
@@ -79,7 +84,11 @@ def join_transfer_x_event(spark, d):
 
 @query(scored_sql(259200, -2) + " SELECT obs_id, count(*) AS patterns, max(score) AS best, 3 AS depth FROM sc WHERE score >= 0.5 GROUP BY 1")
 def join_store_l3(spark, d):
-    return join_insider_x_event(spark, d).where("score >= 0.5").groupBy("obs_id").agg(F.count("*").alias("patterns"), F.max("score").alias("best"), F.lit(3).alias("depth"))
+    """Events of one country, time and score pair alike: they are counted first, so pairs grow with the observations alone."""
+    a = linked(wide(spark, d), links(spark, d), "headquartered_in").select("obs_id", "ts", "entity_b")
+    e = country_events(spark, d).where("score <= -2").groupBy(F.col("entity_id").alias("entity_b"), "ts", "score").agg(F.count("*").alias("n"))
+    s = interval_join(a, e, 72 * HOURS, ["entity_b"]).select(F.col("l.obs_id").alias("obs_id"), F.col("r.n").alias("n"), F.round(closeness(72 * HOURS), 6).alias("score"))
+    return s.where("score >= 0.5").groupBy("obs_id").agg(F.sum("n").alias("patterns"), F.max("score").alias("best"), F.lit(3).alias("depth"))
 
 
 @query(f"""WITH {WIDE} SELECT a.obs_id AS obs_a, e.event_key, e.event_line, e.event_part, k.entity_b AS country, round(epoch(a.ts) - epoch(e.ts), 3) AS delta FROM wide a JOIN links k ON k.entity_a = a.entity_id

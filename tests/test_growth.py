@@ -61,3 +61,11 @@ def test_weighted_quantile_is_that_of_the_repeated_rows(spark, q):
         assert got[k].n == len(each)
         assert got[k].quantile == pytest.approx(np.quantile(each, q))
         assert got[k].mean == pytest.approx(each.mean())
+
+
+def test_store_l3_counts_events_before_it_pairs_them(spark, dense):
+    """20,000 observations near 200,000 events of the lowest score: four thousand million pairs, of a score of 0.5 or more all."""
+    got = catalog.QUERIES["join_store_l3"](spark, dense)
+    assert got.count() == 20_000
+    assert {r.patterns for r in got.select("patterns").distinct().collect()} == {200_000}
+    assert got.where("obs_id = 0").select("best").first()[0] == 1.0
