@@ -195,9 +195,10 @@ def drf_lag_distribution(spark, d):
 
 @query("""WITH e AS (SELECT entity_id, ts, quad FROM country_events) SELECT a.quad AS src, b.quad AS dst, count(*) AS n FROM e a JOIN e b ON a.entity_id = b.entity_id AND epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) - epoch_us(a.ts) <= 172800000000 GROUP BY 1, 2""")
 def drf_co_occurrence_table(spark, d):
-    e = country_events(spark, d).select("entity_id", "ts", "quad")
+    # events of one time and class have the same partners: they are counted before they are paired
+    e = country_events(spark, d).groupBy("entity_id", "ts", "quad").agg(F.count("*").alias("n"))
     p = interval_join(e, e, 172_800, ["entity_id"], low=0.0).where("delta > 0")  # l is the later one
-    return p.groupBy(F.col("r.quad").alias("src"), F.col("l.quad").alias("dst")).agg(F.count("*").alias("n"))
+    return p.groupBy(F.col("r.quad").alias("src"), F.col("l.quad").alias("dst")).agg(F.sum(F.col("l.n") * F.col("r.n")).alias("n"))
 
 
 @query("""WITH w AS (SELECT brand, d, trades >= 3 AS a, lead(volume) OVER (PARTITION BY brand ORDER BY bars.d) >= 60 AS b FROM bars), t AS (SELECT brand, count(*) FILTER (WHERE a AND b) AS ab, count(*) FILTER (WHERE a AND NOT b) AS an, count(*) FILTER (WHERE NOT a AND b) AS nb, count(*) FILTER (WHERE NOT a AND NOT b) AS nn FROM w WHERE b IS NOT NULL GROUP BY 1)

@@ -69,3 +69,8 @@ def test_store_l3_counts_events_before_it_pairs_them(spark, dense):
     assert got.count() == 20_000
     assert {r.patterns for r in got.select("patterns").distinct().collect()} == {200_000}
     assert got.where("obs_id = 0").select("best").first()[0] == 1.0
+
+
+def test_co_occurrence_table_counts_copies_before_it_pairs_them(spark, dense):
+    got = [tuple(r) for r in catalog.QUERIES["drf_co_occurrence_table"](spark, dense).select("src", "dst", "n").collect()]
+    assert got == [(2, 3, 100_000 * 100_000)]
