@@ -36,14 +36,19 @@ c AS (SELECT ticker, anchor, count(*) AS insiders, round(sum(v), 4) AS total FRO
 
 
 def clusters(spark, d, least: int):
-    """For each filing day of a ticker the distinct insiders of the next 14 days, the first filing of each counted."""
-    f = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 300).alias("ticker"), F.col("l_suppkey").alias("insider"), F.to_date("l_shipdate").alias("d")).agg(F.min("l_extendedprice").alias("v"))
-    a = f.select("ticker", F.col("d").alias("anchor"), F.expr("datediff(d, date '1970-01-01') div 15").alias("b")).distinct()
-    day = F.expr("datediff(d, date '1970-01-01')")
-    b = f.withColumn("b", F.explode(F.array(F.floor(day / 15), F.floor(day / 15) - 1)))
-    p = a.join(b, ["ticker", "b"]).where("d >= anchor and d <= date_add(anchor, 14)")
-    first = p.groupBy("ticker", "anchor", "insider").agg(F.min_by("v", "d").alias("v"))
-    return first.groupBy("ticker", "anchor").agg(F.count("*").alias("insiders"), F.round(F.sum("v"), 4).alias("total")).where(f"insiders >= {least}")
+    """For each filing day of a ticker the distinct insiders of the next 14 days, the first filing of each counted.
+
+    A filing is the first of its insider for the anchors after the insider's filing before and at most 14 days back, so
+    rows are shuffled once by insider and only sums by anchor again.
+    """
+    day = F.to_date("l_shipdate")
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 300).alias("ticker"), F.col("l_suppkey").alias("insider"), day.alias("d"), F.col("l_extendedprice").alias("v"))
+    f = rows.where("ticker is not null and d is not null").repartition("ticker", "insider").groupBy("ticker", "insider", "d").agg(F.min("v").alias("v"))
+    before = F.lag("d").over(Window.partitionBy("ticker", "insider").orderBy("d"))
+    anchors = F.sequence(F.greatest(F.date_add(before, 1), F.date_sub("d", 14)), F.col("d"))
+    p = f.select("ticker", "d", "v", anchors.alias("anchors")).select("ticker", "d", "v", F.explode("anchors").alias("anchor"))
+    c = p.groupBy("ticker", "anchor").agg(F.count("*").alias("insiders"), F.round(F.sum("v"), 4).alias("total"), F.max(F.col("d") == F.col("anchor")).alias("filed"))
+    return c.where(F.col("filed") & (F.col("insiders") >= least)).drop("filed")
 
 
 @query(f"WITH {CLUSTER} SELECT ticker, CAST(anchor AS VARCHAR) AS anchor, insiders, total FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(insiders * total, 2) DESC, c.anchor) AS k FROM c WHERE insiders >= 3) WHERE k = 1")

@@ -74,3 +74,9 @@ def test_store_l3_counts_events_before_it_pairs_them(spark, dense):
 def test_co_occurrence_table_counts_copies_before_it_pairs_them(spark, dense):
     got = [tuple(r) for r in catalog.QUERIES["drf_co_occurrence_table"](spark, dense).select("src", "dst", "n").collect()]
     assert got == [(2, 3, 100_000 * 100_000)]
+
+
+@pytest.mark.parametrize("name", ["top_best_window_cluster", "top_best_sell_cluster"])
+def test_clusters_do_not_join_filings_to_anchors(spark, small, name):
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
