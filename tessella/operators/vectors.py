@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 
+#: Vectors of a batch and products of a tile at a time.
+ROWS, TILE = 2048, 1 << 19
+
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, digits: int = 6) -> DataFrame:
     """q, id, sim: the k most similar vectors of each query but itself; ties go to the smaller id.
 
-    Queries come to the driver a block at a time and are broadcast as one matrix; each batch of vectors keeps its own
-    best k of each query. A block's candidates are written before the next block is read, so one broadcast lives at a
+    Queries come to the driver a block at a time and are broadcast as one matrix; each task keeps the best k of each query
+    over its batches of vectors, which meet the matrix in tiles of at most TILE products. A block's candidates are written before the next block is read, so one broadcast lives at a
     time and the plan doesn't grow with the queries. Vectors that are null, hold nulls, or have another length than the
     first query are left out, and a vanishing norm has similarity 0.
     """
@@ -40,18 +43,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, qm = shared.value
+            top_ids, top_sims = np.zeros((len(qid), k), np.int64), np.full((len(qid), k), -2.0)
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                flat = batch.column(1).flatten().to_numpy()
-                sims = np.round(scaled(flat.reshape(len(ids), -1)) @ qm.T, digits)
-                sims[ids[:, None] == qid] = -2
-                best = [np.lexsort((ids, -sims[:, j]))[:k] for j in range(len(qid))]
-                q, i = np.repeat(qid, [len(b) for b in best]), np.concatenate(best)
-                s = sims[i, np.repeat(np.arange(len(qid)), [len(b) for b in best])]
-                keep = s > -2
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[i][keep]), pa.array(s[keep])], ["q", "id", "sim"])
+                every = batch.column(0).to_numpy()
+                flat = batch.column(1).flatten().to_numpy().reshape(len(every), -1) if len(every) else None
+                for at in range(0, len(every), ROWS):
+                    ids, e = every[at : at + ROWS], scaled(flat[at : at + ROWS])
+                    step = max(1, TILE // len(ids))
+                    for q in range(0, len(qid), step):
+                        part = slice(q, q + step)
+                        sims = np.round(qm[part] @ e.T, digits)
+                        sims[qid[part, None] == ids] = -2
+                        both = np.concatenate([top_sims[part], sims], axis=1)
+                        names = np.concatenate([top_ids[part], np.broadcast_to(ids, sims.shape)], axis=1)
+                        best = np.lexsort((names, -both), axis=1)[:, :k]
+                        top_sims[part], top_ids[part] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            keep = top_sims.ravel() > -2
+            if keep.any():
+                q = np.repeat(qid, k)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(top_ids.ravel()[keep]), pa.array(top_sims.ravel()[keep])], ["q", "id", "sim"])
 
         data.mapInArrow(run, schema).write.mode("append").parquet(path)
         shared.unpersist()

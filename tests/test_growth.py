@@ -80,3 +80,30 @@ def test_co_occurrence_table_counts_copies_before_it_pairs_them(spark, dense):
 def test_clusters_do_not_join_filings_to_anchors(spark, small, name):
     plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_nearest_keeps_the_best_of_a_task_in_small_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from tessella import session
+    from tessella.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", 32)
+    monkeypatch.setattr(vectors, "TILE", 256)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (600, 4)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sorted(tuple(r) for r in vectors.nearest(df, df.where("vec_id % 20 = 0"), 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.read.parquet(next(p for p in reversed(session._written[spark.sparkContext.applicationId]) if "/nearest-" in p)).count() == 30 * 5
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.where(n < 1e-12, 0.0, x / np.maximum(n, 1e-12))
+    want = []
+    for q in range(0, 600, 20):
+        s = np.round(u @ u[q], 6) + 0.0
+        want += [(q, i, s[i]) for i in sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:5]]
+    assert [(q, i) for q, i, _ in got] == [(q, i) for q, i, _ in sorted(want)]
+    assert [s for *_, s in got] == pytest.approx([s for *_, s in sorted(want)])
