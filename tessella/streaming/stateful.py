@@ -233,6 +233,19 @@ def persistence(min_periods: int = 2) -> Fold:
     return Fold("fingerprint string", "streak long", "cycle_us long, fingerprint string, streak long", step, kind="map")
 
 
+def persistence_parts(min_periods: int = 2) -> Fold:
+    """`persistence` where a key holds a part of the fingerprints, and so doesn't see every cycle: each row names the cycle before its own (-1: none)."""
+
+    def step(state, us, rows):
+        old, new = state or {}, {}
+        for f, before in rows:
+            streak, last = old.get(f, (0, None))
+            new[f] = (streak + 1 if last == before else 1, us)
+        return new, sorted((us, f, n) for f, (n, _) in new.items() if n >= min_periods)
+
+    return Fold("fingerprint string, before_us long", "streak long, last_us long", "cycle_us long, fingerprint string, streak long", step, kind="map")
+
+
 def failure_streaks(limit: int = 3) -> Fold:
     """`dropped` when a key has failed `limit` times in a row, `promoted` at its next success; failures is the streak that this ends or reaches."""
 

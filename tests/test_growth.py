@@ -124,3 +124,28 @@ def test_resolution_counts_levels_by_names(spark, small, tmp_path):
     assert got.count() == 20_000
     assert [r.p for r in got.select("p").distinct().collect()] == [round(odds / (1 + odds), 6)]
     assert got.where("a <> 7 and b <> 7").count() == 0
+
+
+def test_persistence_stream_deals_a_source_over_keys(spark, small, monkeypatch):
+    """No key of the stream may hold the rows of all fingerprints of a source."""
+    from tessella.plans import streams
+
+    seen = []
+    ran = streams.stateful.run
+    monkeypatch.setattr(streams.stateful, "run", lambda s: seen.append(ran(s)) or seen[-1])
+    out = catalog.QUERIES["str_persistence_stream"](spark, small)
+    assert out.count() > 0
+    held = streams.stateful.stored(spark, seen[0].marks)
+    sources = out.select("source").distinct().count()
+    assert held.select("key.key").distinct().count() > 5 * sources
+
+
+def test_persistence_parts_forgets_what_the_cycle_before_did_not_name():
+    from tessella.streaming import stateful
+
+    fold = stateful.persistence_parts(2)
+    state, out = fold.step(None, 10, [("a", -1), ("b", -1), ("a", -1)])
+    state, out = fold.step(state, 20, [("a", 10), ("c", 10)])
+    assert out == [(20, "a", 2)]
+    state, out = fold.step(state, 40, [("a", 30), ("b", 30)])  # the part saw nothing at 30, its source did
+    assert out == [] and state == {"a": (1, 40), "b": (1, 40)}
