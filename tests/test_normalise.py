@@ -88,3 +88,17 @@ def test_instruments(spark):
     assert got["rig_count", "rig_count"] == ({"mode": "rig_count", "period": "2024-03", "value": 5.0}, 1709251200.0)
     links = {(r.entity_a, r.entity_b, r.link_type) for r in N.links(landing, N.SPECS).collect()}
     assert links == {(key("instrument", "AB"), key("company", "Acme"), "tracks_issuer"), (key("instrument", "AB"), key("country", "US"), "located_in"), (key("company", "Acme"), key("country", "US"), "located_in"), (key("instrument", "AB"), key("country", "JP"), "fx_quote_country"), (key("instrument", "CD"), key("protocol", "aave"), "tracks_protocol")}
+
+
+def test_links_of_targets_with_several_codes_are_distinct(spark):
+    landing = land(spark, ("polymarket", {"markets": [{"condition_id": m, "category": c} for m, c in (("m", "fed"), ("m", "rates"), ("n", "rates"), ("n", "rates"), ("o", "other"))]}))
+    table = spark.createDataFrame([("fed", "TLT"), ("rates", "TLT"), ("rates", "TLT"), ("fed", "SPY"), (None, "SPY"), ("rates", "GLD"), ("fed", None)], "code string, target string")
+    got = sorted((r.entity_a, r.entity_b) for r in N.links(landing, N.SPECS, {"topic_instrument": table}).collect())
+    assert got == sorted((key("topic", m), key("instrument", i)) for m, i in (("m", "TLT"), ("m", "SPY"), ("m", "GLD"), ("n", "TLT"), ("n", "GLD")))
+
+
+def test_links_by_lookup_are_not_shuffled(spark, small):
+    from tessella import catalog
+
+    plan = catalog.QUERIES["nrm_polymarket_links"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not plan.startswith("Aggregate")
