@@ -12,6 +12,7 @@ returns is kept, None is deleted.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -61,18 +62,19 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(["us long", *filter(None, [self.fold.columns])]))
+        self.waiting = handle.getListState("waiting", "rows binary")
         if self.fold.kind == "map":
             self.state = handle.getMapState("state", "name string", self.fold.state)
         else:
             self.state = (handle.getListState if self.fold.kind == "list" else handle.getValueState)("state", self.fold.state)
 
     def load(self) -> Any:
-        if not self.state.exists():
-            return None
         if self.fold.kind == "map":
-            return {k[0]: tuple(v) for k, v in self.state.iterator()}
-        return [tuple(x) for x in self.state.get()] if self.fold.kind == "list" else tuple(self.state.get())
+            return {k[0]: tuple(v) for k, v in self.state.iterator()} if self.state.exists() else None
+        if self.fold.kind == "list":
+            return [tuple(x) for x in self.state.get()] or None
+        found = self.state.get()
+        return None if found is None else tuple(found)
 
     def save(self, old: Any, new: Any) -> None:
         if new == old:
@@ -88,10 +90,27 @@ class Ordered(StatefulProcessor):
         else:
             (self.state.put if self.fold.kind == "list" else self.state.update)(new)
 
-    def advance(self, key: tuple, added: Rows, watermark: int) -> Iterator[pd.DataFrame]:
+    def wait(self, added: Rows, timers: list[int]) -> None:
+        """Rows that all lie ahead of the watermark are put beside those that wait, unread."""
+        self.waiting.appendValue((pickle.dumps(added),))
+        self.wake(min(r[0] for r in added), timers, keep=True)
+
+    def wake(self, us: int | None, timers: list[int], keep: bool = False) -> None:
+        """The key's one timer, at us, or where it stands if it is to be kept and is earlier."""
+        at = None if us is None else -(-us // 1000)
+        if keep and timers:
+            at = min(at, *timers)
+        for t in timers:
+            if t != at:
+                self.handle.deleteTimer(t)
+        if at is not None and at not in timers:
+            self.handle.registerTimer(at)
+
+    def advance(self, key: tuple, added: Rows, watermark: int, timers: list[int]) -> Iterator[pd.DataFrame]:
         now = watermark * 1000
-        held = [tuple(x) for x in self.waiting.get()] + added if self.waiting.exists() else added
-        ready, left = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
+        held = [r for (rows,) in self.waiting.get() for r in pickle.loads(rows)]
+        rows = held + added
+        ready, left = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
         old = state = self.load()
         out: Rows = []
         for us, rows in groupby(ready, key=lambda r: r[0]):
@@ -103,25 +122,25 @@ class Ordered(StatefulProcessor):
             out += found
             due = None if state is None else self.fold.due(state)
         self.save(old, state)
-        if left:
-            self.waiting.put(left)
-        elif self.waiting.exists():
+        if left and left != held:
+            self.waiting.put([(pickle.dumps(left),)])
+        elif held and not left:
             self.waiting.clear()
-        for at in self.handle.listTimers():
-            self.handle.deleteTimer(at)
-        wake = [min(r[0] for r in left)] if left else []
-        wake += [due] if due is not None else []
-        if wake:
-            self.handle.registerTimer(-(-min(wake) // 1000))
+        self.wake(min([*(r[0] for r in left), *([] if due is None else [due])], default=None), timers)
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=self.out)
 
     def handleInputRows(self, key, rows, timerValues):
         added = [x for pdf in rows for x in zip(*(pdf[c].tolist() for c in ("us", *self.names)), strict=True)]
-        yield from self.advance(key, added, timerValues.getCurrentWatermarkInMs())
+        watermark, timers = timerValues.getCurrentWatermarkInMs(), list(self.handle.listTimers())
+        if all(r[0] > watermark * 1000 for r in added) and all(t > watermark for t in timers):
+            return self.wait(added, timers)
+        yield from self.advance(key, added, watermark, timers)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+        # Spark takes the expired timer away
+        timers = [t for t in self.handle.listTimers() if t != expiredTimerInfo.getExpiryTimeInMs()]
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs(), timers)
 
     def close(self) -> None:
         pass

@@ -149,3 +149,15 @@ def test_persistence_parts_forgets_what_the_cycle_before_did_not_name():
     assert out == [(20, "a", 2)]
     state, out = fold.step(state, 40, [("a", 30), ("b", 30)])  # the part saw nothing at 30, its source did
     assert out == [] and state == {"a": (1, 40), "b": (1, 40)}
+
+
+def test_rows_that_wait_for_the_watermark_are_one_value_of_a_key(spark, small, monkeypatch):
+    """A key's waiting rows were a state row each, written and read one by one."""
+    from tessella.plans import streams
+
+    seen = []
+    ran = streams.stateful.run
+    monkeypatch.setattr(streams.stateful, "run", lambda s: seen.append(ran(s)) or seen[-1])
+    catalog.QUERIES["str_heartbeat_stream"](spark, small)
+    held = streams.stateful.stored(spark, seen[0].marks, "waiting").groupBy("key").count().collect()
+    assert held and {r["count"] for r in held} == {1}
