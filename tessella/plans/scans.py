@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import parts
 from ..sources import store
 from ..sources.tables import PartitionedTable
 from .views import bars, country_events, entities, links, obs, series, table
@@ -119,10 +120,11 @@ def src_mark_beliefs_stale(spark, d):
 @query("""SELECT o_orderkey AS id, o_totalprice AS reward, 'completed' AS state FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 UNION ALL SELECT o_orderkey, o_totalprice, 'pending' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def src_complete_pending(spark, d):
-    pending = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("reward"))
-    outcomes = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct()
-    done, left = store.complete_pending(pending, outcomes, "id")
-    return done.withColumn("state", F.lit("completed")).union(left.withColumn("state", F.lit("pending")))
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n = parts(li)
+    pending = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("reward")).repartition(n, "id")
+    outcomes = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).repartition(n, "id").distinct()
+    return store.with_state(pending, outcomes, "id")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01')")

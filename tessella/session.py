@@ -67,3 +67,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a partition that `parts` aims at.
+PART_ROWS = 250_000
+
+
+def parts(df: DataFrame) -> int:
+    """So many partitions that one holds about PART_ROWS rows, and a task for each core at least: adaptive execution puts a shuffle
+    together to few partitions that grow with the table, but leaves numbers that are asked for. Parquet files tell their counts."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))

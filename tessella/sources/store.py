@@ -62,6 +62,12 @@ def complete_pending(pending: DataFrame, outcomes: DataFrame, key: str) -> tuple
     return pending.join(outcomes, key), pending.join(outcomes.select(key), key, "left_anti")
 
 
+def with_state(pending: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """Each pending row once, with its state: `completed` if outcomes, distinct by key, has it, else `pending`. One join, where `complete_pending` takes two."""
+    done = outcomes.select(key, F.lit("completed").alias("state"))
+    return pending.join(done, key, "left").withColumn("state", F.coalesce("state", F.lit("pending")))
+
+
 def messages(rules: dict[str, Column]) -> Column:
     """The names of the rules that a row breaks, in order."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

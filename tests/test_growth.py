@@ -161,3 +161,14 @@ def test_rows_that_wait_for_the_watermark_are_one_value_of_a_key(spark, small, m
     catalog.QUERIES["str_heartbeat_stream"](spark, small)
     held = streams.stateful.stored(spark, seen[0].marks, "waiting").groupBy("key").count().collect()
     assert held and {r["count"] for r in held} == {1}
+
+
+@pytest.mark.parametrize("name", ["src_complete_pending", "join_self_pair", "nrm_creditor_filings_links"])
+def test_tasks_stay_small_where_the_table_grows(spark, small, name, monkeypatch):
+    """Partitions were the session's, put together to few: their number has to follow the rows."""
+    from tessella import session
+
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    df = catalog.QUERIES[name](spark, small)
+    n = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 100)
+    assert "RepartitionByExpression" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and f"], {n}" in plan
