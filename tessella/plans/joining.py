@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import asof_join, equirect_km, interval_join, latest, proximity_join, seconds
 from ..registry import query
+from ..session import parts
 from .views import bars, country_events, entities, links, obs, obs_dup, positioning, series, table, trades
 
 HOURS = 3600.0
@@ -262,7 +263,8 @@ def join_bbox(spark, d):
 
 @query("SELECT a.l_partkey AS k1, b.l_partkey AS k2, count(DISTINCT a.l_orderkey) AS docs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2")
 def join_self_pair(spark, d):
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("k")).distinct()
+    li = table(spark, d, "lineitem")
+    m = li.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("k")).repartition(parts(li), "doc").distinct()
     p = m.withColumnRenamed("k", "k1").join(m.withColumnRenamed("k", "k2"), "doc").where("k1 < k2")
     return p.groupBy("k1", "k2").agg(F.count("*").alias("docs")).where("docs >= 2")
 
