@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import parts
 from ..sources import normalise
 from .views import bars, country_events, table, trades
 
@@ -114,7 +115,9 @@ def nrm_instrument_universe_links(spark, d):
 
 @query(f"{link(('company', "'o' || o_custkey"), ('company', "'h' || l_suppkey"), 'debtor_of')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def nrm_creditor_filings_links(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = table(spark, d, "lineitem")
+    n = parts(li)
+    j = li.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     charges = j.groupBy("o_custkey", "o_orderkey").agg(F.collect_set(F.concat(F.lit("h"), "l_suppkey")).alias("holders"))
     data = F.to_json(F.struct(F.concat(F.lit(" o"), "o_custkey").alias("company_name"), F.array(F.struct(F.lit("c").alias("charge_code"), "holders")).alias("charges")))
     return linked(charges.select(F.lit("creditor_filings").alias("source"), F.lit(1.7e9).alias("fetched_at"), data.alias("data")), "creditor_filings")

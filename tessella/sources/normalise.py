@@ -199,7 +199,8 @@ def links(landing: DataFrame, specs: list[Spec], lookups: dict[str, DataFrame] |
         part = parsed(landing, s).select(entity_key(F.lit(s.entity_type), F.col("key")).alias("entity_a"), to.alias("to")).where("to is not null and to <> ''")
         named = lambda rows, k=k: rows.select("entity_a", "entity_b", F.lit(k.kind).alias("link_type"), F.lit(k.confidence).alias("confidence")).where("entity_a <> entity_b")
         if not k.lookup:
-            loose.append(named(part.withColumn("entity_b", entity_key(F.lit(k.to_type), F.col("to")))))
+            pairs = part.select("entity_a", entity_key(F.lit(k.to_type), F.col("to")).alias("entity_b"))
+            apart.append(named(pairs.distinct())) if kinds.count(k.kind) == 1 else loose.append(named(pairs))
             continue
         part = part.distinct()
         targets = lookups[k.lookup].select(F.col("code").alias("to"), entity_key(F.lit(k.to_type), F.col("target")).alias("entity_b")).where("to is not null").distinct()
