@@ -172,3 +172,30 @@ def test_tasks_stay_small_where_the_table_grows(spark, small, name, monkeypatch)
     df = catalog.QUERIES[name](spark, small)
     n = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 100)
     assert "RepartitionByExpression" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and f"], {n}" in plan
+
+
+@pytest.mark.parametrize("name", ["join_insider_x_event", "join_transfer_x_event", "join_vessel_x_sanctions"])
+def test_alike_rows_meet_as_packs(spark, dense, tmp_path, monkeypatch, name):
+    """200 observations of five times and 20,000 events of two: they were joined row by row, now some forty packs meet."""
+    from tessella.operators import joins
+    from tessella.plans import joining
+
+    d, c = str(tmp_path), duckdb.connect()
+    made = {"events": f"SELECT * REPLACE (40.0 AS value) FROM '{dense}/events.parquet' WHERE event_id < 200", "lineitem": f"SELECT * REPLACE (3 AS l_linenumber) FROM '{dense}/lineitem.parquet' WHERE l_orderkey < 20000"}
+    for t in ("nation", "region", "part", "supplier", "customer", "lineitem", "events"):
+        made.setdefault(t, f"SELECT * FROM '{dense}/{t}.parquet'")
+        c.execute(f"COPY ({made[t]}) TO '{d}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sides = []
+    plain = joining.interval_join
+    monkeypatch.setattr(joining, "interval_join", lambda a, b, *args, **kw: sides.extend([a, b]) or plain(a, b, *args, **kw))
+    df = catalog.QUERIES[name](spark, d)
+    assert sides[0].count() <= 2 * 20_000 / joins.PACK and sides[1].count() == 5
+    assert max(len(r.rows) for r in sides[0].select("rows").collect()) < 1.5 * joins.PACK
+    # all pairs, by sums over them
+    sums = ", ".join(f"sum({x})" for x in df.columns if x != "country")
+    df.createOrReplaceTempView("packed_pairs")
+    got = spark.sql(f"SELECT count(*), {sums} FROM packed_pairs").first()
+    want = c.execute(f"SELECT count(*), {sums} FROM ({catalog.ORACLES[name]})").fetchone()
+    assert want[0] == 4_000_000
+    assert list(map(float, got)) == pytest.approx(list(map(float, want)), rel=1e-9)
