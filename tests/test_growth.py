@@ -174,14 +174,15 @@ def test_tasks_stay_small_where_the_table_grows(spark, small, name, monkeypatch)
     assert "RepartitionByExpression" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and f"], {n}" in plan
 
 
-@pytest.mark.parametrize("name", ["join_insider_x_event", "join_transfer_x_event", "join_vessel_x_sanctions"])
+@pytest.mark.parametrize("name", ["join_insider_x_event", "join_transfer_x_event", "join_vessel_x_sanctions", "join_linked_co_occurrence"])
 def test_alike_rows_meet_as_packs(spark, dense, tmp_path, monkeypatch, name):
     """200 observations of five times and 20,000 events of two: they were joined row by row, now some forty packs meet."""
     from tessella.operators import joins
     from tessella.plans import joining
 
     d, c = str(tmp_path), duckdb.connect()
-    made = {"events": f"SELECT * REPLACE (40.0 AS value) FROM '{dense}/events.parquet' WHERE event_id < 200", "lineitem": f"SELECT * REPLACE (3 AS l_linenumber) FROM '{dense}/lineitem.parquet' WHERE l_orderkey < 20000"}
+    kind = "purchase" if name == "join_linked_co_occurrence" else "error"
+    made = {"events": f"SELECT * REPLACE ('{kind}' AS event_type, 40.0 AS value) FROM '{dense}/events.parquet' WHERE event_id < 200", "lineitem": f"SELECT * REPLACE (3 AS l_linenumber) FROM '{dense}/lineitem.parquet' WHERE l_orderkey < 20000"}
     for t in ("nation", "region", "part", "supplier", "customer", "lineitem", "events"):
         made.setdefault(t, f"SELECT * FROM '{dense}/{t}.parquet'")
         c.execute(f"COPY ({made[t]}) TO '{d}/{t}.parquet' (FORMAT parquet)")
