@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import parts, written
 
 
 def components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
@@ -29,6 +29,26 @@ def components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     raise RuntimeError(f"the labels did not settle in {most} rounds")
 
 
+#: Passes of `block_components` over a block's cells.
+PASSES = 6
+
+
+def block_components(rows: DataFrame, node: str, block: str, one: str, other: str) -> DataFrame:
+    """block, one, other, root, last and further: the smallest and the largest node that rows of one block reach, where rows
+    that are equal in one or in the other column are linked.
+
+    Rows are first counted together to cells, one for each block and pair of values, so a block costs no more than these
+    however many rows it has. Cells are dealt by block once, and labels spread by windows within it, without a shuffle. A
+    chain too long for PASSES is left in parts, of which each has a root that links it to `further`; elsewhere further is the root.
+    """
+    cells = written(rows.groupBy(block, one, other).agg(F.min(node).alias("root"), F.max(node).alias("last")), "cells")
+    now = cells.repartition(parts(cells), block)
+    for x in [one, other] * PASSES:
+        w = Window.partitionBy(block, x)
+        now = now.withColumns({"root": F.min("root").over(w), "last": F.max("last").over(w)})
+    return written(now.withColumn("further", F.min("root").over(Window.partitionBy(block, one))), "cells")
+
+
 def peeled(edges: DataFrame) -> DataFrame:
     """node and layer: each round takes away the nodes of at most twice the mean degree, at least half of those left, so the
     rounds are few, and a node has at most four times as many neighbours in its own and later layers as the densest part has edges a node."""

@@ -200,3 +200,50 @@ def test_alike_rows_meet_as_packs(spark, dense, tmp_path, monkeypatch, name):
     want = c.execute(f"SELECT count(*), {sums} FROM ({catalog.ORACLES[name]})").fetchone()
     assert want[0] == 4_000_000
     assert list(map(float, got)) == pytest.approx(list(map(float, want)), rel=1e-9)
+
+
+def orders_sql(rows) -> str:
+    """Orders (key, customer, date, priority) as a VALUES list."""
+    put = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, CAST(o_orderpriority AS VARCHAR) AS o_orderpriority FROM (VALUES " + ", ".join(f"({', '.join(map(put, r))})" for r in rows) + ") t(o_orderkey, o_custkey, o_orderdate, o_orderpriority)"
+
+
+def resolved(spark, d, rows: str):
+    c = duckdb.connect()
+    c.execute(f"COPY ({rows}) TO '{d}/orders.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{d}/orders.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["grf_resolved_components"](spark, d).select("node", "root").collect())
+    return got, sorted(c.execute(f"SELECT node, root FROM ({catalog.ORACLES['grf_resolved_components']})").fetchall())
+
+
+ODD_ORDERS = {
+    "missing keys are one": [(1, 1, "1995-01-01", None), (2, 2, None, "a"), (3, None, "1996-01-01", "b"), (4, 2, "1997-01-01", "a"), (5, 9, "1995-01-01", "a")],
+    "an order of two customers": [(1, 1, "1995-01-01", "a"), (7, 1, "1995-01-09", "b"), (7, 2, "1996-01-01", "c"), (3, 2, "1996-01-02", "d"), (9, 3, "1995-01-01", "a"), (9, 4, "1995-01-01", "a")],
+    "a priority like a month": [(5, 1, "1995-01-01", "a"), (2, 1, "1999-01-01", "199501"), (8, 2, "1999-01-01", "199501")],
+    "no order": [],
+}
+
+
+@pytest.mark.parametrize("kind", ODD_ORDERS)
+def test_components_of_odd_orders(spark, small, tmp_path, kind):
+    rows = ODD_ORDERS[kind]
+    got, want = resolved(spark, str(tmp_path), orders_sql(rows) if rows else orders_sql([(1, 1, None, None)]) + " WHERE false")
+    assert got == want
+    assert bool(want) == bool(rows)
+
+
+@pytest.mark.parametrize("length", [10, 120])
+def test_components_spread_within_a_customer(spark, tmp_path, monkeypatch, length):
+    """A chain of months and priorities, the smallest order at its far end, and a customer of 20,000 orders in ten cells: one
+    shuffle by customer and no round of joins, but for chains longer than the passes."""
+    from tessella.plans import graphs
+
+    chain = [(1000 - i, 1, f"{1900 + (i + 1) // 2}-01-01", f"p{i // 2}") for i in range(length)]
+    joins = []
+    plain = graphs.components
+    monkeypatch.setattr(graphs, "components", lambda *a: joins.append(a) or plain(*a))
+    many = "SELECT 2000 + i, 2, TIMESTAMP '1995-01-01' + INTERVAL 40 DAY * CAST(i % 2 AS INTEGER), 'p' || (i % 10) FROM range(20000) t(i)"
+    duckdb.connect().execute(f"COPY ({orders_sql(chain)} UNION ALL {many}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    got = {r.root: r.n for r in catalog.QUERIES["grf_resolved_components"](spark, str(tmp_path)).groupBy("root").agg({"*": "count"}).toDF("root", "n").collect()}
+    assert got == {1001 - length: length, 2000: 10_000, 2001: 10_000}
+    assert len(joins) == (length > 10)
