@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import catalog
 
@@ -247,3 +248,34 @@ def test_components_spread_within_a_customer(spark, tmp_path, monkeypatch, lengt
     got = {r.root: r.n for r in catalog.QUERIES["grf_resolved_components"](spark, str(tmp_path)).groupBy("root").agg({"*": "count"}).toDF("root", "n").collect()}
     assert got == {1001 - length: length, 2000: 10_000, 2001: 10_000}
     assert len(joins) == (length > 10)
+
+
+@pytest.mark.parametrize("name", ["join_insider_x_event", "join_transfer_x_event", "join_vessel_x_sanctions"])
+def test_pairs_of_one_country_and_day_are_dealt(spark, dense, tmp_path, monkeypatch, name):
+    """1,000 observations of five times and 4,000 events of two days: two tasks made all pairs, a pair of packs up to 400,000 at once."""
+    from tessella import session
+    from tessella.operators import joins
+    from tessella.plans import joining
+
+    d, c = str(tmp_path), duckdb.connect()
+    made = {"events": f"SELECT * REPLACE (40.0 AS value) FROM '{dense}/events.parquet' WHERE event_id < 1000", "lineitem": f"SELECT * FROM '{dense}/lineitem.parquet' WHERE l_orderkey < 4000"}
+    for t in ("nation", "region", "part", "supplier", "customer", "lineitem", "events"):
+        made.setdefault(t, f"SELECT * FROM '{dense}/{t}.parquet'")
+        c.execute(f"COPY ({made[t]}) TO '{d}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    monkeypatch.setattr(joins, "PAIRS", 100_000, raising=False)
+    met = []
+    plain = joining.interval_join
+    monkeypatch.setattr(joining, "interval_join", lambda *args, **kw: met.append(plain(*args, **kw)) or met[0])
+    df = catalog.QUERIES[name](spark, d)
+    largest = met[0].selectExpr("max(size(l.rows))", "max(size(r.rows))").first()
+    assert max(largest) <= 64
+    by_task = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(by_task) == 4_000_000
+    assert max(by_task) < 1_000_000
+    sums = ", ".join(f"sum({x})" for x in df.columns)
+    df.createOrReplaceTempView("dealt_pairs")
+    got = spark.sql(f"SELECT count(*), count(DISTINCT obs_id, event_key), {sums} FROM dealt_pairs").first()
+    want = c.execute(f"SELECT count(*), count(DISTINCT (obs_id, event_key)), {sums} FROM ({catalog.ORACLES[name]})").fetchone()
+    assert list(map(float, got)) == pytest.approx(list(map(float, want)), rel=1e-9)
