@@ -10,8 +10,9 @@ blocks: two fingerprints within max_bits agree on all but max_bits blocks at
 least, so they share a group for certain. For many, they are sampled bits, and
 the number of tables follows from the recall wanted. The keys grow longer with
 the table (and so do the tables in number), so the mean group stays near GROUP
-whatever its size; a larger group is dealt as pairs of chunks, each a task's
-work of its own. (Pivot distances alone can't deal out the table: those of
+whatever its size, but for the few lengths that blocks can have; bins of many
+groups are linked at once, so small ones cost no more than their rows, and a
+larger group is dealt as pairs of chunks, each a task's work of its own. (Pivot distances alone can't deal out the table: those of
 random fingerprints lie within a few bits of each other.)
 
 PIVOTS reference fingerprints, far from each other and from a bounded sample of
@@ -49,7 +50,7 @@ from .common import narrow
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-GROUP, CHUNK, PIVOTS, BLOCK_ROWS = 256, 8192, 32, 64
+GROUP, CHUNK, PIVOTS, BLOCK_PAIRS, BIN_ROWS = 256, 8192, 32, 65_536, 8192
 #: Near copies: words of a shingle, least similarity, lanes, and the bits at which two sets of that similarity still link (64 of 256: their mean is 39).
 NEAR_SHINGLE, SIMILARITY, LANES, NEAR_BITS, NEAR_CHUNK, RECALL = 5, 0.8, 4, 64, 512, 0.99
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -162,21 +163,33 @@ def dealer(tables: list[np.ndarray], lanes: int):
 
 
 def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+    c = np.bitwise_count(a ^ b)
+    return sum((c[..., k] for k in range(1, c.shape[-1])), c[..., 0].astype(np.int16))
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where a value of x isn't that before it."""
+    return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
 
 
 def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Links from the pairs that join what label (changed in place) doesn't hold together yet."""
+    """Links from the pairs that join what label (changed in place) doesn't hold together yet. A label is a row that has it."""
     links = []
     while len(i):
-        r = i[0]
-        others, at = np.unique(label[j[i == r]], return_index=True)
-        ends = j[i == r][at]
-        fresh = others != label[r]
-        # in a row, so that no fingerprint gets a link to each of a crowd
-        chain = [int(r), *ends[fresh].tolist()]
-        links += zip(chain[:-1], chain[1:], strict=True)
-        label[np.isin(label, others)] = label[r]
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        # each label goes to the least that it meets
+        order = np.lexsort((low, high))
+        order = order[starts(high[order])]
+        order = order[np.lexsort((high[order], low[order]))]
+        low, high = low[order], high[order]
+        # those that go to one are linked in a row, so that no fingerprint gets a link to each of a crowd
+        first, before = starts(low), np.roll(high, 1)
+        links += zip(np.where(first, i[order], before).tolist(), np.where(first, j[order], high).tolist(), strict=True)
+        to = np.arange(len(label))
+        to[high] = low
+        while not np.array_equal(to[to], to):
+            to = to[to]
+        label[:] = to[label]
         left = label[i] != label[j]
         i, j = i[left], j[left]
     return links
@@ -191,19 +204,23 @@ def references(x: np.ndarray) -> np.ndarray:
     return x[taken]
 
 
-def forest(x: np.ndarray, side: np.ndarray, max_bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of the fingerprints x. side: 0 for all alike; 1 and 2 for chunks of which only links across count."""
+def forest(x: np.ndarray, side: np.ndarray, max_bits: int, pivots: np.ndarray, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of the fingerprints x, within each group (numbered from 0). side: 0 for all alike; 1 and 2 for chunks of which only links across count."""
     table = np.stack([bits_between(x, p) for p in pivots]) if len(pivots) else np.zeros((1, len(x)), np.int16)
     table = table[np.argsort(-table.std(1), kind="stable")]  # what spreads most discards most
-    order = np.argsort(table[0], kind="stable")
-    x, side, table = x[order], side[order], table[:, order]
-    ends = np.searchsorted(table[0], table[0] + max_bits, "right")
-    label, links = np.arange(len(x)), []
-    for at in range(0, len(x), BLOCK_ROWS):
-        rows = np.arange(at, min(at + BLOCK_ROWS, len(x)))
-        count = ends[rows] - rows - 1
-        i = np.repeat(rows, count)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+    # groups one after another, so far apart that no pair of two of them is near
+    place = table[0].astype(np.int64) + (0 if group is None else group.astype(np.int64) * (64 * x.shape[1] + max_bits + 1))
+    order = np.argsort(place, kind="stable")
+    x, side, table, place = x[order], side[order], table[:, order], place[order]
+    count = np.searchsorted(place, place + max_bits, "right") - np.arange(len(x)) - 1
+    upto = np.cumsum(count)
+    label, links, at = np.arange(len(x)), [], 0
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + BLOCK_PAIRS, "right")))
+        n = count[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = end
         keep = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j]))
         i, j = i[keep], j[keep]
         idle = 0
@@ -219,9 +236,9 @@ def forest(x: np.ndarray, side: np.ndarray, max_bits: int, pivots: np.ndarray) -
 
 
 def linker(max_bits: int, lanes: int, pivots: np.ndarray):
-    def run(key, group):
-        ids = group["id"].to_numpy()
-        e = np.array(forest(stacked([group[c].to_numpy() for c in lanes_of(lanes)]), group["side"].to_numpy(), max_bits, pivots), np.int64).reshape(-1, 2)
+    def run(key, rows):
+        ids, groups = rows["id"].to_numpy(), np.unique(rows["g"].to_numpy(), return_inverse=True)[1]
+        e = np.array(forest(stacked([rows[c].to_numpy() for c in lanes_of(lanes)]), rows["side"].to_numpy(), max_bits, pivots, groups), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[e[:, 0]]), "b": pa.array(ids[e[:, 1]])})
 
     return run
@@ -242,7 +259,11 @@ def link_forest(nodes: DataFrame, tables: list[np.ndarray], max_bits: int, chunk
     some = nodes.orderBy(F.xxhash64("id"), "id").limit(16 * PIVOTS).select(*names).collect()
     pivots = references(stacked([[r[c] for r in some] for c in names]))
     dealt = written(nodes.select("id", *names).mapInArrow(dealer(tables, lanes), "t int, k long, id long, " + ", ".join(f"{x} long" for x in names)), "dealt")
-    return chunked(dealt, ["t", "k"], "id", chunk).groupBy("t", "k", "i", "j").applyInArrow(linker(max_bits, lanes, pivots), "a long, b long")
+    # many groups at once, as with long keys most have a row or two; which ones doesn't matter, as each is linked by itself
+    rows = nodes.count() * len(tables)
+    bins = max(rows // BIN_ROWS, min(rows // GROUP, 16 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    grouped = chunked(dealt, ["t", "k"], "id", chunk).select(F.xxhash64("t", "k", "i", "j").alias("g"), "id", *names, "side")
+    return grouped.groupBy(F.pmod("g", F.lit(bins)).alias("bin")).applyInArrow(linker(max_bits, lanes, pivots), "a long, b long")
 
 
 def labelled(classes: DataFrame, links: DataFrame, key: str) -> DataFrame:

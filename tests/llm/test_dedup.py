@@ -171,6 +171,34 @@ def test_tables_grow_with_the_input():
     assert len(simhash.samples(10**9, 4, 0.8, 0.99)) > len(simhash.samples(10**3, 4, 0.8, 0.99))
 
 
+def test_small_groups_are_linked_many_at_once(spark, monkeypatch):
+    """Keys of 21 bits, as from a million fingerprints on: each of 300,000 groups was a call of its own."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**62, 20_000)
+    x[1::40] = x[::40] ^ sum(1 << b for b in (3, 17, 40, 61))
+    fps = np.unique(x).tolist()
+    calls, own = spark.sparkContext.accumulator(0), simhash.linker
+
+    def counted(*args):
+        run = own(*args)
+        return lambda key, rows: (calls.add(1), run(key, rows))[1]
+
+    monkeypatch.setattr(simhash, "linker", counted)
+    edges = simhash.link_forest(spark.createDataFrame([(f, f) for f in fps], "id long, f0 long"), simhash.blocks(2_000_000, 4), 4).collect()
+    assert calls.value < 15 * len(fps) / 100
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for e in edges:
+        root[max(find(e.a), find(e.b))] = min(find(e.a), find(e.b))
+    assert [find(f) for f in fps] == [fps[r] for r in brute_components(fps, 4)]
+    assert len({find(f) for f in fps}) <= len(fps) - 500
+
+
 def test_empty_tables(no_docs):
     assert exact.exact_groups(no_docs).count() == 0
     assert lines.dedup_lines(no_docs).count() == 0
