@@ -133,6 +133,23 @@ def test_pairs_of_one_name_are_dealt(spark, small, tmp_path, monkeypatch):
     assert got == sorted(tuple(map(int, r)) for r in c.execute(f"SELECT level, a % 64, count(*), sum(a), sum(b), sum(a * b) FROM ({catalog.ORACLES['grf_similarity_levels']}) GROUP BY 1, 2").fetchall())
 
 
+def test_links_of_one_code_are_dealt(spark, small, tmp_path, monkeypatch):
+    """1,000 topics and 100 instruments of one code: one task made all their links, each with its own pair of strings from the join."""
+    from tessella.operators import joins
+
+    d, c = str(tmp_path), duckdb.connect()
+    c.execute(f"COPY (SELECT o.* REPLACE (i AS o_orderkey, CASE WHEN i % 100 = 1 THEN 7 ELSE 50 * (i % 30) END AS o_custkey, 'F' AS o_orderstatus) FROM (SELECT * FROM '{small}/orders.parquet' LIMIT 1) o, range(1010) t(i)) TO '{d}/orders.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT o.* REPLACE (CASE WHEN i % 50 = 3 THEN 50 * i + 7 ELSE 50 * i END AS c_custkey, CASE WHEN i <> 9 THEN 'BUILDING' END AS c_mktsegment) FROM (SELECT * FROM '{small}/customer.parquet' LIMIT 1) o, range(103) t(i)) TO '{d}/customer.parquet' (FORMAT parquet)")
+    for t in ("orders", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    monkeypatch.setattr(joins, "PAIRS", 2_000)
+    df = catalog.QUERIES["nrm_polymarket_links"](spark, d)
+    by_task = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(c.execute(f"SELECT entity_a, entity_b, link_type FROM ({catalog.ORACLES['nrm_polymarket_links']})").fetchall())
+    assert len(got) > 99_000 and max(by_task) < len(got) / 4
+
+
 def test_resolution_counts_levels_by_names(spark, small, tmp_path):
     """The level of 200 million equal pairs is too common to be evidence; what is left are the pairs with the odd part."""
     duckdb.execute(f"COPY (SELECT p.* REPLACE (i AS p_partkey, CASE WHEN i = 7 THEN 'aaaa zzzzqqqq' ELSE 'aaaa bcd' END AS p_name) FROM (SELECT * FROM '{small}/part.parquet' LIMIT 1) p, range(20001) t(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
